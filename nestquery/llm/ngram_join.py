@@ -2,10 +2,10 @@
 
 A text's set holds its word n-grams; two texts match if the Jaccard similarity of their sets is at least ``threshold``.
 
-1. Each text is reduced to a content key (a hash of its set), so copies are one content from here on. The n-grams of
-   all contents go to the executors by hash, packed 7 bytes each, and come back with the number of contents that have
-   them; those of one content only can match nothing and stay away.
-2. In the order of that number a content's *prefix* is its rarest n-grams. ``tau`` of a content's n-grams may be missing
+1. A text's content key is a hash of its set, so copies are one content. The n-grams go to the executors by hash, packed
+   in blocks of about 6 bytes each, and come back with a class of the number of texts that have them (8 classes for each
+   doubling; copies in one block count once). Those of one text only can match nothing and stay away.
+2. In the order of class and hash a content's *prefix* is its rarest n-grams. ``tau`` of a content's n-grams may be missing
    from a match, so a prefix must keep a signature after any ``tau`` losses. An n-gram of a rare class is a signature
    alone. N-grams of a frequent class are spread over sub-classes, and two of one sub-class are a signature together;
    a sub-class of n covers n - 1 losses, and the prefix is extended until all that it covers exceeds ``tau``. The number
@@ -31,20 +31,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .tables import written
+from .tables import release, written
 
 
 @dataclass(frozen=True)
 class JoinConfig:
     n: int = 3
     threshold: float = 0.5
-    #: An n-gram of more contents than this is of a frequent class.
-    frequent: int = 32
-    #: A min-hash label takes another n-gram while the last is in more contents than this.
+    #: An n-gram of more texts than this is of a frequent class.
+    frequent: int = 4
+    #: A min-hash label takes another n-gram while the last is in more texts than this.
     label_frequent: int = 256
-    labels: int = 3
-    #: N-grams and contents that a map task packs at once.
-    flush: int = 2_000_000
+    labels: int = 2
+    #: N-grams and texts that a map task packs in a block.
+    flush: int = 1_000_000
     flush_rows: int = 60_000
     #: Ids up to which documents to drop are broadcast (8 bytes each); beyond, they are joined by a shuffle.
     broadcast_ids: int = 4_000_000
@@ -67,6 +67,25 @@ def _unpack40(b: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _pack_sorted(x: np.ndarray) -> bytes:
+    """Sorted 40-bit numbers by their differences, all first bytes, then all second ones and so on; the upper bytes are
+    mostly alike and compress."""
+    d = np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(d[:, : 5 if d[:, 4].any() else 4].T).tobytes()
+
+
+def _unpack_sorted(b: bytes, n: int) -> np.ndarray:
+    d = np.zeros((n, 8), np.uint8)
+    width = len(b) // max(n, 1)
+    d[:, :width] = np.frombuffer(b, np.uint8).reshape(width, n).T
+    return np.cumsum(d.reshape(-1).view("<u8"), dtype=np.uint64)
+
+
+def _class(n: np.ndarray) -> np.ndarray:
+    """The class of a number of texts."""
+    return np.floor(8 * np.log2(n) + 1e-9).astype(np.uint8)
+
+
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For groups of rows: first and last row; the distinct n-grams, their rows in order; the content keys by row."""
     for a, b, data, offsets in tx.lower_groups(column):
@@ -85,46 +104,43 @@ def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.n
         yield a, b, g, row, key
 
 
-_PACKED = "bucket int, q binary, i binary, content binary, size binary, id binary"
+_BLOCK = "bucket int, block long, source int, q binary, i binary, kind binary, content binary, size binary, id binary, owner binary"
+_BLOCK_NAMES = [x.split()[0] for x in _BLOCK.split(", ")]
+_BLOCK_TYPES = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 7]
 
 
-def _packed(bucket: np.ndarray, q: np.ndarray, owner: np.ndarray, contents: np.ndarray, extras: list[np.ndarray], parts: int) -> Iterator[tuple]:
-    """One row for each bucket: 40-bit values with the number of their owner among the owners used there."""
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(parts + 1))
-    for k in np.flatnonzero(np.diff(edges)):
-        at = order[edges[k] : edges[k + 1]]
-        used, local = np.unique(owner[at], return_inverse=True)
-        yield int(k), _pack40(q[at]), local.astype("<u2").tobytes(), contents[used].tobytes(), *[e[used].tobytes() for e in extras]
+def _blocks(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64]), _BLOCK_TYPES)], names=_BLOCK_NAMES)
 
 
 def _map_sets(config: JoinConfig, parts: int):
+    """Packs the n-grams of a block of texts by bucket, with the number of their text in the block; one more row has the
+    texts' content keys, sizes and ids. A block is named by its contents."""
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        g = np.concatenate([h[0] for h in held])
+        text = np.concatenate([h[1] + at for h, at in zip(held, np.cumsum([0] + [len(h[2]) for h in held]))])
+        keys, size, ids, known = (np.concatenate([h[k] for h in held]) for k in (2, 3, 4, 5))
+        content, first, owner = np.unique(keys, return_index=True, return_inverse=True)  # copies in the block are one
+        lone = np.zeros(len(keys), bool)
+        lone[first] = True
+        keep = lone[text]
+        g, own = g[keep], owner[text[keep]]
+        name = int(tx.mix(np.array([tx.mix(content.view(np.uint64)).sum() + np.uint64(len(content))])).view(np.int64)[0])
+        bucket = (g % np.uint64(parts)).astype(np.int64)
+        q = (g >> np.uint64(24)) & _MASK40
+        known &= size > 0
+        rows = [(name % parts, name, None, None, None, None, content.tobytes(), size[first].astype("<u4").tobytes(), ids[known].tobytes(), owner[known].astype("<u2").tobytes())]
+        order = np.lexsort((q, bucket))
+        edges = np.searchsorted(bucket[order], np.arange(parts + 1))
+        for k in np.flatnonzero(np.diff(edges)):
+            at = order[edges[k] : edges[k + 1]]
+            rows.append((int(k), name, int(k), _pack_sorted(q[at]), own[at].astype("<u2").tobytes(), *[None] * 5))
+        yield from _blocks(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         n_held = rows_held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            g = np.concatenate([h[0] for h in held])
-            owner = np.concatenate([h[1] + at for h, at in zip(held, np.cumsum([0] + [len(h[2]) for h in held]))])
-            contents = np.concatenate([h[2] for h in held])
-            size = np.concatenate([h[3] for h in held])
-            # copies within the batch count once
-            _, first = np.unique(contents, return_index=True)
-            lone = np.zeros(len(contents), bool)
-            lone[first] = True
-            keep = lone[owner]
-            g, owner = g[keep], owner[keep]
-            out = [(*x, None) for x in _packed((g % np.uint64(parts)).astype(np.int64), (g >> np.uint64(24)) & _MASK40, owner, contents, [size.astype("<u4")], parts)]
-            ids = np.concatenate([h[4] for h in held])
-            known = np.concatenate([h[5] for h in held]) & (size > 0)
-            spread = (contents.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-            for k in np.unique(spread[known]):
-                at = np.flatnonzero(known & (spread == k))
-                out.append((int(k), None, None, contents[at].tobytes(), size[at].astype("<u4").tobytes(), ids[at].tobytes()))
-            for at in range(0, len(out), 64):
-                c = list(zip(*out[at : at + 64]))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *[pa.array(x, pa.binary()) for x in c[1:]]], names=["bucket", "q", "i", "content", "size", "id"])
-
         for batch in batches:
             ids = batch.column("doc_id")
             known = np.array(ids.is_valid())
@@ -134,64 +150,60 @@ def _map_sets(config: JoinConfig, parts: int):
                     hi = min(b, lo + config.flush_rows)
                     r0, r1 = np.searchsorted(row, [lo - a, hi - a])
                     if held and (n_held + r1 - r0 > config.flush or rows_held + hi - lo > config.flush_rows):
-                        yield from flush()
+                        yield from flush(held)
                         held, n_held, rows_held = [], 0, 0
                     held.append((g[r0:r1], row[r0:r1] - (lo - a), key[lo - a : hi - a], np.bincount(row[r0:r1] - (lo - a), minlength=hi - lo), values[lo:hi], known[lo:hi]))
                     n_held, rows_held = n_held + r1 - r0, rows_held + hi - lo
         if held:
-            yield from flush()
+            yield from flush(held)
 
     return run
 
 
-_COUNTED = "bucket int, token binary, n binary, i binary, content binary, size binary, doc_id long, key long, length int"
+def _sorted_with(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """40-bit numbers in order, and where each was."""
+    if len(q) < 1 << 24:
+        both = np.sort((q << np.uint64(24)) | np.arange(len(q), dtype=np.uint64))
+        return both >> np.uint64(24), (both & np.uint64((1 << 24) - 1)).astype(np.int64)
+    order = np.argsort(q, kind="stable")
+    return q[order], order
 
 
 def _count(parts: int):
-    """Counts the contents of each n-gram of one bucket; those of several go on, by content."""
+    """Counts the texts of each n-gram of a bucket; those of several go on to their blocks, with their class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qs, owners, contents, sizes, bucket, at = [], [], [], [], None, 0
+        qs, own, names, seen = [], [], [], set()
+        source = None
         for batch in batches:
-            for b, q, i, content, size, ids in zip(*[c.to_pylist() for c in batch.columns]):
-                content, size = np.frombuffer(content, np.int64), np.frombuffer(size, "<u4")
-                if q is None:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(content), pa.int32()), *[pa.nulls(len(content), pa.binary())] * 5, pa.array(np.frombuffer(ids, np.int64)), pa.array(content), pa.array(size.astype(np.int32))], names=[x.split()[0] for x in _COUNTED.split(", ")])
-                    continue
-                bucket = b
-                qs.append(_unpack40(q))
-                owners.append(np.frombuffer(i, "<u2").astype(np.int64) + at)
-                contents.append(content)
-                sizes.append(size)
-                at += len(content)
+            rows = list(zip(*[c.to_pylist() for c in batch.columns]))
+            yield from _blocks([r for r in rows if r[3] is None])
+            for r in rows:
+                if r[3] is not None and r[1] not in seen:  # blocks of one name are the same
+                    seen.add(r[1])
+                    source = r[2]
+                    i = np.frombuffer(r[4], "<u2")
+                    qs.append(_unpack_sorted(r[3], len(i)))
+                    own.append(i)
+                    names.append(r[1])
         if not qs:
             return
-        content, owner = np.unique(np.concatenate(contents), return_inverse=True)
-        size = np.zeros(len(content), np.uint32)
-        size[owner] = np.concatenate(sizes)
-        q, own = np.concatenate(qs), owner[np.concatenate(owners)]
-        del qs, owners, contents, sizes
-        if len(content) < 1 << 24:  # one sort of the packed pair
-            both = np.unique((q << np.uint64(24)) | own.astype(np.uint64))
-            q, own = both >> np.uint64(24), (both & np.uint64((1 << 24) - 1)).astype(np.int64)
-        else:
-            order = np.lexsort((own, q))
-            q, own = q[order], own[order]
-            first = np.ones(len(q), bool)
-            first[1:] = (q[1:] != q[:-1]) | (own[1:] != own[:-1])
-            q, own = q[first], own[first]
+        block = np.repeat(np.arange(len(names), dtype=np.int32), [len(x) for x in qs])
+        q, at = _sorted_with(np.concatenate(qs))
+        i = np.concatenate(own)
+        del qs, own
         edges = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1], [True])))
-        n = np.repeat(np.diff(edges), np.diff(edges))
-        q, own, n = q[n > 1], own[n > 1], n[n > 1]
-        to = (content.view(np.uint64) % np.uint64(parts)).astype(np.int64)[own]
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(parts + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            for lo in range(cuts[k], cuts[k + 1], 60_000):
-                i = order[lo : min(lo + 60_000, cuts[k + 1])]
-                used, local = np.unique(own[i], return_inverse=True)
-                token = _pack40(q[i])
-                row = (int(k), np.uint32(bucket).tobytes() + token, n[i].astype("<u4").tobytes(), local.astype("<u2").tobytes(), content[used].tobytes(), size[used].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *[pa.array([x], pa.binary()) for x in row[1:]], pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())], names=[x.split()[0] for x in _COUNTED.split(", ")])
+        n = np.diff(edges)
+        kind = np.repeat(_class(n), n)
+        several = np.repeat(n > 1, n)
+        q, at, kind = q[several], at[several], kind[several]
+        order = np.argsort(block[at], kind="stable")
+        q, at, kind = q[order], at[order], kind[order]
+        edges = np.searchsorted(block[at], np.arange(len(names) + 1))
+        rows = []
+        for k in np.flatnonzero(np.diff(edges)):
+            x = slice(edges[k], edges[k + 1])
+            rows.append((names[k] % parts, names[k], source, _pack_sorted(q[x]), i[at[x]].tobytes(), kind[x].tobytes(), *[None] * 4))
+        yield from _blocks(rows)
 
     return run
 
@@ -207,16 +219,15 @@ def subclasses(level: int, threshold: float) -> int:
     return max(0, math.floor(threshold * 2 ** (level - 1) + 1e-9) - 1) if level > 0 else 0
 
 
-def signatures(tokens: np.ndarray, n: np.ndarray, size: int, config: JoinConfig) -> np.ndarray:
-    """Signatures of a set from its shared n-grams, in the order of (number of contents, n-gram)."""
+def signatures(tokens: np.ndarray, kind: np.ndarray, size: int, config: JoinConfig) -> np.ndarray:
+    """Signatures of a set from its shared n-grams, in the order of (class, n-gram)."""
     need = size - needed(size, config.threshold) + 1 - (size - len(tokens))
     level = size.bit_length() - 1
-    singles, pairs = 0, []
-    rare = n <= config.frequent
+    pairs = []
+    rare = kind <= _class(np.array(config.frequent))
     for at in {level, level + 1}:
         m = subclasses(at, config.threshold)
         if not m:
-            singles = max(singles, min(need, len(tokens)))
             pairs.append(_salted(tokens[: min(need, len(tokens))], 3))
             continue
         group = np.where(rare, -1, (_salted(tokens, 5) % np.uint64(m)).astype(np.int64))
@@ -239,7 +250,7 @@ def signatures(tokens: np.ndarray, n: np.ndarray, size: int, config: JoinConfig)
     return np.unique(np.concatenate(pairs))
 
 
-def labels(tokens: np.ndarray, n: np.ndarray, config: JoinConfig) -> list[int]:
+def labels(tokens: np.ndarray, kind: np.ndarray, config: JoinConfig) -> list[int]:
     out = []
     for k in range(config.labels):
         h = _salted(tokens, 101 + k)
@@ -248,60 +259,58 @@ def labels(tokens: np.ndarray, n: np.ndarray, config: JoinConfig) -> list[int]:
         label = np.uint64(k)
         for j in low:
             label = _salted(np.array([label ^ h[j]]), 13)[0]
-            if n[j] <= config.label_frequent:
+            if kind[j] <= _class(np.array(config.label_frequent)):
                 break
         out.append(int(np.int64(label.view(np.int64))))
     return out
 
 
-_CONTENT = "content long, size int, tokens binary, labels array<long>, signatures binary"
+_CONTENT = "content long, size int, tokens binary, kinds binary, labels array<long>, doc_id long"
 
 
 def _gather(config: JoinConfig):
-    """Contents that may have a match, with their shared n-grams."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, ns, owners, contents, sizes, at = [], [], [], [], [], 0
-        for batch in batches:
-            for _, token, n, i, content, size in zip(*[batch.column(c).to_pylist() for c in ("bucket", "token", "n", "i", "content", "size")]):
-                bucket = np.uint64(int.from_bytes(token[:4], "little"))
-                tokens.append(_unpack40(token[4:]) | (bucket << np.uint64(40)))
-                ns.append(np.frombuffer(n, "<u4"))
-                owners.append(np.frombuffer(i, "<u2").astype(np.int64) + at)
-                contents.append(np.frombuffer(content, np.int64))
-                sizes.append(np.frombuffer(size, "<u4"))
-                at += len(contents[-1])
-        if not tokens:
-            return
-        content, owner = np.unique(np.concatenate(contents), return_inverse=True)
-        size = np.zeros(len(content), np.int64)
-        size[owner] = np.concatenate(sizes)
-        token, n, own = np.concatenate(tokens), np.concatenate(ns), owner[np.concatenate(owners)]
-        del tokens, ns, owners, contents, sizes
+    """Of each block: its documents with their contents, and the contents that may have a match with their shared n-grams."""
+    def block(content: np.ndarray, size: np.ndarray, tokens: list[tuple]) -> Iterator[tuple]:
+        token = tx.mix(np.concatenate([q | (np.uint64(source) << np.uint64(40)) for source, q, _, _ in tokens])) & _MASK40
+        kind, own = np.concatenate([t[3] for t in tokens]), np.concatenate([t[2] for t in tokens])
         shared = np.bincount(own, minlength=len(content))
-        least = np.maximum(1, np.ceil(config.threshold * size - 1e-9))
-        keep = (shared >= least)[own]
-        token, n, own = token[keep], n[keep], own[keep]
-        order = np.argsort(own, kind="stable")
-        token, n, own = token[order], n[order], own[order]
+        keep = (shared >= np.maximum(1, np.ceil(config.threshold * size - 1e-9)))[own]
+        token, kind, own = token[keep], kind[keep], own[keep]
+        order = np.lexsort((token, kind, own))
+        token, kind, own = token[order], kind[order], own[order]
         edges = np.searchsorted(own, np.arange(len(content) + 1))
-        rows: list[tuple] = []
         for i in np.flatnonzero(np.diff(edges)):
-            t, c = token[edges[i] : edges[i + 1]], n[edges[i] : edges[i + 1]]
-            by = np.lexsort((t, c))
-            t, c = t[by], c[by]
-            rows.append((int(content[i]), int(size[i]), np.sort(t).tobytes(), labels(t, c, config), signatures(t, c, int(size[i]), config).tobytes()))
-            if len(rows) == 500:
-                yield _content_batch(rows)
-                rows = []
-        if rows:
+            t, c = token[edges[i] : edges[i + 1]], kind[edges[i] : edges[i + 1]]
+            yield int(content[i]), int(size[i]), _pack40(t), c.tobytes(), labels(t, c, config), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        tokens: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for _, name, source, q, i, kind, content, size, ids, owner in zip(*[c.to_pylist() for c in batch.columns]):
+                if q is None:
+                    keys = np.frombuffer(content, np.int64)
+                    texts[name] = keys, np.frombuffer(size, "<u4").astype(np.int64)
+                    ids = np.frombuffer(ids, np.int64)
+                    yield _content_batch([(k, None, None, None, None, d) for k, d in zip(keys[np.frombuffer(owner, "<u2")].tolist(), ids.tolist())])
+                else:
+                    i = np.frombuffer(i, "<u2")
+                    tokens.setdefault(name, []).append((source, _unpack_sorted(q, len(i)), i.astype(np.int32), np.frombuffer(kind, np.uint8)))
+        for name in list(tokens):
+            rows = []
+            for row in block(*texts[name], tokens.pop(name)):
+                rows.append(row)
+                if len(rows) == 500:
+                    yield _content_batch(rows)
+                    rows = []
             yield _content_batch(rows)
 
     return run
 
 
 def _content_batch(rows: list[tuple]) -> pa.RecordBatch:
-    c = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.list_(pa.int64())), pa.array(c[4], pa.binary())], names=["content", "size", "tokens", "labels", "signatures"])
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, kinds)], names=[x.split()[0] for x in _CONTENT.split(", ")])
 
 
 _PAIR = "a long, b long, common int, sizes int"
@@ -358,7 +367,10 @@ def _by_label(config: JoinConfig):
             if y - x < 2:
                 continue
             at = order[x:y]
-            sets = [np.frombuffer(tokens[int(i)].as_py(), np.uint64) for i in at]
+            at = at[np.unique(content[at], return_index=True)[1]]  # the same content may come from several blocks
+            if len(at) < 2:
+                continue
+            sets = [np.sort(_unpack40(tokens[int(i)].as_py())) for i in at]
             parts = [(np.array([0]), np.array([1]), np.array([len(np.intersect1d(*sets, assume_unique=True))]))] if len(sets) == 2 else overlaps(sets)
             for i, j, common in parts:
                 sizes = size[at[i]] + size[at[j]]
@@ -369,20 +381,29 @@ def _by_label(config: JoinConfig):
     return run
 
 
-def _map_signatures(parts: int):
+_SIGNED = "bucket int, q binary, i binary, content binary, size binary, marks binary"
+
+
+def _map_signatures(config: JoinConfig, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.frombuffer(s, np.uint64) for s in batch.column("signatures").to_pylist()]
+            size = batch.column("size").to_numpy()
+            sets = [signatures(_unpack40(t), np.frombuffer(k, np.uint8), int(n), config) for t, k, n in zip(batch.column("tokens").to_pylist(), batch.column("kinds").to_pylist(), size)]
             if not sets:
                 continue
             owner, s = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
-            content = batch.column("content").to_numpy()
-            extras = [batch.column("size").to_numpy().astype("<u4"), np.array(batch.column("labels").to_pylist(), np.int64)]
-            for lo in range(0, len(sets), 60_000):
-                m = (owner >= lo) & (owner < lo + 60_000)
-                out = list(_packed((s[m] % np.uint64(parts)).astype(np.int64), (s[m] >> np.uint64(24)) & _MASK40, owner[m], content, extras, parts))
-                c = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *[pa.array(x, pa.binary()) for x in c[1:]]], names=["bucket", "q", "i", "content", "size", "id"])
+            content, marks = batch.column("content").to_numpy(), np.array(batch.column("labels").to_pylist(), np.int64)
+            bucket, q = (s % np.uint64(parts)).astype(np.int64), (s >> np.uint64(24)) & _MASK40
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(parts + 1))
+            rows = []
+            for k in np.flatnonzero(np.diff(edges)):
+                at = order[edges[k] : edges[k + 1]]
+                used, local = np.unique(owner[at], return_inverse=True)
+                rows.append((int(k), _pack40(q[at]), local.astype("<u4").tobytes(), content[used].tobytes(), size[used].astype("<u4").tobytes(), marks[used].tobytes()))
+            for at in range(0, len(rows), 64):
+                c = list(zip(*rows[at : at + 64]))
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *[pa.array(x, pa.binary()) for x in c[1:]]], names=[x.split()[0] for x in _SIGNED.split(", ")])
 
     return run
 
@@ -394,7 +415,7 @@ def _by_signature(config: JoinConfig):
         for batch in batches:
             for _, q, i, content, size, mark in zip(*[c.to_pylist() for c in batch.columns]):
                 qs.append(_unpack40(q))
-                owners.append(np.frombuffer(i, "<u2").astype(np.int64) + at)
+                owners.append(np.frombuffer(i, "<u4").astype(np.int64) + at)
                 contents.append(np.frombuffer(content, np.int64))
                 sizes.append(np.frombuffer(size, "<u4").astype(np.int64))
                 marks.append(np.frombuffer(mark, np.int64).reshape(-1, config.labels))
@@ -403,9 +424,8 @@ def _by_signature(config: JoinConfig):
             return
         content, first, number = np.unique(np.concatenate(contents), return_index=True, return_inverse=True)
         size, mark = np.concatenate(sizes)[first], np.concatenate(marks)[first]
-        q, own = np.concatenate(qs), number[np.concatenate(owners)]
-        order = np.argsort(q, kind="stable")
-        q, own = q[order], own[order]
+        q, at = _sorted_with(np.concatenate(qs))
+        own = number[np.concatenate(owners)][at]
         found, held = [], 0
         i = np.arange(len(q))
         for d in range(1, len(q)):
@@ -435,7 +455,7 @@ def _verify(config: JoinConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            common = np.array([len(np.intersect1d(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), assume_unique=True)) for s, t in zip(x, y)], np.int64)
+            common = np.array([len(np.intersect1d(_unpack40(s), _unpack40(t), assume_unique=True)) for s, t in zip(x, y)], np.int64)
             sizes = batch.column("sizes").to_numpy().astype(np.int64)
             ok = _matches(common, sizes, config.threshold)
             yield _pair_batch(batch.column("a").to_numpy()[ok], batch.column("b").to_numpy()[ok], common[ok], sizes[ok])
@@ -443,20 +463,24 @@ def _verify(config: JoinConfig):
     return run
 
 
+def _shared(docs: DataFrame, config: JoinConfig, parts: int) -> DataFrame:
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_map_sets(config, parts), _BLOCK)
+    counted = sets.repartitionById(parts, F.col("bucket")).mapInArrow(_count(parts), _BLOCK)
+    return written(counted.repartitionById(parts, F.col("bucket")).mapInArrow(_gather(config), _CONTENT), "ngram-contents")
+
+
 def similar_contents(docs: DataFrame, config: JoinConfig = JoinConfig()) -> tuple[DataFrame, DataFrame]:
     """(doc_id, content) of all documents with an id and words, and the matching pairs (a, b, common, sizes) of contents."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_map_sets(config, parts), _PACKED)
-    counted = written(sets.repartitionById(parts, F.col("bucket")).mapInArrow(_count(parts), _COUNTED), "ngram-counts")
-    members = counted.filter("token IS NULL").select("doc_id", F.col("key").alias("content"))
-    contents = written(counted.filter("token IS NOT NULL").select("bucket", "token", "n", "i", "content", "size").repartitionById(parts, F.col("bucket")).mapInArrow(_gather(config), _CONTENT), "ngram-contents")
-    labelled = contents.select(F.explode("labels").alias("label"), "content", "size", "tokens").repartition(parts, "label")
-    near = labelled.mapInArrow(_by_label(config), _PAIR)
-    signed = contents.select("content", "size", "labels", "signatures").mapInArrow(_map_signatures(parts), _PACKED)
-    rest = signed.repartitionById(parts, F.col("bucket")).mapInArrow(_by_signature(config), "a long, b long").distinct()
-    left = contents.select(F.col("content").alias("a"), F.col("size").alias("sa"), F.col("tokens").alias("x"))
-    right = contents.select(F.col("content").alias("b"), F.col("size").alias("sb"), F.col("tokens").alias("y"))
+    table = _shared(docs, config, parts)
+    release(spark)
+    members, contents = table.filter("tokens IS NULL").select("doc_id", "content"), table.filter("tokens IS NOT NULL").drop("doc_id")
+    near = contents.select(F.explode("labels").alias("label"), "content", "size", "tokens").repartition(parts, "label").mapInArrow(_by_label(config), _PAIR)
+    few = max(1, parts // 4)  # a bucket repeats what it must know of a content
+    rest = contents.mapInArrow(_map_signatures(config, few), _SIGNED).repartitionById(few, F.col("bucket")).mapInArrow(_by_signature(config), "a long, b long").distinct()
+    one = contents.select("content", "size", "tokens").dropDuplicates(["content"])
+    left, right = one.select(F.col("content").alias("a"), F.col("size").alias("sa"), F.col("tokens").alias("x")), one.select(F.col("content").alias("b"), F.col("size").alias("sb"), F.col("tokens").alias("y"))
     far = rest.join(left, "a").join(right, "b").select("a", "b", (F.col("sa") + F.col("sb")).alias("sizes"), "x", "y").mapInArrow(_verify(config), _PAIR)
     return members, written(near.unionByName(far).distinct(), "ngram-pairs")
 

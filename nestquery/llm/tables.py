@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -29,12 +30,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files of finished jobs: Spark deletes them once the driver's garbage collection finds that no
+    plan refers to them, which on an idle driver may take half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Makes this package importable in the Python workers of a session that was started elsewhere."""
     environment = spark.sparkContext.environment
     have = environment.get("PYTHONPATH", "").split(os.pathsep)
     if REPO not in have:
         environment["PYTHONPATH"] = os.pathsep.join([REPO, *filter(None, have)])
+    # rows hold whole documents: batches are bounded by bytes too
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
     return spark
 
 
