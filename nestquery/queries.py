@@ -150,8 +150,8 @@ _add("agg_sum_nothing", "SELECT l_returnflag AS f, SUM(NULLIF(l_tax, l_tax)) AS
 _same("agg_avg", "SELECT l_returnflag AS f, ROUND(AVG(l_quantity), 4) AS a FROM lineitem GROUP BY l_returnflag")
 _same("agg_min", "SELECT p_brand AS b, MIN(p_name) AS first, MIN(p_retailprice) AS least FROM part GROUP BY p_brand")
 _same("agg_max", "SELECT p_brand AS b, MAX(p_name) AS last, MAX(p_size) AS most FROM part GROUP BY p_brand")
-_same("agg_over_expr", "SELECT c_mktsegment AS s, ROUND(AVG(NULLIF(ABS(c_acctbal), 0)), 4) AS a FROM customer GROUP BY c_mktsegment")
-_same("scalar_over_agg", "SELECT c_nationkey AS n, UPPER(MAX(c_name)) AS top, ROUND(AVG(c_acctbal), 2) AS a FROM customer GROUP BY c_nationkey")
+_same("agg_over_expr", "SELECT c_mktsegment AS s, ROUND(AVG(NULLIF(ABS(c_acctbal), 0)), 8) AS a FROM customer GROUP BY c_mktsegment")
+_same("scalar_over_agg", "SELECT c_nationkey AS n, UPPER(MAX(c_name)) AS top, ROUND(AVG(c_acctbal), 8) AS a FROM customer GROUP BY c_nationkey")
 _add("agg_case", "SELECT o_orderstatus AS s, SUM(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END) AS n FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus AS s, sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END)::DOUBLE AS n FROM orders GROUP BY 1")
 _same("having_alias", "SELECT c_nationkey AS n, COUNT(*) AS cnt FROM customer GROUP BY c_nationkey HAVING cnt > 55")
 _same("having_expr", "SELECT c_nationkey AS n FROM customer GROUP BY c_nationkey HAVING COUNT(*) >= 60 OR MIN(c_acctbal) BETWEEN -990 AND -900")
@@ -167,7 +167,7 @@ for _n, _f in (("sum", "ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey), 2
 _add("win_agg_ordered", "SELECT event_id AS k, ROUND(SUM(value) OVER (PARTITION BY user_id ORDER BY ts), 4) AS s FROM events", "SELECT event_id AS k, round(sum(value) OVER (PARTITION BY user_id), 4) AS s FROM events")
 _add("win_count_col", "SELECT c_custkey, COUNT(bal) OVER (PARTITION BY seg) AS n FROM $r", f"SELECT c_custkey, count(bal) OVER (PARTITION BY seg) AS n FROM {_GAPS}", root=_gaps)
 _add("win_rank_noorder", "SELECT n_nationkey AS k, RANK() OVER (PARTITION BY n_regionkey) AS r FROM nation", "SELECT n_nationkey AS k, 1::BIGINT AS r FROM nation")
-_same("win_nested_scalar", "SELECT c_custkey AS k, ROUND(ABS(AVG(c_acctbal) OVER (PARTITION BY c_nationkey)), 2) AS a FROM customer")
+_same("win_nested_scalar", "SELECT c_custkey AS k, ROUND(ABS(AVG(c_acctbal) OVER (PARTITION BY c_nationkey)), 8) AS a FROM customer")
 _same("win_in_case", "SELECT c_custkey AS k, CASE WHEN ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) <= 3 THEN 'top' ELSE 'rest' END AS g FROM customer")
 _same("win_over_group", "SELECT c_nationkey AS n, COUNT(*) AS cnt, RANK() OVER (ORDER BY COUNT(*) DESC) AS r FROM customer GROUP BY c_nationkey")
 _same("win_multi_spec", "SELECT o_orderkey AS k, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS a, DENSE_RANK() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS b FROM orders")
@@ -218,7 +218,7 @@ _add("param_in_list", "SELECT c_custkey FROM customer WHERE c_nationkey IN (:n)"
 _add("param_array", "SELECT p_partkey FROM $r WHERE words && :w", f"SELECT p_partkey FROM part WHERE list_has_any({_W}, ['red', 'bolt'])", root=_words, params={"w": ["red", "bolt"]})
 _add("param_limit", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT :n OFFSET :skip", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 9 OFFSET 4", params={"n": 9, "skip": 4})
 # the shapes of the published benchmark
-_same("kitchen_sink", "SELECT c_nationkey AS n, COUNT(*) AS cnt, ROUND(AVG(c_acctbal), 2) AS a FROM customer WHERE c_acctbal > 0 AND c_mktsegment != 'BUILDING' GROUP BY c_nationkey HAVING cnt > 10 ORDER BY cnt DESC, n LIMIT 20")
+_same("kitchen_sink", "SELECT c_nationkey AS n, COUNT(*) AS cnt, ROUND(AVG(c_acctbal), 8) AS a FROM customer WHERE c_acctbal > 0 AND c_mktsegment != 'BUILDING' GROUP BY c_nationkey HAVING cnt > 10 ORDER BY cnt DESC, n LIMIT 20")
 FLAGSHIP = "SELECT l_returnflag, COUNT(*) AS cnt, ROUND(AVG(l_quantity), 2) AS avg_qty, MAX(l_extendedprice) AS top FROM lineitem WHERE l_discount BETWEEN 0.02 AND 0.08 GROUP BY l_returnflag HAVING cnt > 10 ORDER BY cnt DESC LIMIT 10"
 _same("flagship", FLAGSHIP)
 
