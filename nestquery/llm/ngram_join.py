@@ -527,8 +527,11 @@ def groups(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
 def drop_ids(docs: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``ids`` (doc_id). Up to ``limit`` ids go to every executor and the
     texts stay in place; more are joined by a shuffle."""
-    ids = ids.select(F.col("doc_id").alias("_drop")).distinct()
-    hit = F.col("doc_id") == F.col("_drop")
+    name = "_drop"
+    while name in docs.columns:
+        name += "_"
+    ids = ids.select(F.col("doc_id").alias(name)).distinct()
+    hit = docs["doc_id"] == ids[name]
     few = ids.limit(limit + 1).count() <= limit
     return docs.join(F.broadcast(ids) if few else ids, hit, "left_anti")
 
