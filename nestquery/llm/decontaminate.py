@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .tables import lean
 
 
 @dataclass(frozen=True)
@@ -95,7 +96,7 @@ def prepare_items(docs: DataFrame, benchmark: DataFrame, config: Decontamination
         if not ids:
             continue
         vocabulary = np.unique(np.concatenate(words))
-        counted = docs.select("text").mapInArrow(_word_counts(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n")).collect()
+        counted = docs.select("text").mapInArrow(lean(_word_counts(vocabulary)), "word long, n long").groupBy("word").agg(F.sum("n")).collect()
         counts = np.ones(len(vocabulary))
         total = 1
         for word, n in counted:
@@ -182,7 +183,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, config: DecontaminationC
                     ids = batch.column("doc_id").take(pa.array(row, pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids, pa.array([items.ids[i] for i in item]), pa.array(score, pa.float64()), pa.array(end, pa.int32())], names=["doc_id", "item_id", "score", "end_word"])
 
-        parts.append(docs.select("doc_id", "text").mapInArrow(run, schema))
+        parts.append(docs.select("doc_id", "text").mapInArrow(lean(run), schema))
     out = parts[0] if parts else spark.createDataFrame([], schema)
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -198,5 +199,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, config: DecontaminationCon
                 keep[[f[0] for f in find(batch.column("text"), items, config)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .tables import lean
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title head svg".split())
 _RAW_TEXT = frozenset("script style textarea title".split())
@@ -196,4 +198,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 text, top, least = (zip(*[f or (None, None, None) for f in found]))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(text, pa.string()), pa.array([None if t is None else len(t) for t in text], pa.int64()), pa.array(top, pa.float64()), pa.array(least, pa.float64())], names=["page_id", "url", "text", "n_chars", "density_sum", "threshold"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, density_sum double, threshold double")
+    return pages.select("page_id", "url", "html").mapInArrow(lean(run), f"page_id {kind}, url string, text string, n_chars long, density_sum double, threshold double")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .tables import lean
 
 
 @dataclass(frozen=True)
@@ -96,7 +97,7 @@ def language_scores(docs: DataFrame, config: LangIdConfig = LangIdConfig()) -> D
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nearest, pa.string()), pa.array(margin, pa.float64()), pa.array([x if k else None for x, k in zip(nearest, ok)], pa.string())], names=["doc_id", "nearest", "margin", "language"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, nearest string, margin double, language string")
+    return docs.select("doc_id", "text").mapInArrow(lean(score), f"doc_id {kind}, nearest string, margin double, language string")
 
 
 def keep_identified(docs: DataFrame, config: LangIdConfig = LangIdConfig()) -> DataFrame:
@@ -108,4 +109,4 @@ def keep_identified(docs: DataFrame, config: LangIdConfig = LangIdConfig()) -> D
         for batch in batches:
             yield batch.filter(pa.array(classifier.classify(batch.column("text"))[2]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

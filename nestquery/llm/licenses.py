@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import text as tx
+from .tables import lean
 
 TEMPLATES: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -154,4 +155,4 @@ def license_scan(docs: DataFrame, config: LicenseConfig | None = None) -> DataFr
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(name), pa.array(share, pa.float64()), pa.array(at, pa.int32())], names=["doc_id", "license", "containment", "start_word"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, license string, containment double, start_word int")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, license string, containment double, start_word int")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .tables import release, written
+from .tables import lean, release, written
 
 
 @dataclass(frozen=True)
@@ -464,9 +464,9 @@ def _verify(config: JoinConfig):
 
 
 def _shared(docs: DataFrame, config: JoinConfig, parts: int) -> DataFrame:
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_map_sets(config, parts), _BLOCK)
-    counted = sets.repartitionById(parts, F.col("bucket")).mapInArrow(_count(parts), _BLOCK)
-    return written(counted.repartitionById(parts, F.col("bucket")).mapInArrow(_gather(config), _CONTENT), "ngram-contents")
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_map_sets(config, parts)), _BLOCK)
+    counted = sets.repartitionById(parts, F.col("bucket")).mapInArrow(lean(_count(parts)), _BLOCK)
+    return written(counted.repartitionById(parts, F.col("bucket")).mapInArrow(lean(_gather(config)), _CONTENT), "ngram-contents")
 
 
 def similar_contents(docs: DataFrame, config: JoinConfig = JoinConfig()) -> tuple[DataFrame, DataFrame]:
@@ -476,12 +476,12 @@ def similar_contents(docs: DataFrame, config: JoinConfig = JoinConfig()) -> tupl
     table = _shared(docs, config, parts)
     release(spark)
     members, contents = table.filter("tokens IS NULL").select("doc_id", "content"), table.filter("tokens IS NOT NULL").drop("doc_id")
-    near = contents.select(F.explode("labels").alias("label"), "content", "size", "tokens").repartition(parts, "label").mapInArrow(_by_label(config), _PAIR)
+    near = contents.select(F.explode("labels").alias("label"), "content", "size", "tokens").repartition(parts, "label").mapInArrow(lean(_by_label(config)), _PAIR)
     few = max(1, parts // 4)  # a bucket repeats what it must know of a content
-    rest = contents.mapInArrow(_map_signatures(config, few), _SIGNED).repartitionById(few, F.col("bucket")).mapInArrow(_by_signature(config), "a long, b long").distinct()
+    rest = contents.mapInArrow(lean(_map_signatures(config, few)), _SIGNED).repartitionById(few, F.col("bucket")).mapInArrow(lean(_by_signature(config)), "a long, b long").distinct()
     one = contents.select("content", "size", "tokens").dropDuplicates(["content"])
     left, right = one.select(F.col("content").alias("a"), F.col("size").alias("sa"), F.col("tokens").alias("x")), one.select(F.col("content").alias("b"), F.col("size").alias("sb"), F.col("tokens").alias("y"))
-    far = rest.join(left, "a").join(right, "b").select("a", "b", (F.col("sa") + F.col("sb")).alias("sizes"), "x", "y").mapInArrow(_verify(config), _PAIR)
+    far = rest.join(left, "a").join(right, "b").select("a", "b", (F.col("sa") + F.col("sb")).alias("sizes"), "x", "y").mapInArrow(lean(_verify(config)), _PAIR)
     return members, written(near.unionByName(far).distinct(), "ngram-pairs")
 
 

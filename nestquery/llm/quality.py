@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .tables import lean
 
 CLASSES = ("lower", "upper", "digit", "space", "line end", "sentence mark", "other mark", "non-ASCII")
 _CLASS = np.full(256, 6, np.int64)
@@ -94,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityCon
                     counts += [*total.tolist(), *n.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["lang", "kind", "key", "n"])
 
-    counts = sample(docs, labels, config.fit_rows).mapInArrow(count, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    counts = sample(docs, labels, config.fit_rows).mapInArrow(lean(count), "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(_by_count())
     kept = counts.withColumn("total", F.sum("n").over(_by_kind())).withColumn("rank", rank).filter((F.col("kind") == 0) | (F.col("rank") <= config.common)).collect()
     languages = tuple(sorted({r.lang for r in kept}))
@@ -186,7 +187,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, config: QualityConfig = Q
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(c, from_pandas=True), pa.array(d, from_pandas=True), pa.array(names, pa.string()), pa.array(verdict, pa.string()), pa.array(keep, pa.bool_())], names=["doc_id", "char_distance", "word_distance", "near_lang", "verdict", "keep"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, char_distance double, word_distance double, near_lang string, verdict string, keep boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(score), f"doc_id {kind}, char_distance double, word_distance double, near_lang string, verdict string, keep boolean")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
@@ -198,4 +199,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = Qua
             verdict = judge(batch.column("text"), refs, config)[3]
             yield batch.filter(pa.array([v not in ("empty", "diverges") for v in verdict], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

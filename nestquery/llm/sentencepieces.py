@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .tables import lean
 
 
 @dataclass(frozen=True)
@@ -298,7 +299,7 @@ def encode(docs: DataFrame, config: SentencePieceConfig = SentencePieceConfig())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), n, lists, pa.array([_round_trip(m, t, i) for t, i in zip(text, ids)], pa.bool_())], names=["doc_id", "n_tokens", "token_ids", "round_trip"])
 
     schema = f"doc_id {kind}, n_tokens int, token_ids array<int>, round_trip boolean"
-    small = texts.filter(F.coalesce(F.length("text") <= config.giant, F.lit(True))).mapInArrow(whole, schema)
+    small = texts.filter(F.coalesce(F.length("text") <= config.giant, F.lit(True))).mapInArrow(lean(whole), schema)
     return small.unionByName(_encode_giants(texts.filter(F.length("text") > config.giant), config, schema))
 
 
@@ -334,8 +335,8 @@ def _encode_giants(giants: DataFrame, config: SentencePieceConfig, schema: str)
             ids = [Chunk(m, r["before"], r["s"], r["after"]).ids(*pickle.loads(r["ends"])) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array(ids, pa.list_(pa.int32()))], names=["key", "k", "ids"])
 
-    ends = chunks.mapInArrow(transfer, "key string, k int, matrix binary").groupBy("key").applyInArrow(combine, "key string, k int, ends binary")
-    traced = chunks.join(ends, ["key", "k"]).mapInArrow(trace, "key string, k int, ids array<int>")
+    ends = chunks.mapInArrow(lean(transfer), "key string, k int, matrix binary").groupBy("key").applyInArrow(combine, "key string, k int, ends binary")
+    traced = chunks.join(ends, ["key", "k"]).mapInArrow(lean(trace), "key string, k int, ids array<int>")
     joined = traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("token_ids"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +347,7 @@ def _encode_giants(giants: DataFrame, config: SentencePieceConfig, schema: str)
                 ok = m.decode(ids) == batch.column("text")[r].as_py().replace(SPACE, " ").encode()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(r, 1), pa.array([len(ids)], pa.int32()), batch.column("token_ids").slice(r, 1), pa.array([ok])], names=["doc_id", "n_tokens", "token_ids", "round_trip"])
 
-    return keyed.join(joined, "key").select("doc_id", "text", "token_ids").mapInArrow(check, schema)
+    return keyed.join(joined, "key").select("doc_id", "text", "token_ids").mapInArrow(lean(check), schema)
 
 
 def decode(encoded: DataFrame, config: SentencePieceConfig = SentencePieceConfig()) -> DataFrame:
@@ -358,4 +359,4 @@ def decode(encoded: DataFrame, config: SentencePieceConfig = SentencePieceConfig
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "token_ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "token_ids").mapInArrow(lean(run), f"doc_id {kind}, text string")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 REPO = str(Path(__file__).resolve().parents[2])
@@ -37,6 +41,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f``, after which its worker gives unused memory back: workers idle between tasks, and there may be more of them
+    than tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Makes this package importable in the Python workers of a session that was started elsewhere."""
     environment = spark.sparkContext.environment

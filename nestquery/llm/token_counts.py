@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .tables import lean
 
 _WS = r"\t-\r \x85\xa0  -     　"
 #: The public pre-token pattern of byte-level BPE vocabularies, with white space as Unicode has it.
@@ -236,7 +237,7 @@ def token_counts(docs: DataFrame, config: TokenCountConfig = TokenCountConfig())
                 n += [None if x is None else t.count(x) for x in batch.column("text").slice(a, b - a).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
-    small = texts.filter(F.coalesce(F.length("text") <= config.giant, F.lit(True))).mapInArrow(whole, f"doc_id {kind}, n_tokens long")
+    small = texts.filter(F.coalesce(F.length("text") <= config.giant, F.lit(True))).mapInArrow(lean(whole), f"doc_id {kind}, n_tokens long")
     # a giant's key is a hash of its text: copies are counted once, and NULL or repeated ids don't matter
     giants = texts.filter(F.length("text") > config.giant).withColumn("key", F.sha2("text", 256))
     numbers = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / config.chunk).cast("int"))
@@ -252,5 +253,5 @@ def token_counts(docs: DataFrame, config: TokenCountConfig = TokenCountConfig())
         rows = sorted(table.to_pylist(), key=lambda r: r["k"])
         return pa.table({"key": rows[0]["key"] and [rows[0]["key"]], "n_tokens": pa.array([total(transducer(config), [(r["head"], r["n"], r["tail"]) for r in rows])], pa.int64())})
 
-    counted = chunks.mapInArrow(maps, "key string, k int, head string, n long, tail string").groupBy("key").applyInArrow(combine, "key string, n_tokens long")
+    counted = chunks.mapInArrow(lean(maps), "key string, k int, head string, n long, tail string").groupBy("key").applyInArrow(combine, "key string, n_tokens long")
     return small.unionByName(giants.select("doc_id", "key").join(counted, "key").select("doc_id", "n_tokens"))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .tables import lean
 
 INSULTS = (
     "idiot", "idiots", "idiotic", "moron", "morons", "moronic", "stupid", "scum", "trash", "loser", "losers", "clown", "clowns", "pathetic", "worthless", "disgusting", "imbecile", "cretin", "scumbag", "bastard", "bastards", "bitch",
@@ -233,7 +234,7 @@ def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
             found = {t[a:b] for t in batch.column("text").to_pylist() for a, b, _, edits in automaton.hits(t) if edits}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
 
-    clean = texts.join(F.broadcast(some[0]), F.col("_doc") == F.col("_id")).select("text").mapInArrow(near, "word string").distinct()
+    clean = texts.join(F.broadcast(some[0]), F.col("_doc") == F.col("_id")).select("text").mapInArrow(lean(near), "word string").distinct()
     return Lexicon(terms, frozenset(r.word for r in clean.collect()))
 
 
@@ -265,4 +266,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = Toxici
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total), pa.array(np.concatenate(numbers) if numbers else np.zeros(0, np.int32)), pa.array(names, pa.list_(pa.string())), pa.array(total >= config.threshold)], names=["doc_id", "score", "n_hits", "terms", "toxic"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double, n_hits int, terms array<string>, toxic boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(score), f"doc_id {kind}, score double, n_hits int, terms array<string>, toxic boolean")
