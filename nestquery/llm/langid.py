@@ -33,7 +33,7 @@ class LangIdConfig:
     #: Bytes of a dictionary at most.
     dictionary: int = 64 << 10
     block: int = 4096
-    level: int = 3
+    level: int = 6
     #: Of the second smallest size, the share by which the smallest must be smaller.
     min_margin: float = 0.01
 

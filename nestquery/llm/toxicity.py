@@ -7,8 +7,9 @@ ordinary neighbours out. A stem (``term*``) also matches any ending. Each hit is
 weight where it is used, a part where it is quoted, reported or negated. A document is toxic from a sum of ``threshold``.
 
 The lexicon is a list of insults and what a bounded labelled sample adds: words and stems that occur in many different
-contexts of toxic documents and hardly in clean ones (contexts, so that copies of a document count once). Words near a
-term that occur in the clean sample are ordinary words and only match exactly.
+contexts of toxic documents and hardly in clean ones (contexts, so that copies of a document count once), beyond what
+chance would give. Words near a term that occur in the clean sample are ordinary words and only match exactly; so does a
+term that has several of them near it.
 
 Defined results: NULL and empty texts have no hits and score 0. Without labels only the list is used. Repeated rows are
 scored each; NULL ids are carried through. Extra columns are ignored. All of a long text is scanned.
@@ -17,6 +18,7 @@ scored each; NULL ids are carried through. Extra columns are ignored. All of a l
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,6 +45,10 @@ class ToxicityConfig:
     contexts: int = 8
     clean_share: float = 0.02
     learned: int = 200
+    #: The greatest chance that a learned term would be this rare in the clean sample, were it as common there.
+    chance: float = 1e-7
+    #: A term with so many ordinary words near it only matches exactly.
+    neighbours: int = 2
     #: A term of this length allows one edit, of the second two.
     one_edit: int = 5
     two_edits: int = 9
@@ -59,15 +65,16 @@ _ALNUM = np.array([chr(c).isalnum() for c in range(0x10000)])
 class Automaton:
     """The determinised intersection. ``step[state, letter]``; state 0 is dead, 1 the start; letter 0 is any other."""
 
-    def __init__(self, terms: list[str], config: ToxicityConfig) -> None:
+    def __init__(self, terms: list[str], config: ToxicityConfig, exact: frozenset[str] = frozenset()) -> None:
         self.terms = terms
+        edits_of = lambda t: 0 if t.endswith("*") or t in exact else (len(t) >= config.one_edit) + (len(t) >= config.two_edits)
         children: list[dict[str, int]] = [{}]
         ends: dict[int, int] = {}
         stems: dict[int, int] = {}
         allowed = [0]
         for k, term in enumerate(terms):
             word, node = term.rstrip("*"), 0
-            edits = 0 if term.endswith("*") else (len(word) >= config.one_edit) + (len(word) >= config.two_edits)
+            edits = edits_of(term)
             for c in word:
                 if c not in children[node]:
                     children[node][c] = len(children)
@@ -78,7 +85,7 @@ class Automaton:
             (stems if term.endswith("*") else ends)[node] = k
         letters = sorted({c for d in children for c in d})
         self.letters = {c: i + 1 for i, c in enumerate(letters)}
-        limits = [0 if t.endswith("*") else (len(t) >= config.one_edit) + (len(t) >= config.two_edits) for t in terms]
+        limits = [edits_of(t) for t in terms]
 
         def close(found: dict[int, int]) -> frozenset[tuple[int, int]]:
             """With what deletions of trie letters reach."""
@@ -134,11 +141,13 @@ class Automaton:
         self.step = np.array(step, np.int32)
         self.term = np.full(len(order), -1, np.int32)
         self.edits = np.zeros(len(order), np.int32)
+        self.near: dict[int, list[int]] = {}
         for i, state in enumerate(order):
             best = [(e, ends[v]) for v, e in state if v in ends and e <= limits[ends[v]]]
             best += [(0, stems[v]) for v, e in state if v in stems and e == 0] + [(0, -1 - v) for v, _ in state if v < 0]
             if best:
                 self.edits[i], self.term[i] = min(best)
+                self.near[i] = [k for _, k in best]
         self.table = np.zeros(0x10000, np.int32)
         for c, i in self.letters.items():
             if ord(c) < 0x10000:
@@ -149,6 +158,13 @@ class Automaton:
         self.most = max([len(t) for t in terms if not t.endswith("*")], default=0) + 2
         self.stemmed = bool(stems)
 
+    def terms_near(self, word: str) -> list[str]:
+        """All terms that one word matches."""
+        state = 1
+        for c in word:
+            state = int(self.step[state, self.table[ord(c)] if ord(c) < 0x10000 else OTHER])
+        return [self.terms[k] for k in self.near.get(state, ())]
+
     def hits(self, text: str) -> list[tuple[int, int, int, int]]:
         """(start, end, term, edits) of the words of a lower-cased text that match."""
         out = []
@@ -208,6 +224,8 @@ class Lexicon:
     terms: tuple[str, ...]
     #: Words that only count if they are terms themselves.
     ordinary: frozenset[str]
+    #: Terms that only match exactly.
+    exact: frozenset[str]
 
 
 def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> Lexicon:
@@ -223,7 +241,10 @@ def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     each = each.select("toxic", "word", "before", F.explode(F.array("word", *[F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in (5, 6, 7)])).alias("term")).filter("term IS NOT NULL")
     counts = each.groupBy("term").agg(F.sum((F.col("toxic") == 1).cast("int")).alias("t"), F.sum((F.col("toxic") == 0).cast("int")).alias("c"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("word"))).alias("words"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("before"))).alias("contexts"))
     good = counts.filter((F.col("contexts") >= config.contexts) & (F.col("c") <= config.clean_share * F.col("t")) & (~F.col("term").endswith("*") | (F.col("words") >= 4)))
-    learned = [r.term for r in good.orderBy(F.desc("t"), "term").limit(config.learned).collect()]
+    size = {r.toxic: min(r["count"], config.fit_rows) for r in known.groupBy("toxic").count().collect()}
+    share = size.get(1, 0) / max(1, size.get(0, 0) + size.get(1, 0))
+    unlikely = lambda r: share < 1 and r.t * np.log(max(share, 1e-9)) + r.c * np.log(r.t + r.c) <= np.log(config.chance)
+    learned = [r.term for r in good.orderBy(F.desc("t"), "term").limit(config.learned).collect() if unlikely(r)]
     stems = {t for t in learned if t.endswith("*")}
     covered = lambda t: any(t[:n] + "*" in stems for n in range(1, len(t.rstrip("*"))))
     terms = tuple(sorted({*config.lexicon, *[t for t in learned if not covered(t)]}))
@@ -235,13 +256,15 @@ def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
 
     clean = texts.join(F.broadcast(some[0]), F.col("_doc") == F.col("_id")).select("text").mapInArrow(lean(near), "word string").distinct()
-    return Lexicon(terms, frozenset(r.word for r in clean.collect()))
+    ordinary = frozenset(r.word for r in clean.collect())
+    crowd = Counter(t for w in ordinary for t in automaton.terms_near(w))
+    return Lexicon(terms, ordinary, frozenset(t for t, n in crowd.items() if n >= config.neighbours))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
     """doc_id, score, n_hits, terms (distinct, sorted), toxic: one row for each document."""
     lexicon = learn(docs, labels, config)
-    automaton = Automaton(list(lexicon.terms), config)
+    automaton = Automaton(list(lexicon.terms), config, lexicon.exact)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
