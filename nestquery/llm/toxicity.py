@@ -8,8 +8,9 @@ weight where it is used, a part where it is quoted, reported or negated. A docum
 
 The lexicon is a list of insults and what a bounded labelled sample adds: words and stems that occur in many different
 contexts of toxic documents and hardly in clean ones (contexts, so that copies of a document count once), beyond what
-chance would give. Words near a term that occur in the clean sample are ordinary words and only match exactly; so does a
-term that has several of them near it.
+chance would give. Learned terms match exactly, and only count beyond what a document of that length may hold by chance.
+Words near a listed term that occur in the clean sample are ordinary words and only match exactly; so does a term that
+has several of them near it.
 
 Defined results: NULL and empty texts have no hits and score 0. Without labels only the list is used. Repeated rows are
 scored each; NULL ids are carried through. Extra columns are ignored. All of a long text is scanned.
@@ -41,10 +42,13 @@ class ToxicityConfig:
     lexicon: tuple[str, ...] = INSULTS
     #: Labelled rows of either class in the sample at most, the first in the order of a hash of their id.
     fit_rows: int = 1500
-    #: Contexts in which a learned term was toxic at least, its share in clean documents at most, and learned terms at most.
+    #: Contexts in which a learned term was toxic at least, how much commoner it is in toxic than in clean documents at
+    #: least, and learned terms at most.
     contexts: int = 8
-    clean_share: float = 0.02
+    ratio: float = 20.0
     learned: int = 200
+    #: Words in which one learned term may stand by chance.
+    chance_words: int = 300
     #: The greatest chance that a learned term would be this rare in the clean sample, were it as common there.
     chance: float = 1e-7
     #: A term with so many ordinary words near it only matches exactly.
@@ -226,6 +230,8 @@ class Lexicon:
     ordinary: frozenset[str]
     #: Terms that only match exactly.
     exact: frozenset[str]
+    #: Terms from the sample.
+    learned: frozenset[str]
 
 
 def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> Lexicon:
@@ -240,15 +246,19 @@ def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     each = rows.select("toxic", F.explode(pairs).alias("p")).select("toxic", F.col("p.word").alias("word"), F.col("p.before").alias("before")).filter("length(word) >= 3").distinct()
     each = each.select("toxic", "word", "before", F.explode(F.array("word", *[F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in (5, 6, 7)])).alias("term")).filter("term IS NOT NULL")
     counts = each.groupBy("term").agg(F.sum((F.col("toxic") == 1).cast("int")).alias("t"), F.sum((F.col("toxic") == 0).cast("int")).alias("c"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("word"))).alias("words"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("before"))).alias("contexts"))
-    good = counts.filter((F.col("contexts") >= config.contexts) & (F.col("c") <= config.clean_share * F.col("t")) & (~F.col("term").endswith("*") | (F.col("words") >= 4)))
     size = {r.toxic: min(r["count"], config.fit_rows) for r in known.groupBy("toxic").count().collect()}
-    share = size.get(1, 0) / max(1, size.get(0, 0) + size.get(1, 0))
-    unlikely = lambda r: share < 1 and r.t * np.log(max(share, 1e-9)) + r.c * np.log(r.t + r.c) <= np.log(config.chance)
+    bad, clean_size = size.get(1, 0), max(1, size.get(0, 0))
+    commoner = F.col("t") * clean_size >= config.ratio * bad * (F.col("c") + 1)
+    good = counts.filter((F.col("contexts") >= config.contexts) & commoner & (~F.col("term").endswith("*") | (F.col("words") >= 4)))
+    share = bad / (bad + clean_size)
+    # the logarithm of about the chance of such a split among t + c contexts
+    unlikely = lambda r: r.t * np.log(max(share, 1e-9)) + r.c * np.log(r.t + r.c) <= np.log(config.chance)
     learned = [r.term for r in good.orderBy(F.desc("t"), "term").limit(config.learned).collect() if unlikely(r)]
     stems = {t for t in learned if t.endswith("*")}
     covered = lambda t: any(t[:n] + "*" in stems for n in range(1, len(t.rstrip("*"))))
-    terms = tuple(sorted({*config.lexicon, *[t for t in learned if not covered(t)]}))
-    automaton = Automaton(list(terms), config)
+    new = frozenset(t for t in learned if not covered(t) and t not in config.lexicon)
+    terms = tuple(sorted({*config.lexicon, *new}))
+    automaton = Automaton(list(terms), config, new)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +268,7 @@ def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     clean = texts.join(F.broadcast(some[0]), F.col("_doc") == F.col("_id")).select("text").mapInArrow(lean(near), "word string").distinct()
     ordinary = frozenset(r.word for r in clean.collect())
     crowd = Counter(t for w in ordinary for t in automaton.terms_near(w))
-    return Lexicon(terms, ordinary, frozenset(t for t, n in crowd.items() if n >= config.neighbours))
+    return Lexicon(terms, ordinary, new | {t for t, n in crowd.items() if n >= config.neighbours}, new)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
@@ -274,15 +284,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = Toxici
                 texts = [(t or "").lower() for t in batch.column("text").slice(a, b - a).to_pylist()]
                 edges = np.cumsum([0] + [len(t) + 1 for t in texts])
                 joined = "\0".join(texts)
-                total, n, terms = np.zeros(b - a), np.zeros(b - a, np.int32), [set() for _ in texts]
+                total, found, n, terms = np.zeros(b - a), np.zeros(b - a), np.zeros(b - a, np.int32), [set() for _ in texts]
                 for s, e, term, edits in automaton.hits(joined):
                     if edits and joined[s:e] in lexicon.ordinary:
                         continue
                     r = int(np.searchsorted(edges, s, side="right")) - 1
-                    total[r] += weight(texts[r], s - int(edges[r]), e - int(edges[r]), edits, config)
+                    value = weight(texts[r], s - int(edges[r]), e - int(edges[r]), edits, config)
+                    if automaton.terms[term] in lexicon.learned:
+                        found[r] += min(1.0, value)
+                    else:
+                        total[r] += value
                     n[r] += 1
                     terms[r].add(automaton.terms[term])
-                sums.append(total)
+                words = np.array([t.count(" ") + 1 for t in texts])
+                sums.append(total + np.maximum(0.0, found - words / config.chance_words))
                 numbers.append(n)
                 names += [sorted(t) for t in terms]
             total = np.round(np.concatenate(sums), 6) if sums else np.zeros(0)
