@@ -50,6 +50,12 @@ class _Compiler:
         if q.having is not None:
             df = df.filter(self.condition(self.named(q.having)))
         df = self.windows(df)
+        if q.distinct and q.order and q.limit is None:
+            places = {o.expr: o.alias or (self.output_name(o),) for o in q.select or ()}
+            by = [places.get(self.named(o.arg)) for o in q.order]
+            if all(by):  # equal rows are equal in order too, so that only the rows that stay are sorted
+                keys = [(E(F.col(".".join(map(quoted, path))), self.expr(self.named(o.arg)).type), o.descending) for path, o in zip(by, q.order)]
+                return distinct(self.project(df), False).orderBy(*[sort_key(e, d) for e, d in keys])
         order = [(self.expr(self.named(o.arg)), o.descending) for o in q.order]
         if order:
             df = df.orderBy(*[sort_key(e, d) for e, d in order])

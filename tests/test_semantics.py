@@ -9,7 +9,7 @@ from enum import Enum
 import pytest
 from pyspark.sql import functions as F
 
-from nestquery import cli, sinks
+from nestquery import catalogue, cli, sinks
 from nestquery.engine import Engine, prepare, query, query_json
 from nestquery.errors import BindError, ExecutionError, MappingError, ParseError
 from nestquery.plans.lexer import scan
@@ -256,4 +256,21 @@ def test_plans(spark, tmp_path):
     assert "TakeOrderedAndProject" in plan(query(spark, "SELECT id FROM $r ORDER BY k DESC, id LIMIT 5", df))
     p = plan(query(spark, "SELECT id, SUM(k) OVER () AS s FROM $r", df))
     assert "Window" not in p and "wide" not in p
+    assert "monotonically" not in plan(query(spark, "SELECT DISTINCT k AS kind FROM $r ORDER BY kind DESC", df))
+    assert "monotonically" in plan(query(spark, "SELECT DISTINCT k FROM $r ORDER BY id", df))
     assert from_json(spark, "[]").count() == 0
+
+
+def test_distinct_in_order(spark):
+    assert column(spark, "SELECT DISTINCT team AS a.b FROM $r ORDER BY team DESC") == [{"b": "y"}, {"b": "x"}, {"b": None}]
+    assert column(spark, "SELECT DISTINCT UPPER(team) AS t FROM $r ORDER BY t") == [None, "X", "Y"]
+
+
+def test_catalogue():
+    names = {f.name: f for f in catalogue.functions()}
+    assert {"LPAD", "SUM", "NTILE", "CAST"} <= set(names) and (names["LPAD"].least, names["LPAD"].most, names["CONCAT"].most) == (3, 3, None)
+    assert {"SELECT", "CONTAINS"} <= set(catalogue.keywords())
+    assert [t.text for t in catalogue.tokenize("SELECT a ~ 'x")] == ["SELECT", "a", "~", "'", "x"]
+    for f in catalogue.functions():  # all are known to the parser
+        args = ", ".join(["a"] * f.least)
+        parse(f"SELECT {f.name}({args}){' OVER (ORDER BY a)' if f.kind == 'window' else ''} AS x FROM $r" if f.name != "CAST" else "SELECT CAST(a AS STRING) AS x FROM $r")
