@@ -43,20 +43,22 @@ class TokenCountConfig:
     pattern: str = PATTERN
     giant: int = 65_536
     chunk: int = 16_384
-    #: Pieces, and states of the transducer, that a worker keeps.
-    pieces: int = 300_000
-    states: int = 250_000
+    #: Pieces (and pairs of tokens), and states of the transducer, that a worker keeps.
+    pieces: int = 600_000
+    states: int = 400_000
     #: Bytes of a pre-token up to which its states are kept.
     depth: int = 48
 
 
 class State:
-    """A prefix of a pre-token: its last token, its number of tokens, and the states that bytes lead to."""
+    """A prefix of a pre-token: its last token, its number of tokens, and the states that bytes lead to, each with the
+    change in the number."""
 
-    __slots__ = ("last", "count", "up", "next")
+    __slots__ = ("last", "count", "open", "next")
 
-    def __init__(self, last: int, count: int, up: State | None) -> None:
-        self.last, self.count, self.up = last, count, up
+    def __init__(self, last: int, count: int, open: tuple[int, ...]) -> None:
+        #: ``open``: where tokens may begin that reach beyond the prefix.
+        self.last, self.count, self.open = last, count, open
         self.next: dict[int, tuple[State, int]] = {}
 
 
@@ -68,10 +70,13 @@ class Transducer(dict):
         with open(config.vocabulary, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.longest = max(map(len, self.ranks))
+        #: What tokens begin with: the rank of a token, else -1.
+        self.begun = {t[:k]: -1 for t in self.ranks for k in range(1, len(t))} | self.ranks
         self.split = regex.compile(config.pattern).findall
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.splits: dict[int, tuple[int, int]] = {}
-        self.start, self.made = State(-1, 0, None), 1
+        self.pairs: dict[int, bool] = {}
+        self.start, self.made = State(-1, 0, (0,)), 1
 
     def __missing__(self, piece: str) -> int:
         if len(self) >= self.config.pieces:
@@ -117,21 +122,32 @@ class Transducer(dict):
                     if a == limit:
                         return True
 
-    def step(self, word: bytes, state: State, at: int) -> State:
-        """Compiles the transition from ``word[:at]`` by the next byte."""
-        chain = []
-        back: State | None = state
-        while back is not None and len(chain) < self.longest:
-            chain.append(back)
-            back = back.up
-        ranks = self.ranks
-        for size in range(len(chain), 0, -1):
-            token = ranks.get(word[at + 1 - size : at + 1])
-            if token is not None:
-                before = chain[size - 1]
-                if before.last < 0 or self.compatible(before.last, token):
-                    return State(token, before.count + 1, state)
-        raise ValueError(f"byte {word[at]} is not in the vocabulary")
+    def fits(self, a: int, b: int) -> bool:
+        """``compatible`` with a bounded memory."""
+        pair = a << 32 | b
+        known = self.pairs.get(pair)
+        if known is None:
+            if len(self.pairs) >= self.config.pieces:
+                self.pairs.clear()
+            known = self.pairs[pair] = self.compatible(a, b)
+        return known
+
+    def step(self, word: bytes, path: list[State]) -> State:
+        """Compiles the transition from the last state of ``path``, which ``word`` has gone through, by the next byte."""
+        end, found = len(path), None
+        begun, still = self.begun.get, [end]
+        for start in path[-1].open:
+            token = begun(word[start:end])
+            if token is None:
+                continue
+            still.append(start)
+            if token >= 0 and found is None:
+                before = path[start]
+                if before.last < 0 or self.fits(before.last, token):
+                    found = token, before.count + 1
+        if found:
+            return State(*found, tuple(sorted(still)))
+        raise ValueError(f"byte {word[end - 1]} is not in the vocabulary")
 
     def word(self, word: bytes) -> int:
         """The number of tokens of a pre-token."""
@@ -140,17 +156,19 @@ class Transducer(dict):
         if len(word) > self.config.depth:
             return self.long(word)
         state, count = self.start, 0
-        for at, byte in enumerate(word):
+        path = [state]
+        for byte in word:
             known = state.next.get(byte)
             if known is None:
                 if self.made >= self.config.states:
-                    self.start, self.made = State(-1, 0, None), 1
+                    self.start, self.made = State(-1, 0, (0,)), 1
                     return self.word(word)
-                new = self.step(word, state, at)
+                new = self.step(word, path)
                 known = state.next[byte] = (new, new.count - state.count)
                 self.made += 1
             state, change = known
             count += change
+            path.append(state)
         return count
 
     def long(self, word: bytes) -> int:
@@ -159,7 +177,7 @@ class Transducer(dict):
         for at in range(len(word)):
             for size in range(min(at + 1, self.longest), 0, -1):
                 token = self.ranks.get(word[at + 1 - size : at + 1])
-                if token is not None and (last[at + 1 - size] < 0 or self.compatible(last[at + 1 - size], token)):
+                if token is not None and (last[at + 1 - size] < 0 or self.fits(last[at + 1 - size], token)):
                     last.append(token)
                     count.append(count[at + 1 - size] + 1)
                     break
