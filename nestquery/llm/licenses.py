@@ -96,6 +96,7 @@ TEMPLATES: dict[str, str] = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "SPDX-MIT": "SPDX-License-Identifier: MIT",
     "SPDX-Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "All-rights-reserved-line": "All rights reserved",
     "All-rights-reserved": "All rights reserved. No part of this publication may be reproduced",
 }
 

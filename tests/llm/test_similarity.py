@@ -205,3 +205,11 @@ def test_licences_of_the_table_against_all_windows(spark):
                 want.add((i, name))
     got = {(r.doc_id, r.license) for r in lc.license_scan(d).collect()}
     assert want <= got
+
+
+def test_all_rights_reserved(spark):
+    filler = " ".join(f"f{i}" for i in range(300))
+    long = lc.TEMPLATES["All-rights-reserved"]
+    rows = [(1, f"{filler}.\nAll rights reserved."), (2, "ALL RIGHTS RESERVED"), (3, f"{filler} all rights {filler} reserved"), (4, f"{filler}. {long} {filler}")]
+    got = {(r.doc_id, r.license) for r in lc.license_scan(docs(spark, rows)).collect()}
+    assert got == {(1, "All-rights-reserved-line"), (2, "All-rights-reserved-line"), (4, "All-rights-reserved-line"), (4, "All-rights-reserved")}
