@@ -2,15 +2,16 @@
 
 The intersection is determinised once: a state is a set of (trie node, edits so far), so a word in the text is matched
 against the whole lexicon, misspellings included, by one walk. All words of a block of text walk together, one
-character a step, and most leave after two. The first character must be right and short terms allow no edits, which keeps
-ordinary neighbours out. A stem (``term*``) also matches any ending. Each hit is scored by its window of words: full
+character a step, and most leave after two. An edit is a letter too many, missing or wrong, or two neighbours swapped. The
+first character must be right and short terms allow no edits, which keeps ordinary neighbours out. A stem (``term*``) also matches any ending. Each hit is scored by its window of words: full
 weight where it is used, a part where it is quoted, reported or negated. A document is toxic from a sum of ``threshold``.
 
 The lexicon is a list of insults and what a bounded labelled sample adds: words and stems that occur in many different
 contexts of toxic documents and hardly in clean ones (contexts, so that copies of a document count once), beyond what
-chance would give. Learned terms match exactly, and only count beyond what a document of that length may hold by chance.
-Words near a listed term that occur in the clean sample are ordinary words and only match exactly; so does a term that
-has several of them near it.
+chance would give. Learned words allow edits by their length as listed ones do, learned stems none; both only count beyond
+what a document of that length may hold by chance. Words near a term that stand in several contexts of the clean sample,
+neither quoted nor reported nor negated, are ordinary words and only match exactly; so does a term that has several of
+them near it.
 
 Defined results: NULL and empty texts have no hits and score 0. Without labels only the list is used. Repeated rows are
 scored each; NULL ids are carried through. Extra columns are ignored. All of a long text is scanned.
@@ -51,6 +52,8 @@ class ToxicityConfig:
     chance_words: int = 300
     #: The greatest chance that a learned term would be this rare in the clean sample, were it as common there.
     chance: float = 1e-7
+    #: Contexts of the clean sample in which a word near a term must stand plainly to be ordinary.
+    frequent: int = 3
     #: A term with so many ordinary words near it only matches exactly.
     neighbours: int = 2
     #: A term of this length allows one edit, of the second two.
@@ -63,6 +66,8 @@ class ToxicityConfig:
 
 DEAD, OTHER = 0, 0
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
+#: A node of the trie, the ending of stem k (-1 - k), or a node with the first letter read of a swapped pair below it.
+Node = int | tuple[int, str]
 _ALNUM = np.array([chr(c).isalnum() for c in range(0x10000)])
 
 
@@ -91,12 +96,12 @@ class Automaton:
         self.letters = {c: i + 1 for i, c in enumerate(letters)}
         limits = [edits_of(t) for t in terms]
 
-        def close(found: dict[int, int]) -> frozenset[tuple[int, int]]:
+        def close(found: dict[Node, int]) -> frozenset[tuple[Node, int]]:
             """With what deletions of trie letters reach."""
             todo = list(found.items())
             while todo:
                 v, e = todo.pop()
-                if v <= 0:
+                if isinstance(v, tuple) or v <= 0:
                     continue
                 for w in children[v].values():
                     if e + 1 <= allowed[w] and e + 1 < found.get(w, 99):
@@ -104,9 +109,14 @@ class Automaton:
                         todo.append((w, e + 1))
             return frozenset(found.items())
 
-        def move(state: frozenset[tuple[int, int]], c: str | None) -> frozenset[tuple[int, int]]:
-            found: dict[int, int] = {}
+        def move(state: frozenset[tuple[Node, int]], c: str | None) -> frozenset[tuple[Node, int]]:
+            found: dict[Node, int] = {}
             for v, e in state:
+                if isinstance(v, tuple):  # the second letter of a swapped pair is next
+                    w = children[children[v[0]][c]].get(v[1]) if c in children[v[0]] else None
+                    if w is not None and e <= allowed[w]:
+                        found[w] = min(found.get(w, 99), e)
+                    continue
                 if v < 0:  # inside the ending of a stem
                     found[v] = 0
                     continue
@@ -116,6 +126,8 @@ class Automaton:
                     cost = e + (d != c)
                     if cost <= (allowed[w] if v else 0) or (d == c and cost == 0):
                         found[w] = min(found.get(w, 99), cost)
+                    if v and c != d and (x := children[w].get(c)) is not None and e + 1 <= allowed[x]:  # perhaps swapped with d
+                        found[v, c] = min(found.get((v, c), 99), e + 1)
                 if v and e + 1 <= allowed[v]:  # a letter too many
                     found[v] = min(found.get(v, 99), e + 1)
             return close(found)
@@ -126,7 +138,8 @@ class Automaton:
         k = 1
         while k < len(order):
             state = order[k]
-            near = {d for v, _ in state if v >= 0 for d in children[v]}
+            near = {d for v, _ in state if isinstance(v, tuple) or v >= 0 for d in children[v[0] if isinstance(v, tuple) else v]}
+            near |= {d for v, _ in state if not isinstance(v, tuple) and v > 0 for w in children[v].values() for d in children[w]}
             rest = None
             row = []
             for c in [None, *letters]:
@@ -148,7 +161,7 @@ class Automaton:
         self.near: dict[int, list[int]] = {}
         for i, state in enumerate(order):
             best = [(e, ends[v]) for v, e in state if v in ends and e <= limits[ends[v]]]
-            best += [(0, stems[v]) for v, e in state if v in stems and e == 0] + [(0, -1 - v) for v, _ in state if v < 0]
+            best += [(0, stems[v]) for v, e in state if v in stems and e == 0] + [(0, -1 - v) for v, _ in state if not isinstance(v, tuple) and v < 0]
             if best:
                 self.edits[i], self.term[i] = min(best)
                 self.near[i] = [k for _, k in best]
@@ -204,23 +217,28 @@ class Automaton:
 _OPEN, _CLOSE = "\"“«„‘", "\"”»“’"
 _REPORT = re.compile(r"\b(?:said|says|say|wrote|writes|called|calls|calling|quote|quoted|quotes|quoting|word|words|term|terms|title|titled|named|according|the word|so-called|reported|alleged)\b")
 _NOT = re.compile(r"\b(?:not|never|isn't|aren't|wasn't|no)\s+(?:an?\s+|the\s+)?$")
+_LAST = re.compile(r"\w*(?=\W*$)")
 _YOU = re.compile(r"\b(?:you|you're|your|u)\b")
 
 
 def weight(text: str, start: int, end: int, edits: int, config: ToxicityConfig) -> float:
     """The score of a hit in its window."""
+    return (1.0, 0.8, 0.6)[min(edits, 2)] * use(text, start, end, config)
+
+
+def use(text: str, start: int, end: int, config: ToxicityConfig) -> float:
+    """The share of a hit that counts as it is used: less than 1 where it is quoted, reported or negated."""
     before, after = text[max(0, start - config.window) : start], text[end : end + config.window]
-    score = (1.0, 0.8, 0.6)[min(edits, 2)]
     for o, c in zip(_OPEN, _CLOSE):
         left, right = before.rfind(o), after.find(c)
         inside = left >= 0 and right >= 0 and "\n" not in before[left:] and (before.count(o) % 2 == 1 if o == c else before.rfind(c) < left)
         if inside:
-            return score * 0.2
+            return 0.2
     if _NOT.search(before):
-        return score * 0.5
+        return 0.5
     if _REPORT.search(before[-40:]):
-        return score * 0.4
-    return score * (1.3 if _YOU.search(before[-30:]) or _YOU.search(after[:30]) else 1.0)
+        return 0.4
+    return 1.3 if _YOU.search(before[-30:]) or _YOU.search(after[:30]) else 1.0
 
 
 @dataclass(frozen=True)
@@ -258,17 +276,22 @@ def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     covered = lambda t: any(t[:n] + "*" in stems for n in range(1, len(t.rstrip("*"))))
     new = frozenset(t for t in learned if not covered(t) and t not in config.lexicon)
     terms = tuple(sorted({*config.lexicon, *new}))
-    automaton = Automaton(list(terms), config, new)
+    automaton = Automaton(list(terms), config)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {t[a:b] for t in batch.column("text").to_pylist() for a, b, _, edits in automaton.hits(t) if edits}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
-
-    clean = texts.join(F.broadcast(some[0]), F.col("_doc") == F.col("_id")).select("text").mapInArrow(lean(near), "word string").distinct()
-    ordinary = frozenset(r.word for r in clean.collect())
+            found = set()
+            for t in batch.column("text").to_pylist():
+                for a, b, _, edits in automaton.hits(t):
+                    if edits and use(t, a, b, config) >= 1:
+                        found.add((t[a:b], _LAST.search(t[max(0, a - config.window) : a])[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*sorted(found))] or [pa.array([], pa.string())] * 2, names=["word", "before"])
+
+    clean = texts.join(F.broadcast(some[0]), F.col("_doc") == F.col("_id")).select("text").mapInArrow(lean(near), "word string, before string")
+    seen = clean.groupBy("word").agg(F.count_distinct("before").alias("contexts"))
+    ordinary = frozenset(r.word for r in seen.filter(F.col("contexts") >= config.frequent).collect())
     crowd = Counter(t for w in ordinary for t in automaton.terms_near(w))
-    return Lexicon(terms, ordinary, new | {t for t, n in crowd.items() if n >= config.neighbours}, new)
+    return Lexicon(terms, ordinary, frozenset(t for t, n in crowd.items() if n >= config.neighbours), new)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:

@@ -266,3 +266,33 @@ def test_words():
         for x, y in zip(h.tolist(), w):
             assert seen.setdefault(y, x) == x
     assert len(set(seen.values())) == len(seen)
+
+
+def test_swapped_letters():
+    config = to.ToxicityConfig()
+    terms = ["idiot", "moron", "scum", "worthless", "pathetic"]
+    automaton = to.Automaton(terms, config)
+    for t in terms:
+        for i in range(1, len(t) - 1):
+            w = t[:i] + t[i + 1] + t[i] + t[i + 2 :]
+            hits = automaton.hits(w)
+            assert [(terms[k], e) for *_, k, e in hits] == ([(t, int(w != t))] if len(t) >= config.one_edit or w == t else []), w
+    assert automaton.hits("wrothles") and not automaton.hits("idoti x") and not automaton.hits("wrohtles")
+
+
+def test_misspelled_learned_words(spark):
+    """A word that only the sample has is found misspelled; what is rare or quoted in clean rows stays a hit."""
+    toxic = [(i, f"wort{i} und dann dummkopf{'' if i % 2 else ' sagte'} a{i} dummkopf b{i}") for i in range(60)]
+    plain = [(100 + i, f"ganz c{i} normale d{i} worte morons" + (" idoit" if i == 0 else "") + (' "morron" ' if i < 9 else "") + f" e{i} dumkopf" * (i == 1)) for i in range(60)]
+    lab = labels(spark, [(i, 1, 1) for i, _ in toxic] + [(i, 1, 0) for i, _ in plain])
+    d = docs(spark, toxic + plain + [(900, "so ein dummkofp oder du dumkopf"), (901, "an idoit"), (902, "a morron")])
+    lexicon = to.learn(d, lab)
+    assert "dummkopf" in lexicon.learned and not lexicon.exact & {"dummkopf", "idiot", "moron"} and not lexicon.ordinary
+    got = {r.doc_id: (r.n_hits, r.terms) for r in to.toxicity(d, lab).filter("doc_id >= 900").collect()}
+    assert got == {900: (2, ["dummkopf"]), 901: (1, ["idiot"]), 902: (1, ["moron"])}
+
+
+def test_ordinary_words(spark):
+    plain = [(i, f"c{i} moran d{i} stands") for i in range(20)]
+    lexicon = to.learn(docs(spark, plain), labels(spark, [(i, 1, 0) for i, _ in plain]))
+    assert lexicon.ordinary == {"moran"}
