@@ -4,7 +4,8 @@ The intersection is determinised once: a state is a set of (trie node, edits so
 against the whole lexicon, misspellings included, by one walk. All words of a block of text walk together, one
 character a step, and most leave after two. An edit is a letter too many, missing or wrong, or two neighbours swapped. The
 first character must be right and short terms allow no edits, which keeps ordinary neighbours out. A stem (``term*``) also matches any ending. Each hit is scored by its window of words: full
-weight where it is used, a part where it is quoted, reported or negated. A document is toxic from a sum of ``threshold``.
+weight where it is used, a part where it is quoted, reported or negated. A document is toxic from a sum of ``threshold``,
+which one hit that is used reaches, misspelled or not.
 
 The lexicon is a list of insults and what a bounded labelled sample adds: words and stems that occur in many different
 contexts of toxic documents and hardly in clean ones (contexts, so that copies of a document count once), beyond what
@@ -223,7 +224,7 @@ _YOU = re.compile(r"\b(?:you|you're|your|u)\b")
 
 def weight(text: str, start: int, end: int, edits: int, config: ToxicityConfig) -> float:
     """The score of a hit in its window."""
-    return (1.0, 0.8, 0.6)[min(edits, 2)] * use(text, start, end, config)
+    return (1.0, 0.95, 0.9)[min(edits, 2)] * use(text, start, end, config)
 
 
 def use(text: str, start: int, end: int, config: ToxicityConfig) -> float:

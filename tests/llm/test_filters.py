@@ -296,3 +296,9 @@ def test_ordinary_words(spark):
     plain = [(i, f"c{i} moran d{i} stands") for i in range(20)]
     lexicon = to.learn(docs(spark, plain), labels(spark, [(i, 1, 0) for i, _ in plain]))
     assert lexicon.ordinary == {"moran"}
+
+
+def test_one_misspelled_insult(spark):
+    rows = [(1, "what an idoit"), (2, "a wrothles fellow"), (3, 'a "wrothles" fellow'), (4, "not an idoit"), (5, "they wrote idoit there"), (6, "an idiot")]
+    got = {r.doc_id: r.toxic for r in to.toxicity(docs(spark, rows), labels(spark)).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True}
