@@ -10,7 +10,7 @@ which one hit that is used reaches, misspelled or not.
 The lexicon is a list of insults and what a bounded labelled sample adds: words and stems that occur in many different
 contexts of toxic documents and hardly in clean ones (contexts, so that copies of a document count once), beyond what
 chance would give. Learned words allow edits by their length as listed ones do, learned stems none; both only count beyond
-what a document of that length may hold by chance. Words near a term that stand in several contexts of the clean sample,
+what chance may put in the densest window of words, of sizes from the document down by halves. Words near a term that stand in several contexts of the clean sample,
 neither quoted nor reported nor negated, are ordinary words and only match exactly; so does a term that has several of
 them near it.
 
@@ -242,6 +242,33 @@ def use(text: str, start: int, end: int, config: ToxicityConfig) -> float:
     return 1.3 if _YOU.search(before[-30:]) or _YOU.search(after[:30]) else 1.0
 
 
+def by_chance(words: np.ndarray, places: np.ndarray, config: ToxicityConfig) -> np.ndarray:
+    """Learned hits that chance may put in the densest of so many windows of so many words; with one window, the mean.
+
+    The k above the mean m with exp(-(k ln(k/m) - k + m)), Chernoff's bound of k Poisson hits in one window, at 1/places.
+    """
+    mean, rare = words / config.chance_words, np.log(places)
+    low, high = mean, mean + 2 * rare + np.sqrt(2 * mean * rare)
+    for _ in range(40):
+        k = (low + high) / 2
+        over = k * np.log(k / mean) - k + mean > rare
+        low, high = np.where(over, low, k), np.where(over, k, high)
+    return high
+
+
+def beyond_chance(at: list[int], values: list[float], words: int, config: ToxicityConfig) -> float:
+    """The greatest excess of learned hits, at these words, over chance in a window of the document."""
+    if not at:
+        return 0.0
+    place, sums = np.array(at), np.concatenate(([0.0], np.cumsum(values)))
+    sizes = [words]
+    while sizes[-1] > 1:
+        sizes.append(sizes[-1] // 2)
+    most = [float((sums[np.searchsorted(place, place + w)] - sums[:-1]).max()) for w in sizes]
+    size = np.array(sizes, float)
+    return max(0.0, float((np.array(most) - by_chance(size, words / size, config)).max()))
+
+
 @dataclass(frozen=True)
 class Lexicon:
     terms: tuple[str, ...]
@@ -308,20 +335,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = Toxici
                 texts = [(t or "").lower() for t in batch.column("text").slice(a, b - a).to_pylist()]
                 edges = np.cumsum([0] + [len(t) + 1 for t in texts])
                 joined = "\0".join(texts)
-                total, found, n, terms = np.zeros(b - a), np.zeros(b - a), np.zeros(b - a, np.int32), [set() for _ in texts]
+                total, n, terms = np.zeros(b - a), np.zeros(b - a, np.int32), [set() for _ in texts]
+                found: dict[int, tuple[list[int], list[float]]] = {}
                 for s, e, term, edits in automaton.hits(joined):
                     if edits and joined[s:e] in lexicon.ordinary:
                         continue
                     r = int(np.searchsorted(edges, s, side="right")) - 1
                     value = weight(texts[r], s - int(edges[r]), e - int(edges[r]), edits, config)
                     if automaton.terms[term] in lexicon.learned:
-                        found[r] += min(1.0, value)
+                        starts, values = found.setdefault(r, ([], []))
+                        starts.append(s - int(edges[r]))
+                        values.append(min(1.0, value))
                     else:
                         total[r] += value
                     n[r] += 1
                     terms[r].add(automaton.terms[term])
-                words = np.array([t.count(" ") + 1 for t in texts])
-                sums.append(total + np.maximum(0.0, found - words / config.chance_words))
+                for r, (starts, values) in found.items():
+                    at = np.cumsum([texts[r].count(" ", x, y) for x, y in zip([0, *starts], starts)])
+                    total[r] += beyond_chance(at.tolist(), values, texts[r].count(" ") + 1, config)
+                sums.append(total)
                 numbers.append(n)
                 names += [sorted(t) for t in terms]
             total = np.round(np.concatenate(sums), 6) if sums else np.zeros(0)

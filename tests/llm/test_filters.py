@@ -302,3 +302,20 @@ def test_one_misspelled_insult(spark):
     rows = [(1, "what an idoit"), (2, "a wrothles fellow"), (3, 'a "wrothles" fellow'), (4, "not an idoit"), (5, "they wrote idoit there"), (6, "an idiot")]
     got = {r.doc_id: r.toxic for r in to.toxicity(docs(spark, rows), labels(spark)).collect()}
     assert got == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True}
+
+
+def test_learned_hits_in_a_long_document(spark):
+    config = to.ToxicityConfig()
+    for n in (300, 3_000, 100_000):  # ten hits within 100 words, at the start, in the middle and at the end
+        for first in (0, n // 2, n - 100):
+            assert to.beyond_chance([first + 10 * i for i in range(10)], [1.0] * 10, n, config) >= config.threshold, (n, first)
+        assert to.beyond_chance(list(range(0, n, 300)), [1.0] * len(range(0, n, 300)), n, config) < config.threshold  # no more than chance
+    assert to.beyond_chance([], [], 100, config) == 0 and to.beyond_chance([0], [1.0], 1, config) >= config.threshold
+    toxic = [(i, f"a{i} dummkopf b{i} dummkopf c{i}") for i in range(60)]
+    plain = [(100 + i, f"ganz c{i} normale d{i} worte e{i}") for i in range(60)]
+    calm = "schoene wiesen " * 2_500
+    passage = " ".join(f"x{i} dummkopf" for i in range(10))
+    d = docs(spark, toxic + plain + [(900, passage), (901, f"{calm}{passage} {calm}"), (902, calm), (903, f"{calm} dummkopf {calm}")])
+    lab = labels(spark, [(i, 1, 1) for i, _ in toxic] + [(i, 1, 0) for i, _ in plain])
+    got = {r.doc_id: r.toxic for r in to.toxicity(d, lab).filter("doc_id >= 900").collect()}
+    assert got == {900: True, 901: True, 902: False, 903: False}
