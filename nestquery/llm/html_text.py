@@ -45,6 +45,7 @@ class Tree:
         self.tag, self.parent = ["body"], [-1]
         self.texts: list[tuple[int, str]] = []
         stack = [0]
+        self.raw = 0  # open elements whose text is none
         at, n = 0, len(page)
         low: str | None = None
         while at < n:
@@ -100,22 +101,27 @@ class Tree:
                 at = n if end < 0 else end + 1
                 continue
             stack.append(node)
+            self.raw += tag in RAW
 
     def _text(self, stack: list[int], s: str) -> None:
-        if not any(self.tag[i] in RAW for i in stack) if len(stack) < 9 else not any(self.tag[i] in RAW for i in stack[:9]):
+        if not self.raw:
             s = html.unescape(s) if "&" in s else s
             self.texts.append((stack[-1], s))
 
+    def _pop(self, stack: list[int], k: int) -> None:
+        self.raw -= sum(self.tag[i] in RAW for i in stack[k:])
+        del stack[k:]
+
     def _close(self, stack: list[int], tag: str) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if self.tag[stack[k]] == tag:
-                del stack[k:]
+                self._pop(stack, k)
                 return
 
     def _imply(self, stack: list[int], tag: str) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if self.tag[stack[k]] == tag:
-                del stack[k:]
+                self._pop(stack, k)
                 return
             if self.tag[stack[k]] in SCOPE:
                 return

@@ -319,3 +319,10 @@ def test_learned_hits_in_a_long_document(spark):
     lab = labels(spark, [(i, 1, 1) for i, _ in toxic] + [(i, 1, 0) for i, _ in plain])
     got = {r.doc_id: r.toxic for r in to.toxicity(d, lab).filter("doc_id >= 900").collect()}
     assert got == {900: True, 901: True, 902: False, 903: False}
+
+
+@pytest.mark.parametrize("depth", [1, 7, 8, 9, 60])
+@pytest.mark.parametrize("tag", ["noscript", "template", "svg"])
+def test_no_text_at_any_depth(depth, tag):
+    page = "<div>" * depth + f"<p>shown</p><{tag}><b>hidden</b></{tag}><p>after</p>" + "</div>" * depth + f"<{tag}><p>hidden</{tag}>end"
+    assert [t for _, t in ht.Tree(page).texts] == ["shown", "after", "end"]
