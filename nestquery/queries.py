@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -179,6 +179,11 @@ _same("order_by_expr", "SELECT p_partkey FROM part ORDER BY LENGTH(p_name) DESC,
 _add("order_by_nulls", "SELECT c_custkey FROM $r ORDER BY bal, c_custkey LIMIT 50", f"SELECT c_custkey FROM {_GAPS} ORDER BY bal NULLS FIRST, c_custkey LIMIT 50", root=_gaps)
 _same("order_by_alias", "SELECT s_suppkey AS k, ROUND(s_acctbal, 0) AS bal FROM supplier ORDER BY bal DESC, k LIMIT 20")
 _same("order_by_case", "SELECT o_orderkey FROM orders ORDER BY CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 3 END, o_orderkey LIMIT 60")
+#: The same over the whole table: a full sort, not a top-k.
+SORTS = tuple(f"{_n}_all" for _n in ("order_by_multi", "order_by_expr", "order_by_nulls", "order_by_alias", "order_by_case", "order_by_agg", "win_order_by"))
+for _n in SORTS:
+    _c = CASES[_n.removesuffix("_all")]
+    CASES[_n] = replace(_c, sql=_c.sql.rpartition(" LIMIT ")[0], oracle=_c.oracle.rpartition(" LIMIT ")[0])
 _same("limit", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 25")
 _same("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 100")
 _same("top_n", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber LIMIT 50")

@@ -1,7 +1,7 @@
 """Every query of the entry point's core against the same SQL in DuckDB."""
 
 import pytest
-from conftest import DATA, multiset
+from conftest import DATA, multiset, plain
 
 from nestquery import queries
 
@@ -20,6 +20,17 @@ def test_query(name, spark, oracle):
     assert multiset(got) == multiset([tuple(r[i] for i in at) for r in rows])
 
 
+@pytest.mark.parametrize("name", queries.SORTS)
+def test_full_sort(name, spark, oracle):
+    """All rows, in order."""
+    df = queries.QUERIES[name](spark, DATA)
+    names, rows = oracle(queries.ORACLE[name])
+    assert df.columns == names and [plain(tuple(r)) for r in df.collect()] == [plain(r) for r in rows]
+    limited = queries.QUERIES[name.removesuffix("_all")](spark, DATA)
+    assert len(rows) >= limited.count() and "LIMIT" not in queries.ORACLE[name]
+    assert "TakeOrdered" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
