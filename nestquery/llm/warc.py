@@ -157,15 +157,26 @@ class _Inflating:
         head, self.out = self.out[: at + len(mark)], self.out[at + len(mark) :]
         return head
 
-    def finish(self) -> None:
-        """To the end of the member."""
-        while not self.z.eof:
-            self.out = b""
+    def skip(self, n: int) -> None:
+        while n > 0 and (self.out or self._more()):
+            n, self.out = n - min(n, len(self.out)), self.out[n:]
+        if n > 0:
+            raise EOFError("a compressed record is cut short")
+
+    def finish(self) -> bool:
+        """Past the blank lines that close a record. Whether the member ends there; then the file stands behind it."""
+        while True:
+            self.out = self.out.lstrip(b"\r\n")
+            if self.out:
+                return False
+            if self.z.eof:
+                break
             if not self._more():
                 raise EOFError("a compressed record is cut short")
         back = len(self.z.unused_data)
         if back:
             self.stream.seek(-back, 1)
+        return True
 
 
 def _skip_length(head: bytes) -> int:
@@ -219,12 +230,16 @@ def records(stream: BinaryIO, name: str, filters: list[Filter], columns: set[str
     need = columns & BLOCK_COLUMNS
     end = stream.seek(0, 2)
     stream.seek(0)
-    while (at := stream.tell()) < end:
-        peek = stream.read(28)
-        stream.seek(at)
+    member: _Inflating | None = None  # that holds more records
+    at = 0
+    while member or (at := stream.tell()) < end:
+        peek = b""
+        if not member:
+            peek = stream.read(28)
+            stream.seek(at)
         try:
-            if peek[:2] == b"\x1f\x8b":
-                source: Any = _Inflating(stream)
+            if member or peek[:2] == b"\x1f\x8b":
+                source: Any = member or _Inflating(stream)
                 head = source.line_end(b"\r\n\r\n", MOST_HEADERS)
             else:
                 lead = 0
@@ -257,7 +272,9 @@ def records(stream: BinaryIO, name: str, filters: list[Filter], columns: set[str
             elif (skip := _skip_length(peek)) and at + skip <= end:
                 stream.seek(at + skip)
             else:
-                source.finish()
+                if block is None:
+                    source.skip(length)
+                member = None if source.finish() else source
         except (ValueError, EOFError, zlib.error):
             if strict:
                 raise

@@ -96,3 +96,17 @@ def test_awkward_pages(spark, tmp_path):
     warc.write_warc(warc.pages_as_records(pages.limit(0)), empty)
     assert warc.pages_from_records(spark, empty).collect() == []
     assert not [f for f in (tmp_path / "w").iterdir() if f.name.startswith("_0")]
+
+
+def test_records_that_share_a_member():
+    kinds = [("request", "a", b"x" * 500_000), ("response", "b", HTTP), ("metadata", "c", b""), ("response", "d", HTTP)]
+    whole = gzip.compress(b"".join(record(k, u, b, compressed=False) for k, u, b in kinds))
+    for data, want in ((whole, "abcd"), (whole + record("response", "e", HTTP), "abcde"), (whole * 2, "abcdabcd")):
+        got = list(warc.records(io.BytesIO(data), "f", [], COLUMNS))
+        assert "".join(r["target_uri"] for r in got) == want and got[1]["payload"] == b"body" and got[0]["content_length"] == 500_000
+        only = warc.records(io.BytesIO(data), "f", [EqualTo(("type",), "response")], {"target_uri"})
+        assert "".join(r["target_uri"] for r in only) == want.replace("a", "").replace("c", "")
+    broken = gzip.compress(record("response", "a", HTTP, compressed=False) + b"junk")
+    with pytest.raises(ValueError):
+        list(warc.records(io.BytesIO(broken), "f", [], COLUMNS))
+    assert len(list(warc.records(io.BytesIO(broken), "f", [], COLUMNS, strict=False))) == 1
