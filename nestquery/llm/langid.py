@@ -27,7 +27,7 @@ from .tables import lean
 
 @dataclass(frozen=True)
 class LangIdConfig:
-    #: Training documents of each language at most, the first in the order of a hash, of this many characters.
+    #: Distinct training texts of each language at most, the first in the order of a hash, of this many characters.
     fit_rows: int = 60
     fit_chars: tuple[int, int] = (200, 5000)
     #: Bytes of a dictionary at most.
@@ -42,6 +42,10 @@ def train(docs: DataFrame, config: LangIdConfig = LangIdConfig()) -> dict[str, b
     """A dictionary for each value of ``lang``. At most ``fit_rows`` texts of a language reach the driver."""
     low, high = config.fit_chars
     some = docs.filter(F.col("lang").isNotNull() & F.length("text").between(low, high)).select("lang", "text", F.xxhash64("text").alias("h"))
+    # copies count once: the first hashes are told from hashes alone, so that no more than their texts are moved
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    hashes = some.select("lang", "h").distinct().withColumn("first", first).filter(F.col("first") <= config.fit_rows).select("lang", "h")
+    some = some.join(F.broadcast(hashes), ["lang", "h"]).dropDuplicates(["lang", "text"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     texts: dict[str, list[str]] = {}
     for r in some.withColumn("rank", rank).filter(F.col("rank") <= config.fit_rows).orderBy("lang", "rank").collect():

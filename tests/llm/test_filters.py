@@ -326,3 +326,12 @@ def test_learned_hits_in_a_long_document(spark):
 def test_no_text_at_any_depth(depth, tag):
     page = "<div>" * depth + f"<p>shown</p><{tag}><b>hidden</b></{tag}><p>after</p>" + "</div>" * depth + f"<{tag}><p>hidden</{tag}>end"
     assert [t for _, t in ht.Tree(page).texts] == ["shown", "after", "end"]
+
+
+def test_training_texts_are_distinct(spark):
+    text = lambda i: f"the house {i} on the hill and the river {i} " * 8
+    rows = [(i, text(i), "en") for i in range(40)]
+    copied = [(1000 + 100 * i + j, text(i), "en") for i in range(40) for j in range(30)]
+    config = li.LangIdConfig()
+    assert li.train(docs(spark, rows + copied), config) == li.train(docs(spark, rows), config)
+    assert li.train(docs(spark, rows + copied), config)["en"].count(b"house 39 on") == 8
