@@ -7,6 +7,7 @@ task that is run again gives the same hashes.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,6 +119,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(np.concatenate(hashes), np.searchsorted(offsets, start, side="right") - 1, start, np.concatenate(ends))
 
 
+def digest(text: str) -> str:
+    """A name of a text, the same for copies."""
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def hash_words(texts: list[str]) -> list[np.ndarray]:
     """The word hashes of each text."""
     data, offsets = string_buffers(pc.utf8_lower(pa.array(texts, pa.string())))

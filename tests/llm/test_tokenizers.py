@@ -40,13 +40,36 @@ def test_counts_are_those_of_the_library(text):
     assert tc.transducer(CONFIG).count(text) == len(tiktoken_encoding().encode_ordinary(text))
 
 
+def chunk_maps(t, text, size):
+    return [tc.chunk_map(t, text[max(0, i - tc.MARGIN) : i], text[i : i + size], text[i + size : i + size + tc.MARGIN]) for i in range(0, len(text), size)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab eé\n\t'.0▁😀ß中strevlmd\u3000\x85"), max_size=40))
+def test_where_pre_tokens_begin(text):
+    import regex
+
+    assert [i for i, x in enumerate(tc.begins(text)) if x] == [m.start() for m in regex.finditer(CONFIG.pattern, text)]
+
+
+def test_texts_without_spaces_are_counted_within_chunks():
+    """Every chunk gives counts for a few states at its start, and all maps together the library's count."""
+    rng = random.Random(9)
+    t = tc.transducer(CONFIG)
+    cjk = "".join(chr(rng.randrange(*rng.choice([(0x4E00, 0x9FFF), (0x3041, 0x3096), (0xAC00, 0xD7A3)]))) for _ in range(100_000))
+    for text in (cjk, "的" * 40_000, "".join(rng.choice("ABCDEFabcdef0123+/") for _ in range(80_000)), "x" * 40_000 + " " * 40_000 + "-" * 20_000):
+        maps = chunk_maps(t, text, CONFIG.chunk)
+        assert all(m and all(isinstance(n, int) for to in m.values() for n in to.values()) for m in maps)
+        assert tc.total(maps) == len(tiktoken_encoding().encode_ordinary(text))
+
+
 @settings(max_examples=200, deadline=None)
 @given(TEXT, st.integers(1, 9))
 def test_chunk_maps_compose(text, size):
     t = tc.transducer(CONFIG)
-    maps = [tc.chunk_map(t, text[i : i + size]) for i in range(0, len(text), size)]
+    maps = chunk_maps(t, text, size)
     if maps:
-        assert tc.total(t, maps) == len(tiktoken_encoding().encode_ordinary(text))
+        assert tc.total(maps) == len(tiktoken_encoding().encode_ordinary(text))
 
 
 def long_texts():
