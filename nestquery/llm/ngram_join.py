@@ -9,19 +9,27 @@ A text's set holds its word n-grams; two texts match if the Jaccard similarity o
    from a match, so a prefix must keep a signature after any ``tau`` losses. An n-gram of a rare class is a signature
    alone. N-grams of a frequent class are spread over sub-classes, and two of one sub-class are a signature together;
    a sub-class of n covers n - 1 losses, and the prefix is extended until all that it covers exceeds ``tau``. The number
-   of sub-classes depends on the size of the larger set, so each content is indexed for its own size and the next.
+   of sub-classes depends on the size of the larger set, so each content is indexed for its own size (by doublings) and
+   the larger ones that a match may have, one for a threshold of a half.
 3. Contents with the same signature are candidates. Most matches also agree in one of a few min-hash labels (again one
    n-gram where it is rare, two or three where it is frequent): contents with equal labels are compared together, and
-   signatures only yield the pairs that no label holds. All candidates are verified by exact intersection.
+   signatures only yield the pairs that no label holds. All candidates are verified by exact intersection of hashes.
 
-Defined results: an empty or NULL text, or one without words, matches nothing. A text of fewer than n words has one
-n-gram, all its words. Rows with a NULL doc_id count as texts but are never reported. Repeated rows of a doc_id are one
-document; rows that share a doc_id and differ in text match as either text does. Extra columns are ignored.
+What comes back grows with the documents, not with the pairs: of a label's contents only the links' numbers and a forest of
+what they connect. Hashes stand for n-grams (40 bits in a comparison) and for whole sets (64 bits): two n-grams of a pair
+are taken for one with a chance of 2**-40, and two different sets for copies with one of 2**-64.
+
+Defined results: an empty or NULL text, or one without words, matches nothing and is a class of its own. A text of fewer
+than n words has one n-gram, all its words. Rows with a NULL doc_id count as texts but are never reported. Repeated rows of
+a doc_id are one document; rows that share a doc_id and differ in text are one each. Ids may be of any type that can be
+compared; of several least ones (ties) there is only one. Very long texts are sets like others. Extra columns are ignored,
+or kept by ``keep_one``. An empty table has no rows.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import text as tx
 from .tables import lean, release, written
@@ -43,6 +52,10 @@ class JoinConfig:
     #: A min-hash label takes another n-gram while the last is in more texts than this.
     label_frequent: int = 256
     labels: int = 2
+    #: Contents of a label that are compared in one task; of more, each two blocks are.
+    label_group: int = 4096
+    #: Bytes of input for a bucket of n-grams at most.
+    bucket_bytes: int = 256 << 20
     #: N-grams and texts that a map task packs in a block.
     flush: int = 1_000_000
     flush_rows: int = 60_000
@@ -129,8 +142,7 @@ def _map_sets(config: JoinConfig, parts: int):
         name = int(tx.mix(np.array([tx.mix(content.view(np.uint64)).sum() + np.uint64(len(content))])).view(np.int64)[0])
         bucket = (g % np.uint64(parts)).astype(np.int64)
         q = (g >> np.uint64(24)) & _MASK40
-        known &= size > 0
-        rows = [(name % parts, name, None, None, None, None, content.tobytes(), size[first].astype("<u4").tobytes(), ids[known].tobytes(), owner[known].astype("<u2").tobytes())]
+        rows = [(name % parts, name, None, None, None, None, content.tobytes(), size[first].astype("<u4").tobytes(), pickle.dumps(ids[known]), owner[known].astype("<u2").tobytes())]
         order = np.lexsort((q, bucket))
         edges = np.searchsorted(bucket[order], np.arange(parts + 1))
         for k in np.flatnonzero(np.diff(edges)):
@@ -144,7 +156,7 @@ def _map_sets(config: JoinConfig, parts: int):
         for batch in batches:
             ids = batch.column("doc_id")
             known = np.array(ids.is_valid())
-            values = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = ids.fill_null(0).to_numpy().astype(np.int64) if pa.types.is_integer(ids.type) else np.array(ids.to_pylist() + [None], object)[:-1]
             for a, b, g, row, key in _sets(batch.column("text"), config.n):
                 for lo in range(a, b, config.flush_rows):
                     hi = min(b, lo + config.flush_rows)
@@ -221,11 +233,14 @@ def subclasses(level: int, threshold: float) -> int:
 
 def signatures(tokens: np.ndarray, kind: np.ndarray, size: int, config: JoinConfig) -> np.ndarray:
     """Signatures of a set from its shared n-grams, in the order of (class, n-gram)."""
-    need = size - needed(size, config.threshold) + 1 - (size - len(tokens))
     level = size.bit_length() - 1
     pairs = []
     rare = kind <= _class(np.array(config.frequent))
-    for at in {level, level + 1}:
+    for at in range(level, level + math.ceil(math.log2(1 / config.threshold) - 1e-9) + 1):
+        # a match with a set of this level shares so many of the tokens at least
+        need = len(tokens) - max(needed(size, config.threshold), needed(1 << at, config.threshold)) + 1
+        if need <= 0:
+            continue
         m = subclasses(at, config.threshold)
         if not m:
             pairs.append(_salted(tokens[: min(need, len(tokens))], 3))
@@ -247,7 +262,7 @@ def signatures(tokens: np.ndarray, kind: np.ndarray, size: int, config: JoinConf
             if not len(i):
                 break
             pairs.append(tx.mix(_salted(t[i], 7) * np.uint64(3) + _salted(t[i + d], 11) + np.uint64(at)))
-    return np.unique(np.concatenate(pairs))
+    return np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
 
 
 def labels(tokens: np.ndarray, kind: np.ndarray, config: JoinConfig) -> list[int]:
@@ -265,10 +280,10 @@ def labels(tokens: np.ndarray, kind: np.ndarray, config: JoinConfig) -> list[int
     return out
 
 
-_CONTENT = "content long, size int, tokens binary, kinds binary, labels array<long>, doc_id long"
+_CONTENT = "content long, size int, tokens binary, kinds binary, labels array<long>, doc_id "
 
 
-def _gather(config: JoinConfig):
+def _gather(config: JoinConfig, id_type: pa.DataType):
     """Of each block: its documents with their contents, and the contents that may have a match with their shared n-grams."""
     def block(content: np.ndarray, size: np.ndarray, tokens: list[tuple]) -> Iterator[tuple]:
         token = tx.mix(np.concatenate([q | (np.uint64(source) << np.uint64(40)) for source, q, _, _ in tokens])) & _MASK40
@@ -291,8 +306,9 @@ def _gather(config: JoinConfig):
                 if q is None:
                     keys = np.frombuffer(content, np.int64)
                     texts[name] = keys, np.frombuffer(size, "<u4").astype(np.int64)
-                    ids = np.frombuffer(ids, np.int64)
-                    yield _content_batch([(k, None, None, None, None, d) for k, d in zip(keys[np.frombuffer(owner, "<u2")].tolist(), ids.tolist())])
+                    owner = np.frombuffer(owner, "<u2")
+                    some = texts[name][1][owner] > 0
+                    yield _content_batch([(k if any_ else None, None, None, None, None, d) for k, any_, d in zip(keys[owner].tolist(), some.tolist(), pickle.loads(ids).tolist())], id_type)
                 else:
                     i = np.frombuffer(i, "<u2")
                     tokens.setdefault(name, []).append((source, _unpack_sorted(q, len(i)), i.astype(np.int32), np.frombuffer(kind, np.uint8)))
@@ -301,23 +317,20 @@ def _gather(config: JoinConfig):
             for row in block(*texts[name], tokens.pop(name)):
                 rows.append(row)
                 if len(rows) == 500:
-                    yield _content_batch(rows)
+                    yield _content_batch(rows, id_type)
                     rows = []
-            yield _content_batch(rows)
+            yield _content_batch(rows, id_type)
 
     return run
 
 
-def _content_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
+def _content_batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), id_type]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, kinds)], names=[x.split()[0] for x in _CONTENT.split(", ")])
 
 
-_PAIR = "a long, b long, common int, sizes int"
-
-
-def overlaps(sets: list[np.ndarray], block: int = 1024, columns: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, common n-grams) for i < j with any, by products of incidence matrices."""
+def overlaps(sets: list[np.ndarray], split: int = 0, block: int = 1024, columns: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, common n-grams) for i < j with any, by products of incidence matrices; with a split only i < split <= j."""
     token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     values, column, count = np.unique(token, return_inverse=True, return_counts=True)
     several = count > 1
@@ -327,9 +340,10 @@ def overlaps(sets: list[np.ndarray], block: int = 1024, columns: int = 8192) ->
     by = np.argsort(column, kind="stable")
     owner, column = owner[by], column[by]
     width = int(several.sum())
-    for lo in range(0, len(sets), block):
-        for hi in range(lo, len(sets), block):
-            p, q = min(block, len(sets) - lo), min(block, len(sets) - hi)
+    end = split or len(sets)
+    for lo in range(0, end, block):
+        for hi in range(split or lo, len(sets), block):
+            p, q = min(block, end - lo), min(block, len(sets) - hi)
             total = np.zeros((p, q), np.float32)
             for c in range(0, width, columns):
                 x, y = np.searchsorted(column, [c, c + columns])
@@ -346,41 +360,109 @@ def overlaps(sets: list[np.ndarray], block: int = 1024, columns: int = 8192) ->
             yield i + lo, j + hi, total[i, j].astype(np.int64)
 
 
-def _pair_batch(a: np.ndarray, b: np.ndarray, common: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(common.astype(np.int32)), pa.array(sizes.astype(np.int32))], names=["a", "b", "common", "sizes"])
-
-
 def _matches(common: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
     return common >= threshold * (sizes - common) - 1e-9
 
 
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least number of the connected component of each of n nodes."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+_EDGE = "node long, root long, links long"
+
+
+def _edges(node: np.ndarray, root: np.ndarray, links: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array(links.astype(np.int64))], names=["node", "root", "links"])
+
+
+def _group_edges(config: JoinConfig, at: int, content: np.ndarray, size: np.ndarray, marks: np.ndarray, part: np.ndarray, tokens: list[bytes]) -> pa.RecordBatch | None:
+    """Of the contents of a label (the label's number is ``at``; two blocks of them, if ``part`` has two values): those with
+    a match, the least that is connected with each, and the number of matches that no earlier label has."""
+    order = np.lexsort((content, part))
+    order = order[np.concatenate(([True], content[order][1:] != content[order][:-1]))]  # the same content may come from several blocks
+    content, size, marks, part = content[order], size[order], marks[order], part[order]
+    if len(order) < 2:
+        return None
+    split = int(np.searchsorted(part, part[-1]))
+    sets = [np.sort(_unpack40(tokens[int(k)])) for k in order]
+    pairs = [(np.array([0]), np.array([1]), np.array([len(np.intersect1d(*sets, assume_unique=True))]))] if len(sets) == 2 else overlaps(sets, split)
+    links, left, right = np.zeros(len(sets), np.int64), [], []
+    root = np.arange(len(sets))
+    for i, j, common in pairs:
+        ok = _matches(common, size[i] + size[j], config.threshold)
+        if at:
+            ok &= ~(marks[i, :at] == marks[j, :at]).any(1)
+        i, j = i[ok], j[ok]
+        links += np.bincount(i, minlength=len(sets)) + np.bincount(j, minlength=len(sets))
+        apart = root[i] != root[j]
+        left.append(i[apart])
+        right.append(j[apart])
+        if sum(map(len, left)) > 4 * len(sets):  # keep a forest
+            root = _roots(len(sets), np.concatenate(left), np.concatenate(right))
+            left, right = [np.arange(len(sets))], [root]
+    root = _roots(len(sets), np.concatenate(left), np.concatenate(right)) if left else root
+    least = np.full(len(sets), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, content)
+    some = links > 0
+    return _edges(content[some], least[root[some]], links[some])
+
+
 def _by_label(config: JoinConfig):
+    """Streams the rows of a partition, which are sorted by group; one group at a time is in memory."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        label = table.column("label").to_numpy()
-        content, size, tokens = table.column("content").to_numpy(), table.column("size").to_numpy().astype(np.int64), table.column("tokens")
-        order = np.argsort(label, kind="stable")
-        edges = np.flatnonzero(np.concatenate(([True], np.diff(label[order]) != 0, [True])))
-        for x, y in zip(edges[:-1], edges[1:]):
-            if y - x < 2:
-                continue
-            at = order[x:y]
-            at = at[np.unique(content[at], return_index=True)[1]]  # the same content may come from several blocks
-            if len(at) < 2:
+        held: list[pa.RecordBatch] = []
+
+        def group() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            held.clear()
+            crossing = table.column("low")[0].as_py() != table.column("high")[0].as_py()
+            if len(table.column("part").unique()) == 1 + crossing:
+                marks = np.array(table.column("labels").to_pylist(), np.int64).reshape(table.num_rows, -1)
+                out = _group_edges(config, table.column("at")[0].as_py(), table.column("content").to_numpy(), table.column("size").to_numpy().astype(np.int64), marks, table.column("part").to_numpy(), table.column("tokens").to_pylist())
+                if out is not None and out.num_rows:
+                    yield out
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            sets = [np.sort(_unpack40(tokens[int(i)].as_py())) for i in at]
-            parts = [(np.array([0]), np.array([1]), np.array([len(np.intersect1d(*sets, assume_unique=True))]))] if len(sets) == 2 else overlaps(sets)
-            for i, j, common in parts:
-                sizes = size[at[i]] + size[at[j]]
-                ok = _matches(common, sizes, config.threshold)
-                if ok.any():
-                    yield _pair_batch(content[at[i[ok]]], content[at[j[ok]]], common[ok], sizes[ok])
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("label", "low", "high")])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for x, y in zip(edges[:-1], edges[1:]):
+                key = tuple(keys[:, x].tolist())
+                if held and key != last:
+                    yield from group()
+                last = key
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield from group()
 
     return run
 
 
+def _near(contents: DataFrame, config: JoinConfig, parts: int) -> DataFrame:
+    """Edges of all contents that have a match with an equal label. A label of more than ``label_group`` contents is split:
+    its contents go to blocks by their hash, and each two blocks are a group of their own."""
+    each = contents.select(F.posexplode("labels").alias("at", "label"), "content", "size", "tokens", "labels")
+    hot = each.groupBy("label").count().filter(F.col("count") > config.label_group).select(F.col("label").alias("hot"), F.ceil(F.col("count") / config.label_group).cast("int").alias("blocks"))
+    each = each.join(hot, each["label"] == hot["hot"], "left").withColumn("part", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int")))
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    each = each.withColumn("other", F.explode(others)).withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    each = each.select("label", "low", "high", "at", "content", "size", "tokens", "labels", "part")
+    return each.repartition(parts, "label", "low", "high").sortWithinPartitions("label", "low", "high").mapInArrow(lean(_by_label(config)), _EDGE)
+
+
 _SIGNED = "bucket int, q binary, i binary, content binary, size binary, marks binary"
 
 
@@ -393,6 +475,8 @@ def _map_signatures(config: JoinConfig, parts: int):
                 continue
             owner, s = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
             content, marks = batch.column("content").to_numpy(), np.array(batch.column("labels").to_pylist(), np.int64)
+            if not len(s):
+                continue
             bucket, q = (s % np.uint64(parts)).astype(np.int64), (s >> np.uint64(24)) & _MASK40
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(parts + 1))
@@ -409,7 +493,8 @@ def _map_signatures(config: JoinConfig, parts: int):
 
 
 def _by_signature(config: JoinConfig):
-    """Pairs with a common signature that agree in no label and whose sizes allow a match."""
+    """Pairs with a common signature that agree in no mark (labels, or the group they are known to be in) and whose sizes
+    allow a match."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qs, owners, contents, sizes, marks, at = [], [], [], [], [], 0
         for batch in batches:
@@ -418,7 +503,7 @@ def _by_signature(config: JoinConfig):
                 owners.append(np.frombuffer(i, "<u4").astype(np.int64) + at)
                 contents.append(np.frombuffer(content, np.int64))
                 sizes.append(np.frombuffer(size, "<u4").astype(np.int64))
-                marks.append(np.frombuffer(mark, np.int64).reshape(-1, config.labels))
+                marks.append(np.frombuffer(mark, np.int64).reshape(len(contents[-1]), -1))
                 at += len(contents[-1])
         if not qs:
             return
@@ -426,6 +511,10 @@ def _by_signature(config: JoinConfig):
         size, mark = np.concatenate(sizes)[first], np.concatenate(marks)[first]
         q, at = _sorted_with(np.concatenate(qs))
         own = number[np.concatenate(owners)][at]
+        edges = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+        apart = [np.minimum.reduceat(m, edges) != np.maximum.reduceat(m, edges) for m in mark[own].T]  # else all agree
+        keep = np.repeat(np.logical_and.reduce(apart), np.diff(np.append(edges, len(q))))
+        q, own = q[keep], own[keep]
         found, held = [], 0
         i = np.arange(len(q))
         for d in range(1, len(q)):
@@ -456,51 +545,77 @@ def _verify(config: JoinConfig):
         for batch in batches:
             x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
             common = np.array([len(np.intersect1d(_unpack40(s), _unpack40(t), assume_unique=True)) for s, t in zip(x, y)], np.int64)
-            sizes = batch.column("sizes").to_numpy().astype(np.int64)
-            ok = _matches(common, sizes, config.threshold)
-            yield _pair_batch(batch.column("a").to_numpy()[ok], batch.column("b").to_numpy()[ok], common[ok], sizes[ok])
+            ok = _matches(common, batch.column("sizes").to_numpy().astype(np.int64), config.threshold)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
+def buckets(docs: DataFrame, config: JoinConfig) -> int:
+    """The number of buckets of n-grams: that of the session's shuffle partitions, or more for a large input, as each is held
+    in one task's memory."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 60:  # the plan doesn't know
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // config.bucket_bytes))
+
+
 def _shared(docs: DataFrame, config: JoinConfig, parts: int) -> DataFrame:
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_map_sets(config, parts)), _BLOCK)
+    kind = docs.schema["doc_id"].dataType
+    sets = docs.select("doc_id", "text").mapInArrow(lean(_map_sets(config, parts)), _BLOCK)
     counted = sets.repartitionById(parts, F.col("bucket")).mapInArrow(lean(_count(parts)), _BLOCK)
-    return written(counted.repartitionById(parts, F.col("bucket")).mapInArrow(lean(_gather(config)), _CONTENT), "ngram-contents")
+    gathered = counted.repartitionById(parts, F.col("bucket")).mapInArrow(lean(_gather(config, to_arrow_type(kind))), _CONTENT + kind.simpleString())
+    return written(gathered, "ngram-contents")
 
 
-def similar_contents(docs: DataFrame, config: JoinConfig = JoinConfig()) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, content) of all documents with an id and words, and the matching pairs (a, b, common, sizes) of contents."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = _shared(docs, config, parts)
-    release(spark)
-    members, contents = table.filter("tokens IS NULL").select("doc_id", "content"), table.filter("tokens IS NOT NULL").drop("doc_id")
-    near = contents.select(F.explode("labels").alias("label"), "content", "size", "tokens").repartition(parts, "label").mapInArrow(lean(_by_label(config)), _PAIR)
+def _far(contents: DataFrame, config: JoinConfig, parts: int) -> DataFrame:
+    """(a, b) of the matches that agree in none of ``labels``."""
     few = max(1, parts // 4)  # a bucket repeats what it must know of a content
     rest = contents.mapInArrow(lean(_map_signatures(config, few)), _SIGNED).repartitionById(few, F.col("bucket")).mapInArrow(lean(_by_signature(config)), "a long, b long").distinct()
     one = contents.select("content", "size", "tokens").dropDuplicates(["content"])
     left, right = one.select(F.col("content").alias("a"), F.col("size").alias("sa"), F.col("tokens").alias("x")), one.select(F.col("content").alias("b"), F.col("size").alias("sb"), F.col("tokens").alias("y"))
-    far = rest.join(left, "a").join(right, "b").select("a", "b", (F.col("sa") + F.col("sb")).alias("sizes"), "x", "y").mapInArrow(lean(_verify(config)), _PAIR)
-    return members, written(near.unionByName(far).distinct(), "ngram-pairs")
+    return rest.join(left, "a").join(right, "b").select("a", "b", (F.col("sa") + F.col("sb")).alias("sizes"), "x", "y").mapInArrow(lean(_verify(config)), "a long, b long")
 
 
-def jaccard_join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
-    """doc_a < doc_b, jaccard: every pair of documents that match. Their number is that of the pairs, so it grows with
-    the square of a group of copies; ``groups`` is linear."""
-    members, pairs = similar_contents(docs, config)
-    members = members.distinct()
-    similarity = (F.col("common") / (F.col("sizes") - F.col("common"))).alias("jaccard")
-    left, right = members.select(F.col("doc_id").alias("x"), F.col("content").alias("a")), members.select(F.col("doc_id").alias("y"), F.col("content").alias("b"))
-    across = pairs.join(left, "a").join(right, "b").select("x", "y", similarity)
-    within = left.join(right, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("x", "y", F.lit(1.0).alias("jaccard"))
-    both = across.unionByName(within).filter("x <> y")
-    return both.groupBy(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
+def similar_texts(docs: DataFrame, config: JoinConfig = JoinConfig(), links: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, content) of all documents with an id, the content being NULL for those without words; and of each content
+    with a match: (content, root, links), the least content connected with it and the number of contents it matches. Without
+    ``links`` these are not counted (0), and pairs that are known to be connected are not verified again."""
+    spark = docs.sparkSession
+    parts = buckets(docs, config)
+    table = _shared(docs, config, parts)
+    release(spark)
+    members, contents = table.filter("doc_id IS NOT NULL").select("doc_id", "content").distinct(), table.filter("tokens IS NOT NULL").drop("doc_id")
+    near = written(_near(contents, config, parts), "near-edges")
+    edges = near.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    marked = contents
+    if not links:
+        known = components(edges)
+        marked = contents.join(known.withColumnRenamed("node", "content"), "content", "left").withColumn("labels", F.array(F.coalesce("root", "content"))).select(*contents.columns)
+    far = written(_far(marked, config, parts), "far-edges")
+    roots = components(edges.unionByName(far))
+    if not links:
+        return members, roots.select(F.col("node").alias("content"), "root", F.lit(0).cast("long").alias("links"))
+    ends = far.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("links"))
+    number = near.select("node", "links").unionByName(ends).groupBy("node").agg(F.sum("links").alias("links"))
+    return members, roots.join(number, "node").select(F.col("node").alias("content"), "root", "links")
+
+
+def jaccard_classes(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
+    """doc_id, class_id, n_copies, n_links: one row for each document with an id. Documents of one n-gram set are copies, of
+    which there are ``n_copies`` with this one; ``n_links`` is the number of other sets that match; a class is what links
+    and copies connect, and its id the least doc_id in it."""
+    members, similar = similar_texts(docs, config)
+    texts = members.filter("content IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
+    texts = texts.join(similar, "content", "left").select("content", "least", "n_copies", F.coalesce("root", "content").alias("root"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    classes = texts.groupBy("root").agg(F.min("least").alias("class_id"))
+    known = texts.join(classes, "root").select("content", "class_id", "n_copies", "n_links")
+    return members.join(known, "content", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(node, root): the least node of the connected component of each node in a pair. Each round takes the least root
-    among the neighbours, then the root's root; groups of near copies are settled after a few."""
+    """(node, root): the least node of the connected component of each node in a pair (a, b). Each round takes the least
+    root among the neighbours, then the root's root; groups of near copies are settled after a few."""
     edges = written(pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), "edges")
     roots = written(edges.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), "roots")
     while True:
@@ -516,10 +631,8 @@ def components(pairs: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
     """doc_id, keep: the least doc_id of each connected group of matching documents, for every document in a group of
     two or more."""
-    members, pairs = similar_contents(docs, config)
-    members = members.distinct()
-    roots = components(pairs)
-    rooted = members.join(roots.withColumnRenamed("node", "content"), "content", "left").select("doc_id", F.coalesce("root", "content").alias("root"))
+    members, similar = similar_texts(docs, config, links=False)
+    rooted = members.filter("content IS NOT NULL").join(similar, "content", "left").select("doc_id", F.coalesce("root", "content").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return rooted.join(least, "root").select("doc_id", "keep")
 

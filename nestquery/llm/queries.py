@@ -38,7 +38,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,18 +82,24 @@ QUERIES: dict[str, Query] = {
 ORACLE: dict[str, str] = {
     "op1_warc": "SELECT page_id, url, 200::INTEGER AS http_status, strlen(html)::BIGINT AS n_bytes, html FROM pages",
     "op5_ngram_join": r"""
-WITH words AS (
+WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '(?:[a-z0-9_]|[^\x00-\x7F])+') AS w FROM documents WHERE doc_id IS NOT NULL
 ), grams AS (
   SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ')
     ELSE unnest(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i+2], ' '))) END AS g
   FROM words WHERE len(w) > 0
-), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-shared AS (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common
-  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), sets AS (SELECT doc_id, list(g ORDER BY g) AS c FROM grams GROUP BY doc_id),
+texts AS (SELECT c, len(c) AS n, min(doc_id) AS rep, count(*) AS n_copies FROM sets GROUP BY c),
+held AS (SELECT rep, n, g FROM texts JOIN grams ON doc_id = rep),
+shared AS (SELECT a.rep AS a, b.rep AS b, a.n + b.n AS sizes, count(*) AS common FROM held a JOIN held b ON a.g = b.g AND a.rep <> b.rep GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE common >= 0.5 * (sizes - common)),
+reach AS (SELECT rep AS a, rep AS b FROM texts UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+classes AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a),
+degrees AS (SELECT a AS rep, count(*) AS n_links FROM links GROUP BY a),
+found AS (
+  SELECT doc_id, class_id, n_copies, coalesce(n_links, 0) AS n_links
+  FROM sets JOIN texts USING (c) JOIN classes USING (rep) LEFT JOIN degrees USING (rep)
 )
-SELECT doc_a, doc_b, common::DOUBLE / (x.n + y.n - common) AS jaccard
-FROM shared JOIN sizes x ON doc_a = x.doc_id JOIN sizes y ON doc_b = y.doc_id
-WHERE common >= 0.5 * (x.n + y.n - common)""",
+SELECT DISTINCT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(n_copies, 1) AS n_copies, coalesce(n_links, 0) AS n_links
+FROM documents d LEFT JOIN found USING (doc_id) WHERE d.doc_id IS NOT NULL""",
 }

@@ -19,23 +19,30 @@ def grams(text, n=3):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def brute_pairs(rows, threshold=0.5):
-    by = {}
-    for i, t in rows:
-        if i is not None:
-            by.setdefault(i, []).append(grams(t))
-    out = {}
-    ids = sorted(by)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            s = max((len(x & y) / len(x | y) for x in by[a] for y in by[b] if x and y), default=0)
-            if s >= threshold:
-                out[(a, b)] = round(s, 9)
-    return out
+def brute_classes(rows, threshold=0.5):
+    """doc_id -> (class, copies, links) by all pairs."""
+    sets = {i: frozenset(grams(t)) for i, t in rows if i is not None}
+    every = {frozenset(grams(t)) for _, t in rows} - {frozenset()}  # rows without an id count as texts
+    near = {x: [y for y in every if y != x and len(x & y) >= threshold * len(x | y)] for x in every}
+    root = {}
+    for x in every:
+        todo = [] if x in root else [x]
+        while todo:
+            y = todo.pop()
+            if y not in root:
+                root[y] = x
+                todo += near[y]
+    least = {}
+    for i, x in sets.items():
+        if x:
+            least[root[x]] = min(i, least.get(root[x], i))
+    return {i: (least[root[x]], sum(x == y for y in sets.values()), len(near[x])) if x else (i, 1, 0) for i, x in sets.items()}
 
 
 def found(df):
-    return {(r.doc_a, r.doc_b): round(r.jaccard, 9) for r in df.collect()}
+    rows = df.collect()
+    assert len({r.doc_id for r in rows}) == len(rows)
+    return {r.doc_id: (r.class_id, r.n_copies, r.n_links) for r in rows}
 
 
 def family(rng, words, base, count, edits):
@@ -56,27 +63,58 @@ def test_join_is_exact(spark):
             texts += family(rng, words, base, 5, max(0, size // 12))
             texts += family(rng, words, base, 3, max(1, size // 6))
     rows = list(enumerate(texts)) + [(1000 + i, t) for i, t in awkward("again and again " * 9000) if i is not None] + [(None, texts[0])]
-    got = nj.jaccard_join(docs(spark, rows))
-    assert found(got) == brute_pairs(rows)
-    assert nj.jaccard_join(docs(spark, [])).collect() == []
-    assert nj.jaccard_join(docs(spark, [(1, None), (None, "a")])).collect() == []
+    got = nj.jaccard_classes(docs(spark, rows))
+    assert found(got) == brute_classes(rows)
+    assert nj.jaccard_classes(docs(spark, [])).collect() == []
+    assert found(nj.jaccard_classes(docs(spark, [(1, None), (None, "a")]))) == {1: (1, 1, 0)}
 
 
-def test_join_by_signatures_alone(spark):
-    """With labels that hold few pairs, the signatures yield the rest; and all over common n-grams."""
+def small_texts():
     rng = random.Random(2)
     words = [f"v{i}" for i in range(12)]
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([6, 12, 25])))) for i in range(80)]
     base = [rng.choice(words) for _ in range(24)]
-    rows += [(100 + i, t) for i, t in enumerate(family(rng, words, base, 60, 4))]
+    return rows + [(100 + i, t) for i, t in enumerate(family(rng, words, base, 60, 4))]
+
+
+def test_join_by_signatures_alone(spark):
+    """With labels that hold few pairs, the signatures yield the rest; and all over common n-grams."""
+    rows = small_texts()
     for config in (nj.JoinConfig(labels=1, frequent=1, label_frequent=1), nj.JoinConfig(threshold=0.3)):
-        assert found(nj.jaccard_join(docs(spark, rows), config)) == brute_pairs(rows, config.threshold)
+        assert found(nj.jaccard_classes(docs(spark, rows), config)) == brute_classes(rows, config.threshold)
+
+
+def test_join_of_sets_that_differ_in_size(spark):
+    rng = random.Random(8)
+    words = [f"u{i}" for i in range(90)]
+    base = [rng.choice(words) for _ in range(100)]
+    rows = [(k, " ".join(base[:n])) for k, n in enumerate([100, 96, 70, 50, 40, 30, 25, 21, 18, 12, 9, 5])] + [(20 + i, t) for i, t in enumerate(family(rng, words, base[:30], 20, 6))]
+    for threshold in (0.15, 0.2, 0.4, 0.8, 1.0):
+        for labels in (1, 2):
+            config = nj.JoinConfig(threshold=threshold, labels=labels, frequent=2)
+            assert found(nj.jaccard_classes(docs(spark, rows), config)) == brute_classes(rows, threshold)
+
+
+def test_join_of_a_label_that_is_split(spark):
+    rows = small_texts()
+    for config in (nj.JoinConfig(label_group=7), nj.JoinConfig(label_group=1, bucket_bytes=1000)):
+        assert found(nj.jaccard_classes(docs(spark, rows), config)) == brute_classes(rows)
+
+
+def test_join_with_other_ids(spark):
+    rows = small_texts()
+    want = {f"d{i:04d}": (f"d{c:04d}", n, k) for i, (c, n, k) in brute_classes(rows).items()}
+    some = spark.createDataFrame([(f"d{i:04d}", t) for i, t in rows], "doc_id string, text string")
+    assert found(nj.jaccard_classes(some)) == want
+    assert sorted(r.doc_id for r in nj.keep_one(some).collect()) == sorted({c for c, _, _ in want.values()})
+    few = spark.createDataFrame(rows, "doc_id int, text string")
+    assert found(nj.jaccard_classes(few)) == brute_classes(rows) and nj.jaccard_classes(few).schema["class_id"].dataType.simpleString() == "int"
 
 
 def test_join_of_the_table(spark, oracle):
     names, rows = oracle(ORACLE["op5_ngram_join"])
-    assert names == ["doc_a", "doc_b", "jaccard"]
-    assert found(nj.jaccard_join(table(spark, DATA, "documents"))) == {(a, b): round(s, 9) for a, b, s in rows}
+    assert names == ["doc_id", "class_id", "n_copies", "n_links"]
+    assert found(nj.jaccard_classes(table(spark, DATA, "documents"))) == {r[0]: r[1:] for r in rows}
 
 
 def test_one_of_each_group_stays(spark):
