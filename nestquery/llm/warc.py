@@ -1,17 +1,19 @@
 """WARC files as a Spark data source, to read and to write.
 
-Reading: files are planned into partitions of about ``partitionBytes`` (a file is never split, so a record boundary is
-never guessed). Predicates on the record's type, URI, length, dates and the other header columns are pushed down. For
+Reading: files are planned into partitions of at most ``partitionBytes``, and so many that each of ``parallelism`` tasks has
+some (a file is never split, as a record boundary inside could only be guessed: a block may hold whole WARC records). Predicates on the record's type, URI, length, dates and the other header columns are pushed down. For
 each record the headers are parsed first; the block of a record that the predicates reject is skipped unread, by its
 length in plain files and by the skip length of the standard's Annex D in compressed ones (or inflated and thrown away
 where a writer gave none). HTTP headers and bodies are decoded only if a requested column needs them.
 
 Writing: rows of the same columns become one gzip member each. A task writes files under a temporary name of its own;
-the commit on the driver renames those of the successful tasks, so a task that runs twice leaves no copy.
+the commit on the driver renames those of the successful tasks, so a task that runs twice leaves no copy. ``overwrite``
+then deletes the WARC files that were there before.
 
 Defined results: a NULL header column is a header that is not written, and a missing header is read as NULL. A NULL
-block is an empty one; an empty payload is read as empty, not NULL. A record that is cut short, or text that is no
-record, ends the reading of its file with an error, or quietly with ``mode=skip``. Repeated records are all read. A
+block is an empty one; an empty payload is read as empty, not NULL. A record that is cut short, text that is no record, and
+headers of more than ``MOST_HEADERS`` bytes are errors; with ``mode=skip`` reading goes on at the next gzip member or plain
+record. A very long block is read whole if it is asked for. Repeated records are all read, in any order. A
 folder without files, or only empty ones, has no rows. Extra headers are in ``headers``, with lower-case names; of a
 repeated name the last counts.
 """
@@ -19,6 +21,7 @@ repeated name the last counts.
 from __future__ import annotations
 
 import gzip
+import re
 import struct
 import uuid
 import zlib
@@ -196,6 +199,32 @@ def _skip_length(head: bytes) -> int:
 MOST_HEADERS = 1 << 20
 
 
+def _next_record(stream: BinaryIO, at: int, end: int) -> int | None:
+    """Where the next gzip member with a record, or plain record, begins behind a damaged one."""
+    size, kept = 1 << 20, b""
+    stream.seek(at + 1)
+    base = at + 1
+    while base < end:
+        data = stream.read(size)
+        if not data:
+            return None
+        window, start = kept + data, base - len(kept)
+        for m in re.finditer(rb"\x1f\x8b\x08|\nWARC/1\.[01]\r\n", window):
+            place = start + m.start()
+            if m[0][:1] == b"\n":
+                return place + 1
+            stream.seek(place)
+            try:
+                if zlib.decompressobj(31).decompress(stream.read(1 << 12), 16).startswith(b"WARC/"):
+                    return place
+            except zlib.error:
+                continue
+        base += len(data)
+        kept = window[-16:]
+        stream.seek(base)
+    return None
+
+
 def _http(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
     """Status, headers and decoded body of an HTTP message."""
     head, mark, body = block.partition(b"\r\n\r\n")
@@ -278,7 +307,11 @@ def records(stream: BinaryIO, name: str, filters: list[Filter], columns: set[str
         except (ValueError, EOFError, zlib.error):
             if strict:
                 raise
-            return
+            member, again = None, _next_record(stream, at, end)
+            if again is None:
+                return
+            stream.seek(again)
+            continue
         if ok:
             row |= {"headers": list(headers.items()), "file": name, "offset": at}
             if block is not None:
@@ -299,6 +332,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
         self.bytes = int(options.get("partitionbytes", options.get("partitionBytes", 256 << 20)))
+        self.parallelism = int(options.get("parallelism", 8))
         self.columns = set(filter(None, options.get("columns", "").split(","))) or set(ARROW.names)
         self.strict = options.get("mode", "fail") != "skip"
         self.filters: list[Filter] = []
@@ -316,9 +350,10 @@ class WarcReader(DataSourceReader):
         found = fs.get_file_info(pafs.FileSelector(path, recursive=True)) if info.type == pafs.FileType.Directory else [info]
         files = sorted((f.size, f.path) for f in found if f.is_file and f.size and f.base_name[0] not in "._" and f.base_name.endswith((".warc", ".warc.gz")))
         plan: list[Files] = []
+        most = min(self.bytes, -(-sum(n for n, _ in files) // self.parallelism))
         size = 0
         for n, name in reversed(files):  # the largest begin first
-            if plan and size + n <= self.bytes:
+            if plan and size + n <= most:
                 plan[-1].paths.append(name)
                 size += n
             else:
@@ -360,8 +395,8 @@ def member(headers: list[tuple[str, str]], block: bytes, level: int) -> bytes:
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict[str, str]) -> None:
-        self.path = options["path"]
+    def __init__(self, options: dict[str, str], overwrite: bool = False) -> None:
+        self.path, self.overwrite = options["path"], overwrite
         self.level = int(options.get("level", 4))
         self.roll = int(options.get("filebytes", options.get("fileBytes", 1 << 30)))
         self.job = uuid.uuid4().hex[:12]
@@ -397,9 +432,12 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         fs, path = self._fs()
         fs.create_dir(path, recursive=True)
+        before = [f.path for f in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if f.is_file and f.base_name.endswith((".warc", ".warc.gz"))] if self.overwrite else []
         for m in messages:
             for temporary, final in m.files if m else []:
                 fs.move(temporary, final)
+        for old in before:
+            fs.delete_file(old)
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, _ = self._fs()
@@ -422,7 +460,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -434,19 +472,19 @@ def read_warc(spark: SparkSession, path: str, columns: list[str] | None = None,
     """Records of the WARC files under ``path``; only ``columns`` are decoded. Filter the result by header columns and
     the filters go down to the reader."""
     register(spark)
-    reader = spark.read.format("warc")
+    reader = spark.read.format("warc").option("parallelism", spark.sparkContext.defaultParallelism)
     if columns:
         reader = reader.option("columns", ",".join(columns))
     df = reader.options(**options).load(path)
     return df.select(*columns) if columns else df
 
 
-def write_warc(df: DataFrame, path: str, **options: str) -> None:
+def write_warc(df: DataFrame, path: str, mode: str = "append", **options: str) -> None:
     """Writes rows with some of the columns of the source, ``payload`` being the whole block."""
     register(df.sparkSession)
     have = set(df.columns)
     plain = [F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(SCHEMA).fields]
-    df.select(*plain).write.format("warc").mode("append").options(**options).save(path)
+    df.select(*plain).write.format("warc").mode(mode).options(**options).save(path)
 
 
 def pages_as_records(pages: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import zlib
 
 import pytest
 from conftest import DATA, multiset
@@ -110,3 +111,36 @@ def test_records_that_share_a_member():
     with pytest.raises(ValueError):
         list(warc.records(io.BytesIO(broken), "f", [], COLUMNS))
     assert len(list(warc.records(io.BytesIO(broken), "f", [], COLUMNS, strict=False))) == 1
+
+
+def test_overwriting(spark, tmp_path):
+    pages = lambda k: spark.createDataFrame([(i, f"http://{k}/{i}", "<p>", None) for i in range(2)], "page_id long, url string, html string, key string")
+    path = f"file://{tmp_path}/w"
+    for k in range(2):
+        warc.write_warc(warc.pages_as_records(pages(k)), path, mode="overwrite")
+        assert sorted(r.url for r in warc.pages_from_records(spark, path).collect()) == [f"http://{k}/0", f"http://{k}/1"]
+    warc.write_warc(warc.pages_as_records(pages(5)), path)
+    assert warc.pages_from_records(spark, path).count() == 4
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_reading_on_behind_damage(compressed):
+    """With ``strict`` off the record that is damaged is lost, and no other."""
+    parts = [record("response", u, HTTP + u.encode() * 50, compressed=compressed) for u in "abcd"]
+    hurt = parts[1][:40] + b"\x00" * 30 + parts[1][70:]
+    if not compressed:
+        hurt = parts[1].replace(b"Content-Length: ", b"Content-Length: x")
+    # a plain record that is cut within its headers can't be told from one whose headers go on in the next
+    for hurt_or_cut in (hurt, parts[1][:60]) if compressed else (hurt,):
+        data = parts[0] + hurt_or_cut + parts[2] + parts[3]
+        assert [r["target_uri"] for r in warc.records(io.BytesIO(data), "f", [], {"target_uri", "payload"}, strict=False)] == ["a", "c", "d"]
+        with pytest.raises((ValueError, EOFError, zlib.error)):
+            list(warc.records(io.BytesIO(data), "f", [], {"target_uri", "payload"}))
+
+
+def test_files_are_shared_among_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"http://a/{i}", "<p>" + "x" * 1000, None) for i in range(400)], "page_id long, url string, html string, key string")
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(warc.pages_as_records(rows.repartition(9)), path)
+    df = warc.pages_from_records(spark, path)
+    assert df.rdd.getNumPartitions() >= min(4, spark.sparkContext.defaultParallelism) and df.count() == 400
