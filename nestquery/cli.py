@@ -10,13 +10,14 @@ import json
 import sys
 from typing import Any, TextIO
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from nestquery import sinks
-from nestquery.engine import query
+from nestquery.engine import Sources, exact_names, query
 from nestquery.errors import NestQueryError
 from nestquery.settings import Settings
-from nestquery.sources import from_json, read_file
+from nestquery.sources import from_json, from_json_files, read_file
 
 VERSION = "0.1"
 
@@ -58,12 +59,10 @@ def value(text: str) -> Any:
 
 
 def _load(spark: SparkSession, path: str, settings: Settings) -> DataFrame:
-    """A JSON file that the limits allow is parsed strictly; any other is Spark's to read."""
+    """A JSON file of any size is parsed strictly; other formats are Spark's to read."""
     if path.lower().endswith(".json"):
-        with open(path, encoding="utf-8") as f:
-            text = f.read(settings.json.length + 1)
-        if len(text) <= settings.json.length:
-            return from_json(spark, text, settings.json)
+        with exact_names(spark):
+            return from_json_files(spark, path, settings.json, settings.codec)
     return read_file(spark, path)
 
 
@@ -86,7 +85,7 @@ def main(argv: list[str] | None = None, stdin: TextIO = sys.stdin, stdout: TextI
             with open(sql[1:], encoding="utf-8") as f:
                 sql = f.read()
         if args.data:
-            data: Any = {name: _load(spark, path, settings) for name, path in args.data.items()}
+            data: Any = Sources({name: _load(spark, path, settings) for name, path in args.data.items()})
         elif args.file and args.file != "-":
             data = _load(spark, args.file, settings)
         else:
@@ -98,7 +97,7 @@ def main(argv: list[str] | None = None, stdin: TextIO = sys.stdin, stdout: TextI
         else:
             print(text, file=stdout)
         return 0
-    except (NestQueryError, OSError) as x:
+    except (NestQueryError, OSError, AnalysisException) as x:
         print(f"nestquery: {x}", file=stderr)
         return 1
 

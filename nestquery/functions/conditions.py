@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .types import RANK, E, key, text, variant_key
+from .types import RANK, E, key, schema_name, text, variant_key
 
 _ORDERED = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 
@@ -86,50 +87,63 @@ def between(a: E, low: E, high: E, negated: bool) -> Column:
     return raw(">=", a, low) & raw("<=", a, high)
 
 
-def is_null(a: E, negated: bool) -> Column:
-    if a.family == "null":
+def is_null(a: E, negated: bool, nested: bool = False) -> Column:
+    """``nested``: objects and arrays count as NULL too."""
+    if a.family == "null" or (nested and a.family in ("array", "struct")):
         return F.lit(not negated)
     c = a.col.isNull()
     if a.family == "variant":
         c = c | F.is_variant_null(a.col)
+        if nested:
+            c = c | schema_name(a.col).rlike("^(ARRAY|OBJECT)")
     return ~c if negated else c
 
 
-def _element(a: E) -> E:
-    return E(a.col, a.type.elementType)
+def _array(a: E) -> E | None:
+    """An array; of a VARIANT the arrays among its values."""
+    if a.family == "variant":
+        kind = T.ArrayType(T.VariantType())
+        return E(F.try_variant_get(a.col, "$", "array<variant>"), kind)
+    return a if a.family == "array" else None
 
 
-def contains(a: E, needle: E) -> Column:
-    if a.family != "array" or "null" in (needle.family,) or _element(a).family != needle.family or not needle.scalar:
-        return _no()
-    return sure(F.exists(a.col, lambda x: x == needle.col)) if _plain(a, needle) else sure(F.array_contains(a.col, needle.col))
+def _equal(a: E, b: E, x: Column, y: Column) -> Column:
+    """Whether an element of ``a`` and one of ``b`` are equal; NULL is equal to nothing."""
+    left, right = E(x, a.type.elementType), E(y, b.type.elementType)
+    if left.family == right.family and not left.scalar:
+        return sure(x == y)
+    return compare("=", left, right)
 
 
-def _plain(a: E, b: E) -> bool:
-    """Whether element and value are of different number types, which array_contains doesn't take."""
-    return a.type.elementType != b.type
+def contains(a: E, needle: E) -> Column:
+    a = _array(a)
+    if a is None or needle.family == "null" or not needle.scalar:
+        return _no()
+    element = E(a.col, a.type.elementType)
+    if "variant" not in (element.family, needle.family):
+        if element.family != needle.family:
+            return _no()
+        if element.type == needle.type:
+            return sure(F.array_contains(a.col, needle.col))
+    one = E(needle.col, T.ArrayType(needle.type))
+    return sure(F.exists(a.col, lambda x: _equal(a, one, x, needle.col)))
 
 
 def _each(haystack: E, needles: E) -> Column:
     """Every needle is in the haystack; a NULL one is not."""
-    if _element(haystack).family != _element(needles).family:
-        return F.size(needles.col) == 0
-    return F.forall(needles.col, lambda v: sure(F.exists(haystack.col, lambda x: x == v)))
+    return F.forall(needles.col, lambda v: sure(F.exists(haystack.col, lambda x: _equal(haystack, needles, x, v))))
 
 
 def array_op(op: str, a: E, b: E) -> Column:
     """Sets for ``@>``, ``<@`` and ``&&``, order and length for ``=``."""
-    if a.family != "array" or b.family != "array":
+    a, b = _array(a), _array(b)
+    if a is None or b is None:
         return _no()
-    same = _element(a).family == _element(b).family
     if op == "@>":
         return sure(_each(a, b)) & a.col.isNotNull() & b.col.isNotNull()
     if op == "<@":
         return sure(_each(b, a)) & a.col.isNotNull() & b.col.isNotNull()
     if op == "&&":
-        return sure(F.exists(a.col, lambda v: sure(F.exists(b.col, lambda x: x == v)))) if same else _no()
-    if same:
-        equal = sure((F.size(a.col) == F.size(b.col)) & F.forall(F.zip_with(a.col, b.col, lambda x, y: sure(x == y)), lambda ok: ok))
-    else:
-        equal = sure((F.size(a.col) == 0) & (F.size(b.col) == 0))
+        return sure(F.exists(a.col, lambda v: sure(F.exists(b.col, lambda x: _equal(a, b, v, x)))))
+    equal = sure((F.size(a.col) == F.size(b.col)) & F.forall(F.zip_with(a.col, b.col, lambda x, y: _equal(a, b, x, y)), lambda ok: ok))
     return equal if op == "=" else a.col.isNotNull() & b.col.isNotNull() & ~equal

@@ -21,6 +21,8 @@ ARITY: dict[str, tuple[int, int | None]] = {
     "NULLIF": (2, 2), "COALESCE": (1, None),
 }
 UNITS = ("YEAR", "MONTH", "WEEK", "DAY", "HOUR", "MINUTE", "SECOND")
+#: Units that are so many of another; a nanosecond is a thousandth of the smallest that a datetime holds.
+MULTIPLES = {"DECADE": (10, "YEAR"), "CENTURIE": (100, "YEAR"), "CENTURY": (100, "YEAR"), "MILLENNIA": (1000, "YEAR"), "MILLENNIUM": (1000, "YEAR"), "HALF_DAY": (12, "HOUR"), "MILLI": (1000, "MICROSECOND"), "MILLISECOND": (1000, "MICROSECOND"), "MICRO": (1, "MICROSECOND"), "MICROSECOND": (1, "MICROSECOND"), "NANO": (0, "MICROSECOND"), "NANOSECOND": (0, "MICROSECOND")}
 #: Languages whose dotted and dotless i are two letters.
 _TURKIC = ("tr", "az")
 
@@ -195,7 +197,7 @@ for _name, _f in (("HOUR", F.hour), ("MINUTE", F.minute), ("SECOND", F.second)):
 def _unit(e: E) -> str:
     unit = str(_constant(e, "a unit of time")).upper()
     unit = unit[:-1] if unit.endswith("S") else unit
-    if unit not in UNITS:
+    if unit not in UNITS and unit not in MULTIPLES:
         raise ExecutionError(f"{e.value!r} is no unit of time")
     return unit
 
@@ -203,7 +205,10 @@ def _unit(e: E) -> str:
 @_as("DATE_ADD")
 def _date_add(d: E, n: E, unit: E) -> E:
     at, name = date_or_time(d), _unit(unit)
-    moved = F.timestamp_add(name, integer(n), at.col.cast("timestamp_ntz"))
+    many, base = MULTIPLES.get(name, (1, name))
+    amount = integer(n).cast("bigint") * many if many else F.floor(integer(n) / 1000)
+    moved = F.timestamp_add(base, amount, at.col.cast("timestamp_ntz"))
+    name = base
     if at.family == "date" and name in ("YEAR", "MONTH", "WEEK", "DAY"):
         return E(moved.cast("date"), DATE)
     return E(moved, DATETIME)
@@ -211,7 +216,11 @@ def _date_add(d: E, n: E, unit: E) -> E:
 
 @_as("DATE_DIFF")
 def _date_diff(a: E, b: E, unit: E) -> E:
-    return E(F.timestamp_diff(_unit(unit), date_or_time(b).col.cast("timestamp_ntz"), date_or_time(a).col.cast("timestamp_ntz")), BIGINT)
+    name = _unit(unit)
+    many, base = MULTIPLES.get(name, (1, name))
+    n = F.timestamp_diff(base, date_or_time(b).col.cast("timestamp_ntz"), date_or_time(a).col.cast("timestamp_ntz"))
+    whole = F.when(n < 0, -F.floor(-n / many)).otherwise(F.floor(n / many)) if many > 1 else n * 1000 if not many else n
+    return E(whole.cast("bigint"), BIGINT)
 
 
 @_as("TO_DATE")
@@ -243,7 +252,8 @@ def _nullif(a: E, b: E) -> E:
 
 @_as("COALESCE")
 def _coalesce(*items: E) -> E:
-    same, kind = unify(list(items))
+    some = [E(F.when(~F.is_variant_null(e.col), e.col), e.type) if e.family == "variant" else e for e in items]
+    same, kind = unify(some)
     return E(F.coalesce(*[e.col for e in same]), kind, all(e.whole for e in same)) if kind != NULL else null()
 
 

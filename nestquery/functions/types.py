@@ -1,8 +1,8 @@
 """Columns with a static type, and the families by which the dialect compares values.
 
 Values of different families are never equal, and are ordered by the rank of their family; the families are known when a
-query is compiled, so such comparisons become constants. Only a VARIANT column (values of several types) is compared by
-a key at run time.
+query is compiled, so such comparisons become constants. Only a VARIANT column (values of several types, from JSON or
+from a CASE whose results differ in family) is compared by a key at run time.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from nestquery.errors import ExecutionError
 #: Order of the families.
 RANK = {"null": 0, "boolean": 1, "number": 2, "string": 3, "date": 4, "datetime": 5}
 BIGINT, DOUBLE, STRING, BOOLEAN, DATE, DATETIME, NULL = T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType(), T.DateType(), T.TimestampNTZType(), T.NullType()
+VARIANT = T.VariantType()
 
 
 @dataclass(frozen=True)
@@ -121,7 +122,15 @@ def scalars(v: Column) -> Column:
 def rank(v: Column) -> Column:
     """The rank of a variant's value."""
     name = schema_name(v)
-    return F.when(v.isNull() | F.is_variant_null(v) | name.rlike("^(ARRAY|OBJECT)"), 0).when(name == "BOOLEAN", 1).when(name == "STRING", 3).otherwise(2)
+    return F.when(v.isNull() | F.is_variant_null(v) | name.rlike("^(ARRAY|OBJECT)"), 0).when(name == "BOOLEAN", 1).when(name == "STRING", 3).when(name == "DATE", 4).when(name.startswith("TIMESTAMP"), 5).otherwise(2)
+
+
+def _days(d: Column) -> Column:
+    return F.unix_date(d).cast("double")
+
+
+def _micros(ts: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts).cast("double")
 
 
 def key(e: E) -> E:
@@ -129,7 +138,7 @@ def key(e: E) -> E:
     if e.family != "variant":
         return e
     r = rank(e.col)
-    fields = [r.alias("rank"), F.when(r == 1, F.try_variant_get(e.col, "$", "boolean")).alias("b"), F.when(r == 2, F.try_variant_get(e.col, "$", "double")).alias("n"), F.when(r == 3, F.try_variant_get(e.col, "$", "string")).alias("s")]
+    fields = [r.alias("rank"), F.when(r == 1, F.try_variant_get(e.col, "$", "boolean")).alias("b"), F.when(r == 2, F.try_variant_get(e.col, "$", "double")).when(r == 4, _days(F.try_variant_get(e.col, "$", "date"))).when(r == 5, _micros(F.try_variant_get(e.col, "$", "timestamp_ntz"))).alias("n"), F.when(r == 3, F.try_variant_get(e.col, "$", "string")).alias("s")]
     kind = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("b", BOOLEAN), T.StructField("n", DOUBLE), T.StructField("s", STRING)])
     return E(F.when(r > 0, F.struct(*fields)), kind)
 
@@ -137,28 +146,56 @@ def key(e: E) -> E:
 def variant_key(e: E) -> Column:
     """The same of a scalar of a static type, to compare it with a variant."""
     pick = lambda f, kind: (e.col if e.family == f else F.lit(None)).cast(kind)
-    return F.when(e.col.isNotNull(), F.struct(F.lit(RANK[e.family]).alias("rank"), pick("boolean", "boolean").alias("b"), pick("number", "double").alias("n"), pick("string", "string").alias("s")))
+    n = _days(e.col.cast("date")) if e.family == "date" else _micros(e.col.cast("timestamp_ntz")) if e.family == "datetime" else pick("number", "double")
+    return F.when(e.col.isNotNull(), F.struct(F.lit(RANK[e.family]).alias("rank"), pick("boolean", "boolean").alias("b"), n.alias("n"), pick("string", "string").alias("s")))
+
+
+def holds_variant(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return holds_variant(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return holds_variant(kind.keyType) or holds_variant(kind.valueType)
+    if isinstance(kind, T.StructType):
+        return any(holds_variant(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.VariantType)
+
+
+def identity(e: E) -> Column:
+    """What rows are told apart by: the key, and for nested values of several types their JSON."""
+    if e.family == "variant":
+        nested = F.when(e.col.isNotNull() & ~F.is_variant_null(e.col) & schema_name(e.col).rlike("^(ARRAY|OBJECT)"), F.to_json(e.col))
+        return F.struct(key(e).col.alias("k"), nested.alias("j"))
+    return F.to_json(F.struct(e.col.alias("v"))) if holds_variant(e.type) else e.col
+
+
+def as_variant(e: E) -> E:
+    if e.family == "variant":
+        return e
+    if e.family == "null":
+        return null(VARIANT)
+    return E(e.col.cast("variant") if e.scalar else F.to_variant_object(e.col), VARIANT)
 
 
 def unify(items: list[E]) -> tuple[list[E], T.DataType]:
-    """Values for one column: of one family as they are, of several as strings."""
+    """Values for one column: of one family as they are, of several as VARIANT, where each keeps its type."""
     some = [e for e in items if e.family != "null"]
     if not some:
         return items, NULL
     families = {e.family for e in some}
-    if len(families) > 1:
-        if families <= {"date", "datetime"}:
-            some_type: T.DataType = DATETIME
-        elif families & {"array", "struct", "other"}:
-            raise ExecutionError("scalars and nested values cannot share a column")
-        else:
-            return [text(e) if e.family != "null" else null(STRING) for e in items], STRING
+    if families == {"date", "datetime"}:
+        some_type: T.DataType = DATETIME
+    elif len(families) > 1:
+        if "other" in families:
+            raise ExecutionError("values of these types cannot share a column")
+        return [as_variant(e) for e in items], VARIANT
     elif families == {"number"}:
         kinds = {type(e.type) for e in some}
         if len(kinds) == 1:
             some_type = some[0].type
         else:
             some_type = DOUBLE if kinds & {T.DoubleType, T.FloatType} else T.DecimalType(38, 0) if T.DecimalType in kinds else BIGINT
+    elif len({e.type.simpleString() for e in some}) > 1 and families & {"array", "struct"}:
+        return [as_variant(e) for e in items], VARIANT
     else:
         some_type = some[0].type
     return [E(e.col.cast(some_type), some_type, e.whole) for e in items], some_type

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from nestquery.errors import ExecutionError
 from nestquery.functions import conditions as c
 from nestquery.functions import scalar
-from nestquery.functions.types import BIGINT, BOOLEAN, DATE, DATETIME, DOUBLE, NULL, STRING, E, key, null, unify
+from nestquery.functions.types import BIGINT, BOOLEAN, DATE, DATETIME, DOUBLE, NULL, STRING, E, holds_variant, identity, key, null, unify
 from nestquery.operators.aggregates import aggregate, finished
 from nestquery.operators.distinct import distinct
 from nestquery.operators.joins import join
@@ -123,9 +123,9 @@ class _Compiler:
         firsts: list[Column] = []
         for k, node in enumerate(dict.fromkeys(keys)):
             e, name = self.expr(node), f"__key{k}"
-            columns[name] = key(e).col.alias(name)
+            columns[name] = (key(e).col if e.family == "variant" else identity(e)).alias(name)
             bound[node] = E(F.col(name), e.type, e.whole)
-            if e.family == "variant":  # grouped by its key; the first of the group stands for it
+            if holds_variant(e.type):  # grouped by what identifies it; the first of the group stands for it
                 firsts.append(F.first(e.col).alias(f"{name}v"))
                 bound[node] = E(F.col(f"{name}v"), e.type)
         measures = []
@@ -278,7 +278,7 @@ class _Compiler:
         if isinstance(node, t.Between):
             return c.between(self.expr(node.left), self.expr(node.low), self.expr(node.high), node.negated)
         if isinstance(node, t.IsNull):
-            return c.is_null(self.expr(node.left), node.negated)
+            return c.is_null(self.expr(node.left), node.negated, self.settings.nested_is_null)
         if isinstance(node, t.Contains):
             return c.contains(self.expr(node.left), self.expr(node.right))
         if isinstance(node, t.ArrayOp):

@@ -13,7 +13,7 @@ from nestquery import sinks
 from nestquery.engine import Engine, prepare
 from nestquery.plans.compiler import ROOT
 from nestquery.settings import Settings
-from nestquery.sources import from_json
+from nestquery.sources import from_json, from_json_column
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -65,6 +65,12 @@ _GAPS = "(SELECT c_custkey, NULLIF(c_mktsegment, 'BUILDING') AS seg, CASE WHEN c
 CASES: dict[str, Case] = {}
 
 
+def _mixed(table: Callable[[str], DataFrame]) -> DataFrame:
+    """Orders with an array of a number, a string and a boolean."""
+    items = F.pmod("o_orderkey", F.lit(10)), F.col("o_orderstatus"), F.col("o_totalprice") > 150000
+    return table("orders").select("o_orderkey", F.array(*[i.cast("variant") for i in items]).alias("tags"))
+
+
 def _add(name: str, sql: str, oracle: str | None, **more: Any) -> None:
     CASES[name] = Case(sql, oracle, **more)
 
@@ -79,6 +85,8 @@ _add("scan_root", "SELECT r_regionkey, r_name FROM $r", "SELECT r_regionkey, r_n
 _same("scan_named", "SELECT n.n_nationkey AS k, n_name AS n FROM nation n")
 _add("scan_nested_path", "SELECT k, COUNT(*) AS n FROM $r.all.props GROUP BY k", "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1", root=lambda t: _props(t).groupBy("event_id").agg(F.struct(F.collect_list("props").alias("props")).alias("all")))
 _add("scan_json_text", "SELECT event_id, props.k AS k FROM $r WHERE props.k > 50", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50", root=_props)
+_add("scan_json_column", "SELECT k, COUNT(*) AS n FROM $r WHERE k > 10 GROUP BY k", "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 10 GROUP BY 1", root=lambda t: from_json_column(t("events"), "props"))
+_add("scan_bare_name", "SELECT k FROM props WHERE k > 90", "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 90", root=_props)
 _same("subquery_from", "SELECT seg, n FROM (SELECT c_mktsegment AS seg, COUNT(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment) WHERE n > 1")
 _same("select_star", "SELECT * FROM nation")
 _same("select_columns", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
@@ -92,6 +100,10 @@ _add("select_missing", "SELECT r_name AS r, nothing.here AS n FROM region WHERE
 _same("case_simple", "SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS s FROM orders")
 _same("case_searched", "SELECT c_custkey AS k, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'some' ELSE 'much' END AS band FROM customer")
 _same("case_over_agg", "SELECT c_mktsegment AS seg, CASE WHEN COUNT(*) > 100 THEN 'large' ELSE 'small' END AS size FROM customer GROUP BY c_mktsegment")
+_VALUE = "CASE WHEN o_orderstatus = 'F' THEN o_orderkey ELSE o_orderstatus END"
+_add("case_mixed", f"SELECT k, CAST(v AS STRING) AS s FROM (SELECT o_orderkey AS k, {_VALUE} AS v FROM orders) WHERE v > 100", "SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN o_orderkey::VARCHAR ELSE o_orderstatus END AS s FROM orders WHERE o_orderstatus <> 'F' OR o_orderkey > 100")
+_add("coalesce_mixed", "SELECT k, CAST(v AS STRING) AS s FROM (SELECT o_orderkey AS k, COALESCE(NULLIF(o_orderstatus, 'F'), o_orderkey) AS v FROM orders) WHERE v = 'O' OR v < 100", "SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN o_orderkey::VARCHAR ELSE o_orderstatus END AS s FROM orders WHERE o_orderstatus = 'O' OR (o_orderstatus = 'F' AND o_orderkey < 100)")
+_add("distinct_mixed", f"SELECT CAST(v AS STRING) AS s FROM (SELECT DISTINCT {_VALUE.replace('THEN o_orderkey', 'THEN LENGTH(o_orderpriority)')} AS v FROM orders)", "SELECT DISTINCT CASE WHEN o_orderstatus = 'F' THEN length(o_orderpriority)::VARCHAR ELSE o_orderstatus END AS s FROM orders")
 # predicates
 for _n, _op in (("eq", "="), ("gt", ">"), ("lt", "<"), ("ge", ">="), ("le", "<=")):
     _same(f"where_{_n}", f"SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity {_op} 25")
@@ -156,9 +168,17 @@ _add("agg_case", "SELECT o_orderstatus AS s, SUM(CASE WHEN o_totalprice > 100000
 _same("having_alias", "SELECT c_nationkey AS n, COUNT(*) AS cnt FROM customer GROUP BY c_nationkey HAVING cnt > 55")
 _same("having_expr", "SELECT c_nationkey AS n FROM customer GROUP BY c_nationkey HAVING COUNT(*) >= 60 OR MIN(c_acctbal) BETWEEN -990 AND -900")
 _same("order_by_agg", "SELECT p_brand AS b, COUNT(*) AS n FROM part GROUP BY p_brand ORDER BY COUNT(*) DESC, p_brand LIMIT 7")
+_add("group_star_unique", "SELECT * FROM supplier GROUP BY s_suppkey", "SELECT * FROM supplier")
+_add("group_first_unique", "SELECT s_suppkey AS k, s_name AS some FROM supplier GROUP BY s_suppkey", "SELECT s_suppkey AS k, s_name AS some FROM supplier")
 _add("group_first_value", "SELECT n_regionkey AS r, n_name AS some FROM nation GROUP BY n_regionkey", None)
 _add("group_star", "SELECT * FROM nation GROUP BY n_regionkey", None)
 _same("agg_global", "SELECT COUNT(*) AS n, MIN(l_quantity) AS a, MAX(l_quantity) AS b FROM lineitem")
+# arrays of several types
+for _n, _where, _sql in (
+    ("contains", "tags CONTAINS 'F' OR tags CONTAINS 3", "s = 'F' OR n = 3"), ("contains_false", "tags CONTAINS FALSE", "NOT b"), ("all", "tags @> ARRAY['F', TRUE]", "s = 'F' AND b"), ("within", "tags <@ ARRAY[1, 2, 3, 'F', TRUE]", "n IN (1, 2, 3) AND s = 'F' AND b"),
+    ("overlap", "tags && ARRAY['O', 7]", "s = 'O' OR n = 7"), ("eq", "tags = ARRAY[3, 'F', FALSE]", "n = 3 AND s = 'F' AND NOT b"), ("ne", "tags != ARRAY[3, 'F', FALSE]", "n <> 3 OR s <> 'F' OR b"),
+):
+    _add(f"array_mixed_{_n}", f"SELECT o_orderkey FROM $r WHERE {_where}", f"SELECT o_orderkey FROM (SELECT o_orderkey, o_orderkey % 10 AS n, o_orderstatus AS s, o_totalprice > 150000 AS b FROM orders) WHERE {_sql}", root=_mixed)
 # windows
 for _n, _f in (("row_number", "ROW_NUMBER()"), ("rank", "RANK()"), ("dense_rank", "DENSE_RANK()"), ("ntile", "NTILE(4)"), ("lag", "LAG(o_totalprice)"), ("lag_offset", "LAG(o_totalprice, 2)"), ("lead", "LEAD(o_totalprice)"), ("lead_offset", "LEAD(o_totalprice, 3)")):
     _same(f"win_{_n}", f"SELECT o_orderkey AS k, {_f} OVER (PARTITION BY o_custkey ORDER BY {'o_orderstatus' if 'RANK' in _f else 'o_orderdate, o_orderkey'}) AS w FROM orders")

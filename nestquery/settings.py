@@ -2,8 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from enum import Enum
+from typing import Any, Protocol
+
+from pyspark.sql import DataFrame
+
+
+class ResultCache(Protocol):
+    """Results by the text of their query. ``get`` gives None for a query that isn't kept."""
+
+    def get(self, sql: str) -> DataFrame | None: ...
+
+    def put(self, sql: str, result: DataFrame) -> None: ...
+
+    def clear(self) -> None: ...
+
+    def __len__(self) -> int: ...
 
 
 class DuplicateKeys(Enum):
@@ -30,7 +46,7 @@ class Limits:
 
 @dataclass(frozen=True)
 class JsonLimits:
-    """For JSON given as text; files are Spark's to read."""
+    """Limits of JSON. ``length`` is for text that is given to the driver; files are parsed on executors, whatever their size."""
 
     length: int = 10 << 20
     depth: int = 64
@@ -45,9 +61,15 @@ class JsonLimits:
 class Settings:
     limits: Limits = field(default_factory=Limits)
     json: JsonLimits = field(default_factory=JsonLimits)
+    #: Reads JSON text as values in place of the parser with limits.
+    codec: Callable[[str], Any] | None = None
     #: Results that an engine keeps; 0: none.
     cached_results: int = 0
+    #: Keeps results in place of the engine's own cache.
+    result_cache: ResultCache | None = None
     redact_errors: bool = False
     missing_fields: MissingFields = MissingFields.IGNORE
     #: Unknown columns are errors instead of NULL.
     strict_columns: bool = False
+    #: Objects and arrays count as NULL for IS NULL and IS NOT NULL.
+    nested_is_null: bool = False

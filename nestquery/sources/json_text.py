@@ -1,17 +1,21 @@
-"""JSON given as text: strict parsing under limits, and a DataFrame with the schema of its values.
+"""JSON as text, in files and in columns: strict parsing under limits, and a DataFrame with the schema of its values.
 
 An array of objects gives a row for each, one object gives one row, anything else no rows. Where a field holds values
-of several types its column is a VARIANT, so that each value keeps its own.
+of several types its column is a VARIANT, so that each value keeps its own. Files and columns are read by the same rules,
+on the executors: one pass finds the types, of which only one schema for each task comes back, another parses the rows.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 from decimal import Decimal
 from typing import Any
 
+import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,9 +142,7 @@ def _plain(x: Any) -> Any:
 
 def from_json(spark: SparkSession, data: str | Json, limits: JsonLimits = JsonLimits(), codec: Codec | None = None) -> DataFrame:
     """Rows of JSON text or of parsed values."""
-    value = (codec(data) if codec else parse_json(data, limits)) if isinstance(data, str) else data
-    rows = value if isinstance(value, list) else [value] if isinstance(value, dict) else []
-    rows = [r for r in rows if isinstance(r, dict)]
+    rows = _objects((codec(data) if codec else parse_json(data, limits)) if isinstance(data, str) else data)
     kind: T.DataType = T.StructType([])
     for r in rows:
         kind = merged(kind, kind_of(r))
@@ -149,3 +151,50 @@ def from_json(spark: SparkSession, data: str | Json, limits: JsonLimits = JsonLi
         return spark.createDataFrame([()] * len(rows), T.StructType([])) if not rows else spark.range(len(rows)).select()
     text = spark.createDataFrame([(k, json.dumps(r, default=_plain)) for k, r in enumerate(rows)], "place bigint, value string")
     return text.select(F.from_json("value", kind).alias("row")).select("row.*")
+
+
+def _objects(value: Json) -> list[dict]:
+    rows = value if isinstance(value, list) else [value] if isinstance(value, dict) else []
+    return [r for r in rows if isinstance(r, dict)]
+
+
+def from_json_column(df: DataFrame, column: str, limits: JsonLimits = JsonLimits(), codec: Codec | None = None) -> DataFrame:
+    """Rows of the JSON texts (or bytes in UTF-8) in a column, parsed as strictly as ``from_json`` does; a NULL has no rows."""
+    spark = df.sparkSession
+    whole = replace(limits, length=1 << 62)
+    texts = df.select(F.col(column).cast("binary").alias("value"))
+
+    def objects(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+        for batch in batches:
+            for raw in batch.column("value"):
+                if raw.is_valid:
+                    text = raw.as_py().decode("utf-8-sig")
+                    yield _objects(codec(text) if codec else parse_json(text, whole))
+
+    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind: T.DataType = T.StructType([])
+        for rows in objects(batches):
+            for r in rows:
+                kind = merged(kind, kind_of(r))
+        yield pa.RecordBatch.from_arrays([pa.array([kind.json()])], names=["kind"])
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in objects(batches):
+            for at in range(0, len(rows), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array([json.dumps(r, default=_plain) for r in rows[at : at + 1000]], pa.string())], names=["value"])
+
+    kind: T.DataType = T.StructType([])
+    try:
+        for r in texts.mapInArrow(kinds, "kind string").distinct().toLocalIterator():
+            kind = merged(kind, T.StructType.fromJson(json.loads(r.kind)))
+    except PySparkException as x:
+        said = re.search(r"ExecutionError: (.*)", str(x))
+        raise ExecutionError(said[1] if said else f"the JSON can't be read: {x}") from None
+    kind = _settled(kind)
+    lines = texts.mapInArrow(values, "value string")
+    return lines.select(F.from_json("value", kind).alias("row")).select("row.*") if kind.fields else lines.select()
+
+
+def from_json_files(spark: SparkSession, path: str, limits: JsonLimits = JsonLimits(), codec: Codec | None = None) -> DataFrame:
+    """Rows of JSON files of any size, one value each. A file is one task's."""
+    return from_json_column(spark.read.format("binaryFile").load(path), "content", limits, codec)

@@ -10,12 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from nestquery import catalogue, cli, sinks
-from nestquery.engine import Engine, prepare, query, query_json
+from nestquery.engine import Engine, Sources, prepare, query, query_json
 from nestquery.errors import BindError, ExecutionError, MappingError, ParseError
 from nestquery.plans.lexer import scan
 from nestquery.plans.parser import parse
 from nestquery.settings import DuplicateKeys, JsonLimits, Limits, MissingFields, Settings
-from nestquery.sources import from_json, parse_json
+from nestquery.sources import from_json, from_json_column, parse_json
 from nestquery.streaming import stream
 
 PEOPLE = [
@@ -52,7 +52,7 @@ def test_predicates(spark, where, ids):
     ("ROUND(2.5)", 3), ("ROUND(1234.5, -2)", 1200), ("MOD(-7, 3)", -1), ("MOD(7, 0)", None), ("POWER(10, 400)", None), ("SQRT(-1)", None), ("SIGN(-3.2)", -1), ("ABS('x')", None), ("CEIL(1.2)", 2), ("FLOOR(-1.2)", -2),
     ("CAST('3.7' AS INTEGER)", 3), ("CAST('yes' AS BOOLEAN)", False), ("CAST('TRUE' AS BOOLEAN)", True), ("CAST(0.0 AS BOOLEAN)", False), ("CAST(TRUE AS NUMBER)", 1), ("CAST(TO_DATE('1970-01-02') AS NUMBER)", 1), ("CAST(TO_DATE('2024-01-01T00:00:00') AS STRING)", "2024-01-01T00:00"), ("CAST(TO_DATE('2024-01-01T00:00:05') AS STRING)", "2024-01-01T00:00:05"),
     ("DATE_ADD(TO_DATE('2024-01-31'), 1, 'MONTH')", dt.date(2024, 2, 29)), ("DATE_ADD(TO_DATE('2024-01-31'), 1, 'HOURS')", dt.datetime(2024, 1, 31, 1)), ("DATE_DIFF(TO_DATE('2024-02-29'), TO_DATE('2024-01-31'), 'MONTH')", 0), ("TO_DATE('05.03.2024', 'dd.MM.yyyy')", dt.date(2024, 3, 5)), ("HOUR(TO_DATE('2024-01-01'))", 0), ("YEAR('no date')", None),
-    ("NULLIF(1, 1.0)", None), ("NULLIF(1, '1')", 1), ("COALESCE(NULL, 'x')", "x"), ("COALESCE(NULL, NULL)", None), ("CASE NULL WHEN NULL THEN 1 ELSE 2 END", 2), ("CASE WHEN 1 = 2 THEN 1 END", None), ("CASE WHEN TRUE = TRUE THEN 1 ELSE 'x' END", "1"),
+    ("NULLIF(1, 1.0)", None), ("NULLIF(1, '1')", 1), ("COALESCE(NULL, 'x')", "x"), ("COALESCE(NULL, NULL)", None), ("CASE NULL WHEN NULL THEN 1 ELSE 2 END", 2), ("CASE WHEN 1 = 2 THEN 1 END", None), ("CASE WHEN TRUE = TRUE THEN 1 ELSE 'x' END", 1),
 ])
 def test_scalars(spark, expr, value):
     assert column(spark, f"SELECT {expr} AS v FROM $r", data=[{"one": 1}]) == [value]
@@ -274,3 +274,92 @@ def test_catalogue():
     for f in catalogue.functions():  # all are known to the parser
         args = ", ".join(["a"] * f.least)
         parse(f"SELECT {f.name}({args}){' OVER (ORDER BY a)' if f.kind == 'window' else ''} AS x FROM $r" if f.name != "CAST" else "SELECT CAST(a AS STRING) AS x FROM $r")
+
+
+MIXED = [{"id": 1, "tags": [1, "a", True]}, {"id": 2, "tags": [5]}, {"id": 3, "tags": ["x"]}, {"id": 4, "tags": "x"}, {"id": 5, "tags": None}, {"id": 6, "tags": [None, "x"]}, {"id": 7, "tags": []}]
+
+
+@pytest.mark.parametrize("where, ids", [
+    ("tags CONTAINS 'a'", [1]), ("tags CONTAINS 1", [1]), ("tags CONTAINS TRUE", [1]), ("tags CONTAINS 'x'", [3, 6]), ("tags @> ARRAY['a', 1]", [1]), ("tags <@ ARRAY['x', 5]", [2, 3, 7]), ("tags && ARRAY[5, 'a']", [1, 2]), ("tags = ARRAY[1, 'a', TRUE]", [1]), ("tags = ARRAY['x']", [3]), ("tags != ARRAY['x']", [1, 2, 6, 7]), ("tags IS NULL", [5]),
+])
+def test_arrays_of_several_types(spark, where, ids):
+    assert sorted(column(spark, f"SELECT id FROM $r WHERE {where}", data=MIXED)) == ids
+
+
+def test_nested_values_as_null(spark):
+    assert sorted(column(spark, "SELECT id FROM $r WHERE tags IS NOT NULL", data=MIXED)) == [1, 2, 3, 4, 6, 7]
+    loose = query(spark, "SELECT id FROM $r WHERE tags IS NOT NULL", MIXED, settings=Settings(nested_is_null=True))
+    assert sorted(r.id for r in loose.collect()) == [4]
+
+
+def test_distinct_of_several_types(spark):
+    rows = [{"v": 1}, {"v": "1"}, {"v": 1}, {"v": [1]}, {"v": [2]}, {"v": [1]}, {"v": None}, {"v": 1.0}]
+    for sql in ("SELECT DISTINCT v FROM $r", "SELECT DISTINCT v FROM $r ORDER BY v LIMIT 20", "SELECT DISTINCT v FROM $r ORDER BY v"):
+        assert sorted(map(repr, column(spark, sql, data=rows))) == sorted(map(repr, [1, "1", [1], [2], None]))
+    assert column(spark, "SELECT DISTINCT v FROM $r WHERE v = 1 OR v = '1' ORDER BY v DESC", data=rows) == ["1", 1]
+
+
+def test_results_of_case_keep_their_type(spark):
+    rows = [{"v": 1}, {"v": 2}, {"v": 3}, {"v": None}]
+    assert column(spark, "SELECT CASE v WHEN 1 THEN 10 WHEN 2 THEN 'two' WHEN 3 THEN TO_DATE('2024-01-02') END AS c FROM $r ORDER BY v", data=rows) == [None, 10, "two", "2024-01-02"]
+    assert column(spark, "SELECT COALESCE(v, 'none') AS c FROM $r ORDER BY v", data=rows) == ["none", 1, 2, 3]
+    assert column(spark, "SELECT c FROM (SELECT CASE WHEN v = 1 THEN TO_DATE('2024-01-02') ELSE 'x' END AS c FROM $r) WHERE c > TO_DATE('2024-01-01')", data=rows) == ["2024-01-02"]
+
+
+def test_names_that_differ_in_case(spark):
+    rows = '[{"a": 1, "A": 2, "b": {"c": 3, "C": 4}}]'
+    assert run(spark, "SELECT A, a, b.C AS x FROM $r WHERE a = 1 AND A = 2", rows) == [{"A": 2, "a": 1, "x": 4}]
+    assert run(spark, "SELECT * FROM $r", rows) == [{"a": 1, "A": 2, "b": {"c": 3, "C": 4}}]
+
+
+def test_named_sources_are_told_apart(spark):
+    assert run(spark, "SELECT note FROM $r", {"note": "[draft] hello"}) == [{"note": "[draft] hello"}]
+    assert run(spark, "SELECT x.a AS a FROM x", Sources(x='[{"a": 1}]')) == [{"a": 1}]
+    assert run(spark, "SELECT x.a AS a FROM x", Sources(x=[{"a": 1}])) == [{"a": 1}]
+
+
+def test_json_files_of_any_size(spark, tmp_path):
+    """Strictness, repeated keys and values of several types don't depend on the size of a file."""
+    some = ['{"id": 1, "v": 1}', '{"id": 2, "v": "1"}', '{"id": 3, "v": null}']
+    for extra in (0, 11_000):
+        text = "[" + ",".join(some + [f'{{"id": {i + 10}, "v": "{"x" * 1000}"}}' for i in range(extra)]) + "]"
+        path = tmp_path / f"rows{extra}.json"
+        path.write_text(text)
+        out = io.StringIO()
+        assert cli.main(["-q", "SELECT id, v FROM $r WHERE v = 1", "-f", str(path)], stdout=out, spark=spark) == 0
+        assert json.loads(out.getvalue()) == [{"id": 1, "v": 1}]
+        path.write_text(text[:-1] + ',{"id": 5, "id": 6}]')
+        err = io.StringIO()
+        assert cli.main(["-q", "SELECT id FROM $r", "-f", str(path)], stdout=io.StringIO(), stderr=err, spark=spark) == 1
+        assert "twice" in err.getvalue()
+
+
+def test_json_column(spark):
+    rows = [('{"k": 1}',), (None,), ('[{"k": "a"}, {"j": [1, "x"]}]',), ("7",)]
+    df = from_json_column(spark.createDataFrame(rows, "props string"), "props")
+    assert column(spark, "SELECT k FROM $r WHERE k = 'a' OR k = 1 ORDER BY k", data=df) == [1, "a"]
+    assert column(spark, "SELECT j FROM $r WHERE j CONTAINS 'x'", data=df) == [[1, "x"]]
+    assert from_json_column(spark.createDataFrame([(None,)], "props string"), "props").count() == 0
+    with pytest.raises(ExecutionError):
+        from_json_column(spark.createDataFrame([("{x",)], "props string"), "props")
+
+
+def test_codec_and_cache_of_ones_own(spark):
+    class Kept(dict):
+        def put(self, sql, result):
+            self[sql] = result
+
+    kept = Kept()
+    engine = Engine(spark, Settings(codec=lambda s: [{"v": s}], result_cache=kept)).root("some text")
+    first = engine.query("SELECT v FROM $r")
+    assert [r.v for r in first.collect()] == ["some text"] and list(kept) == ["SELECT v FROM $r"]
+    assert engine.query("SELECT v FROM $r") is first
+    engine.query("SELECT v FROM $r WHERE v = :x", {"x": "y"})
+    assert len(kept) == 1
+    engine.root("other")
+    assert len(kept) == 0
+
+
+def test_further_units_of_time(spark):
+    sql = "SELECT DATE_DIFF(TO_DATE('2024-01-02T00:00:01'), TO_DATE('2024-01-02T00:00:00'), 'MILLIS') AS a, DATE_ADD(TO_DATE('2024-01-02'), 2, 'DECADES') AS b, DATE_DIFF(TO_DATE('1990-01-02'), TO_DATE('2024-01-01'), 'DECADES') AS c, DATE_DIFF(TO_DATE('2024-01-02T13:00:00'), TO_DATE('2024-01-02T00:00:00'), 'HALF_DAYS') AS d FROM $r"
+    assert run(spark, sql, [{"x": 1}]) == [{"a": 1000, "b": dt.date(2044, 1, 2), "c": -3, "d": 1}]
