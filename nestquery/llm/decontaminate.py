@@ -3,15 +3,18 @@
 A seed is a word n-gram of a benchmark item that chance would seldom make: its expected occurrences in a million words,
 the product of its words' shares in the corpus, are at most ``rare``. Copies of a passage don't change that, so a much
 copied item keeps its seeds. An item with fewer than ``min_seeds`` rare n-grams is sought by all of its n-grams. Around
-each seed in a document lies a window of the item's length and half of it on either side; the local alignment of item
-and window (match 2, mismatch and gap -1, in words) over twice the item's length is the score.
+each seed in a document lies a window that holds every sufficient alignment through the seed: the item's length, and on
+either side as many words as gaps may then be. The local alignment of item and window (match 2, mismatch and gap -1, in
+words) over twice the item's length is the score.
 
 Items are broadcast in portions of ``portion`` characters at most, one pass over the documents each, and only their words'
 counts come back from the corpus. There is no shuffle of texts.
 
 Defined results: items that are NULL, have a NULL id or fewer than n words match nothing. Repeated items count once.
-Empty and NULL documents match nothing. Repeated documents are reported each; a NULL doc_id is reported as NULL. Equal
-scores are all reported. Extra columns are ignored, or kept by ``keep_clean``.
+Empty and NULL documents match nothing, and empty tables have no matches. Repeated documents are reported each; a NULL doc_id
+is reported as NULL. Ids may be of any type. Of an item that matches in several places the best is reported, the first of
+equals; all items are, ties included. Very long documents are searched whole, and windows are no longer than their items
+need. Extra columns are ignored, or kept by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import text as tx
 from .tables import lean
@@ -144,7 +148,7 @@ def find(column: pa.Array, items: Items, config: DecontaminationConfig) -> list[
         item, place, row = items.item[which], items.place[which], w.row[pos]
         length = np.array([len(x) for x in items.words])[item]
         low, high = np.searchsorted(w.row, row), np.searchsorted(w.row, row, side="right")
-        pad = np.maximum(8, length // 2)
+        pad = np.ceil(length * config.match * (1 - config.threshold) / -config.gap).astype(np.int64)
         left, right = np.maximum(low, pos - place - pad), np.minimum(high, pos - place + length + pad)
         best: dict[tuple[int, int], tuple[float, int]] = {}
         order = np.lexsort((left, item, row))
@@ -173,6 +177,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, config: DecontaminationC
     spark = docs.sparkSession
     kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, end_word int"
+    id_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     parts = []
     for items in prepare_items(docs, benchmark, config):
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
@@ -181,7 +186,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, config: DecontaminationC
                 if found:
                     row, item, score, end = zip(*found)
                     ids = batch.column("doc_id").take(pa.array(row, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([items.ids[i] for i in item]), pa.array(score, pa.float64()), pa.array(end, pa.int32())], names=["doc_id", "item_id", "score", "end_word"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([items.ids[i] for i in item], id_type), pa.array(score, pa.float64()), pa.array(end, pa.int32())], names=["doc_id", "item_id", "score", "end_word"])
 
         parts.append(docs.select("doc_id", "text").mapInArrow(lean(run), schema))
     out = parts[0] if parts else spark.createDataFrame([], schema)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import text as tx
-from .tables import lean, release, written
+from .tables import discard, lean, release, written
 
 
 @dataclass(frozen=True)
@@ -623,8 +623,10 @@ def components(pairs: DataFrame) -> DataFrame:
         step = roots.join(seen, "node").select("node", "root", F.least("root", "near").alias("next"))
         jump = roots.select(F.col("node").alias("next"), F.col("root").alias("far"))
         new = written(step.join(jump, "next", "left").select("node", F.col("root").alias("old"), F.least("next", F.coalesce("far", "next")).alias("root")), "roots")
+        discard(roots)
         roots = new.select("node", "root")
         if new.filter("old <> root").isEmpty():
+            discard(edges)
             return roots
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, html_text, langid, licenses, ngram_join, quality, sentencepieces, token_counts, toxicity, warc
-from .tables import prepare, shared_dir, table
+from .tables import prepare, shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC files to the shared folder, and their response records read back."""
     prepare(spark)
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = shared_path(spark, "warc")
     warc.write_warc(warc.pages_as_records(table(spark, sf_dir, "pages")), path)
     return warc.pages_from_records(spark, path)
 
@@ -83,7 +82,7 @@ ORACLE: dict[str, str] = {
     "op1_warc": "SELECT page_id, url, 200::INTEGER AS http_status, strlen(html)::BIGINT AS n_bytes, html FROM pages",
     "op5_ngram_join": r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(lower(text), '(?:[a-z0-9_]|[^\x00-\x7F])+') AS w FROM documents WHERE doc_id IS NOT NULL
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]|(?:_|[^\P{L}\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]|[^\P{M}\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]|[^\P{N}\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])+') AS w FROM documents WHERE doc_id IS NOT NULL
 ), grams AS (
   SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ')
     ELSE unnest(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i+2], ' '))) END AS g

@@ -1,7 +1,7 @@
 """Vectorised words and word n-grams of Arrow string columns.
 
-A word is a maximal run of ASCII letters, digits, ``_`` and non-ASCII characters of the lower-cased text. Words and
-n-grams are 64-bit hashes: a polynomial over random byte values, then mixed. All functions are deterministic, so a
+A word is a maximal run of letters, marks, numbers (of Unicode) and ``_`` in the lower-cased text; in scripts that put no
+spaces between words each character is a word. Words and n-grams are 64-bit hashes: a polynomial over random byte values, then mixed. All functions are deterministic, so a
 task that is run again gives the same hashes.
 """
 
@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 #: Bytes of text handled at once. Work arrays take about 40 bytes for each byte of a block.
 BLOCK = 1 << 18
@@ -25,6 +27,9 @@ _P = 0x9E3779B97F4A7C15
 _GRAM = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+#: Scripts without spaces between words.
+SOLID = "".join(rf"\p{{{s}}}" for s in ("Han", "Hiragana", "Katakana", "Bopomofo", "Thai", "Lao", "Khmer", "Myanmar"))
+#: Bytes of words; of non-ASCII characters ``_kinds`` tells.
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), 95]] = True
 _WORD[128:] = True
@@ -75,6 +80,34 @@ def row_groups(offsets: np.ndarray, limit: int = ROWS_BYTES) -> Iterator[tuple[i
         start = end
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """By code point: 1 in words, 2 a word by itself, 0 neither."""
+    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "!" for c in range(0x110000))
+    out = np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((1, r"[\p{L}\p{M}\p{N}]+"), (2, f"[{SOLID}]+")):
+        for run in regex.finditer(pattern, every):
+            out[run.start() : run.end()] = kind
+    return out
+
+
+def _marks(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of bytes that begin and end between characters: which are in words, and where (len(b) + 1 places) words are cut."""
+    m, cut = _WORD[b], np.zeros(len(b) + 1, bool)
+    lead = np.flatnonzero(b >= 0xC0)
+    if len(lead):
+        padded = np.concatenate((b, np.zeros(3, np.uint8)))
+        first, c1, c2, c3 = padded[lead].astype(np.int32), *(padded[lead + k].astype(np.int32) & 0x3F for k in (1, 2, 3))
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        kind = _kinds()[np.choose(size - 2, [(first & 0x1F) << 6 | c1, (first & 0xF) << 12 | c1 << 6 | c2, (first & 7) << 18 | c1 << 12 | c2 << 6 | c3])]
+        none, single = kind == 0, kind == 2
+        for k in range(4):
+            m[lead[none & (size > k)] + k] = False
+        cut[lead[single]] = True
+        cut[lead[single] + size[single]] = True
+    return m, cut
+
+
 class Words:
     """Words of some rows: hash, row number, and byte range in the buffer, in the order of the text."""
 
@@ -82,6 +115,13 @@ class Words:
         self.hash, self.row, self.start, self.end = hash, row, start, end
 
 
+def _character(data: np.ndarray, at: int, end: int) -> int:
+    """The first place from ``at`` on where a character begins."""
+    while at < end and data[at] & 0xC0 == 0x80:
+        at += 1
+    return min(at, end)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     """The words of lower-cased rows. Row numbers count from 0 at ``offsets[0]``."""
     low, high = int(offsets[0]), int(offsets[-1])
@@ -89,16 +129,17 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     at = low
     cut = np.unique(offsets)
     while at < high:
-        to = min(high, at + BLOCK)
+        to = _character(data, at + BLOCK, high)
         while to < high:  # a block ends between words
-            gap = np.flatnonzero(~_WORD[data[to : to + BLOCK]])
+            more = _character(data, to + BLOCK // 16, high)
+            m, edge = _marks(data[to:more])
+            gap = np.flatnonzero(~m | edge[:-1])
             if len(gap):
-                to = min(high, to + int(gap[0]))
+                to += int(gap[0])
                 break
-            to = min(high, to + BLOCK)
+            to = more
         b = data[at:to]
-        m = _WORD[b]
-        edge = np.zeros(to - at + 1, bool)
+        m, edge = _marks(b)
         edge[[0, -1]] = True
         edge[cut[np.searchsorted(cut, at) : np.searchsorted(cut, to, side="right")] - at] = True
         before = np.concatenate(([False], m))
