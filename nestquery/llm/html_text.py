@@ -2,13 +2,14 @@
 
 For every node of a page's tree: C characters and T tags below it, LC and LT of them in links. Its density is C/T times
 the logarithm of (C/LC * T/LT) to the base ln(C/(C-LC) * LC + LCb/Cb * C + e), where b is the body; 0 counts as 1 in a
-denominator. The base is e at least: near 1, where a page has few links, the logarithm of any short text would explode. A node's density sum is the sum of its children's densities. The threshold is the least density on the path
+denominator. Here the base is e at least, which the published formula doesn't say: it gives a base of 1 for a page without
+links, to which there is no logarithm, and bases near 1 for short texts on pages with few, where the logarithm explodes. A node's density sum is the sum of its children's densities. The threshold is the least density on the path
 from the node of the greatest density sum up to the body. From the body down, each node of at least that density marks
 the subtree of the greatest density sum in it; the text of the marked subtrees, in the order of the page, is the content.
 
 Defined results: NULL gives NULL, an empty page or one without text an empty string and density 0. Text outside any tag
 counts as the body's. Unclosed, misnested and unknown tags, stray ``<`` and cut-off pages parse as far as they go; what
-scripts, styles, comments and the head hold is no text. Of equal density sums the first node is taken. Repeated rows are
+scripts, styles, comments and the head hold is no text. Of equal density sums (ties) the first node is taken. An empty table has no rows. Repeated rows are
 extracted each; NULL ids are carried through; extra columns are ignored. Nesting is followed to any depth.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,12 +41,15 @@ _END = re.compile(r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>""")
 
 
 class Tree:
-    """Nodes in the order of the page: tag, parent, and pieces of text with their node."""
+    """Nodes in the order of the page: tag, parent, nearest block, and pieces of text with their node. The time is linear in
+    the page: counts of open tags, in all and since the last element of ``SCOPE``, tell whether there is anything to close."""
 
     def __init__(self, page: str) -> None:
-        self.tag, self.parent = ["body"], [-1]
+        self.tag, self.parent, self.block = ["body"], [-1], [0]
         self.texts: list[tuple[int, str]] = []
         stack = [0]
+        self.open: Counter[str] = Counter()
+        self.scopes: list[tuple[str, Counter[str]]] = [("body", Counter())]
         self.raw = 0  # open elements whose text is none
         at, n = 0, len(page)
         low: str | None = None
@@ -87,6 +92,7 @@ class Tree:
             node = len(self.tag)
             self.tag.append(tag)
             self.parent.append(stack[-1])
+            self.block.append(node if tag in BLOCK else self.block[stack[-1]])
             if tag in VOID or page[end - 1] == "/":
                 continue
             if tag in _RAW_TEXT:
@@ -101,6 +107,11 @@ class Tree:
                 at = n if end < 0 else end + 1
                 continue
             stack.append(node)
+            self.open[tag] += 1
+            if tag in SCOPE:
+                self.scopes.append((tag, Counter()))
+            else:
+                self.scopes[-1][1][tag] += 1
             self.raw += tag in RAW
 
     def _text(self, stack: list[int], s: str) -> None:
@@ -108,23 +119,23 @@ class Tree:
             s = html.unescape(s) if "&" in s else s
             self.texts.append((stack[-1], s))
 
-    def _pop(self, stack: list[int], k: int) -> None:
-        self.raw -= sum(self.tag[i] in RAW for i in stack[k:])
-        del stack[k:]
-
     def _close(self, stack: list[int], tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] == tag:
-                self._pop(stack, k)
-                return
+        """Closes the last open element of a tag, and what is open in it."""
+        last = ""
+        while self.open[tag] and last != tag:
+            last = self.tag[stack.pop()]
+            self.open[last] -= 1
+            if last in SCOPE:
+                self.scopes.pop()
+            else:
+                self.scopes[-1][1][last] -= 1
+            self.raw -= last in RAW
 
     def _imply(self, stack: list[int], tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] == tag:
-                self._pop(stack, k)
-                return
-            if self.tag[stack[k]] in SCOPE:
-                return
+        """The same, if it is within the last element of ``SCOPE`` or is that."""
+        scope, inside = self.scopes[-1]
+        if inside[tag] or (scope == tag and len(self.scopes) > 1):
+            self._close(stack, tag)
 
 
 def densities(tree: Tree) -> tuple[list[float], list[float]]:
@@ -183,9 +194,7 @@ def extract(page: str) -> tuple[str, float, float]:
     out, last = [], -1
     for node, s in tree.texts:
         if marked[node]:
-            block = node
-            while block > 0 and tree.tag[block] not in BLOCK:
-                block = tree.parent[block]
+            block = tree.block[node]
             out.append(("\n" if block != last and out else "") + _SPACES.sub(" ", s))
             last = block
     text = "\n".join(line.strip() for line in "".join(out).split("\n") if line.strip())

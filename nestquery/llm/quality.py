@@ -5,9 +5,12 @@ language by Jensen-Shannon distance (base 2, 0 to 1). A document passes if one l
 references are trained on a bounded sample of labelled rows; every document is judged, on its whole text.
 
 Defined results: an empty or NULL text (or one without any word) is rejected as ``empty``. A text shorter than
-``min_words`` or ``min_chars`` has no dependable histogram; the guard passes it as ``short``. Without any usable label
-no reference exists and every other text passes as ``unjudged``. A NULL ``lang`` only matters in the sample, where such
-rows are left out. Repeated rows are judged alike, each one; other columns are carried through untouched.
+``min_words`` or ``min_chars`` has no dependable histogram; the guard passes it as ``short``, but not one that has few words
+because they are very long. Without any usable label no reference exists and every other text passes as ``unjudged``; so
+does a document whose ``lang`` is known and has no reference, as there is nothing to compare it with. A NULL ``lang`` (or no
+such column) compares with all references; in the sample such rows are left out. Of languages that are equally near
+(ties) the first by name is the nearest. Repeated rows are judged alike, each one; all of a very long text counts; an
+empty table has no rows; other columns are carried through untouched.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ class QualityConfig:
     common: int = 40
     min_words: int = 12
     min_chars: int = 60
+    #: Characters of a word up to which too few words make a text short.
+    long_word: int = 40
     #: Greatest distances of a long text; a short one's histogram is a small sample, so ``noise / sqrt(length)`` is added.
     max_char_distance: float = 0.13
     char_noise: float = 0.8
@@ -143,16 +148,19 @@ def _class_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.reshape(rows, k)
 
 
-def judge(column: pa.Array, refs: References | None, config: QualityConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+def judge(column: pa.Array, lang: pa.Array | None, refs: References | None, config: QualityConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """For each text: distance by characters, by words (NaN where not computed), the nearest language, the verdict."""
     by_char, by_word, near, verdict = [], [], [], []
+    known = pa.array(refs.languages if refs else (), pa.string())
+    foreign = np.zeros(len(column), bool) if lang is None else np.array(pa.compute.and_(lang.is_valid(), pa.compute.invert(pa.compute.is_in(lang.cast(pa.string()), known))))
     for a, b, data, offsets in _groups(column):
         w = tx.words(*tx.string_buffers(pa.compute.utf8_lower(column.slice(a, b - a))))
         rows = b - a
         n_words = np.bincount(w.row, minlength=rows)
         chars = _class_counts(data, offsets)
         n_chars = chars.sum(1)
-        c, d, lang = np.full(rows, np.nan), np.full(rows, np.nan), np.full(rows, -1)
+        c, d, nearest = np.full(rows, np.nan), np.full(rows, np.nan), np.full(rows, -1)
+        other = foreign[a:b]
         if refs is not None:
             k = len(refs.words) + 1
             i = np.minimum(np.searchsorted(refs.words, w.hash), max(k - 2, 0)) if k > 1 else np.zeros(len(w.hash), np.int64)
@@ -161,16 +169,17 @@ def judge(column: pa.Array, refs: References | None, config: QualityConfig) -> t
             both = np.stack([np.stack([js_distance(chars / np.maximum(n_chars, 1)[:, None], refs.chars[j]), js_distance(shares, refs.shares[j])]) for j in range(len(refs.languages))])
             most_c = config.max_char_distance + config.char_noise / np.sqrt(np.maximum(n_chars, 1))
             most_d = config.max_word_distance + config.word_noise / np.sqrt(np.maximum(n_words, 1))
-            lang = (both[:, 0] / most_c + both[:, 1] / most_d).argmin(0)
-            c, d = both[lang, 0, np.arange(rows)], both[lang, 1, np.arange(rows)]
+            nearest = (both[:, 0] / most_c + both[:, 1] / most_d).argmin(0)
+            c, d = both[nearest, 0, np.arange(rows)], both[nearest, 1, np.arange(rows)]
             near_any = ((both[:, 0] <= most_c) & (both[:, 1] <= most_d)).any(0)
-        empty, short = n_words == 0, (n_words < config.min_words) | (n_chars < config.min_chars)
+        empty = n_words == 0
+        short = ((n_words < config.min_words) & (n_chars < config.min_words * config.long_word)) | (n_chars < config.min_chars)
         for r in range(rows):
-            verdict.append("empty" if empty[r] else "short" if short[r] else "unjudged" if refs is None else "pass" if near_any[r] else "diverges")
-        judged = ~(empty | short) if refs is not None else np.zeros(rows, bool)
+            verdict.append("empty" if empty[r] else "short" if short[r] else "unjudged" if refs is None or other[r] else "pass" if near_any[r] else "diverges")
+        judged = ~(empty | short | other) if refs is not None else np.zeros(rows, bool)
         by_char.append(np.where(judged, c, np.nan))
         by_word.append(np.where(judged, d, np.nan))
-        near.append(np.where(judged, lang, -1))
+        near.append(np.where(judged, nearest, -1))
     cat = lambda x: np.concatenate(x) if x else np.zeros(0)
     return cat(by_char), cat(by_word), cat(near).astype(int), verdict
 
@@ -181,13 +190,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, config: QualityConfig = Q
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, d, near, verdict = judge(batch.column("text"), refs, config)
+            c, d, near, verdict = judge(batch.column("text"), batch.column("lang") if "lang" in batch.schema.names else None, refs, config)
             names = [refs.languages[i] if i >= 0 else None for i in near] if refs else [None] * len(verdict)
             keep = [v not in ("empty", "diverges") for v in verdict]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(c, from_pandas=True), pa.array(d, from_pandas=True), pa.array(names, pa.string()), pa.array(verdict, pa.string()), pa.array(keep, pa.bool_())], names=["doc_id", "char_distance", "word_distance", "near_lang", "verdict", "keep"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lean(score), f"doc_id {kind}, char_distance double, word_distance double, near_lang string, verdict string, keep boolean")
+    return docs.select("doc_id", "text", *[c for c in ("lang",) if c in docs.columns]).mapInArrow(lean(score), f"doc_id {kind}, char_distance double, word_distance double, near_lang string, verdict string, keep boolean")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
@@ -196,7 +205,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = Qua
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            verdict = judge(batch.column("text"), refs, config)[3]
+            verdict = judge(batch.column("text"), batch.column("lang") if "lang" in batch.schema.names else None, refs, config)[3]
             yield batch.filter(pa.array([v not in ("empty", "diverges") for v in verdict], pa.bool_()))
 
     return docs.mapInArrow(lean(keep), docs.schema)

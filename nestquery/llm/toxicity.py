@@ -14,8 +14,9 @@ what chance may put in the densest window of words, of sizes from the document d
 neither quoted nor reported nor negated, are ordinary words and only match exactly; so does a term that has several of
 them near it.
 
-Defined results: NULL and empty texts have no hits and score 0. Without labels only the list is used. Repeated rows are
-scored each; NULL ids are carried through. Extra columns are ignored. All of a long text is scanned.
+Defined results: NULL and empty texts have no hits and score 0; an empty table has no rows. Without labels only the list is
+used. Repeated rows are scored each; NULL ids are carried through. Extra columns are ignored. All of a long text is
+scanned. A word near several terms (a tie) is a hit of the one with the fewest edits, then of the first by the alphabet.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .tables import lean
+from .tables import lean, written
 
 INSULTS = (
     "idiot", "idiots", "idiotic", "moron", "morons", "moronic", "stupid", "scum", "trash", "loser", "losers", "clown", "clowns", "pathetic", "worthless", "disgusting", "imbecile", "cretin", "scumbag", "bastard", "bastards", "bitch",
@@ -44,11 +46,10 @@ class ToxicityConfig:
     lexicon: tuple[str, ...] = INSULTS
     #: Labelled rows of either class in the sample at most, the first in the order of a hash of their id.
     fit_rows: int = 1500
-    #: Contexts in which a learned term was toxic at least, how much commoner it is in toxic than in clean documents at
-    #: least, and learned terms at most.
+    #: Contexts in which a learned term was toxic at least, and how much commoner it is in toxic than in clean documents at
+    #: least. How many terms these are is bounded by the sample alone.
     contexts: int = 8
     ratio: float = 20.0
-    learned: int = 200
     #: Words in which one learned term may stand by chance.
     chance_words: int = 300
     #: The greatest chance that a learned term would be this rare in the clean sample, were it as common there.
@@ -69,7 +70,12 @@ DEAD, OTHER = 0, 0
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 #: A node of the trie, the ending of stem k (-1 - k), or a node with the first letter read of a swapped pair below it.
 Node = int | tuple[int, str]
-_ALNUM = np.array([chr(c).isalnum() for c in range(0x10000)])
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """By code point, whether it is in words."""
+    return np.array([chr(c).isalnum() for c in range(0x110000)])
 
 
 class Automaton:
@@ -193,14 +199,13 @@ class Automaton:
             while to < len(text) and text[to].isalnum():  # a block ends between words
                 to += 1
             cp = np.frombuffer(text[at:to].encode("utf-32-le", "surrogatepass"), np.uint32)
-            cp = np.where(cp < 0x10000, cp, 0x4E00)
-            m = _ALNUM[cp]
+            m = _letters()[cp]
             edge = np.diff(np.concatenate(([0], m.view(np.int8), [0])))
             start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
             if not self.stemmed:
                 ok = end - start <= self.most
                 start, end = start[ok], end[ok]
-            letter = self.table[cp]
+            letter = self.table[np.minimum(cp, 0xFFFF)]
             live, state = np.arange(len(start)), np.ones(len(start), np.int32)
             k = 0
             while len(live):
@@ -287,7 +292,8 @@ def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     sample = some[0].unionByName(some[1])
     texts = docs.filter("text IS NOT NULL").select(F.col("doc_id").alias("_doc"), F.lower("text").alias("text"))
     words = F.split("text", r"[^\p{L}\p{N}]+")
-    rows = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "toxic", words.alias("w"))  # the sample is bounded
+    texts = written(texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "toxic", "text"), "toxicity-sample")  # the sample is bounded
+    rows = texts.select("_id", "toxic", words.alias("w"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.struct(F.col("w")[i - 1].alias("word"), F.coalesce(F.get("w", i - 2), F.lit("")).alias("before")))
     each = rows.select("toxic", F.explode(pairs).alias("p")).select("toxic", F.col("p.word").alias("word"), F.col("p.before").alias("before")).filter("length(word) >= 3").distinct()
     each = each.select("toxic", "word", "before", F.explode(F.array("word", *[F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in (5, 6, 7)])).alias("term")).filter("term IS NOT NULL")
@@ -299,7 +305,7 @@ def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     share = bad / (bad + clean_size)
     # the logarithm of about the chance of such a split among t + c contexts
     unlikely = lambda r: r.t * np.log(max(share, 1e-9)) + r.c * np.log(r.t + r.c) <= np.log(config.chance)
-    learned = [r.term for r in good.orderBy(F.desc("t"), "term").limit(config.learned).collect() if unlikely(r)]
+    learned = [r.term for r in good.orderBy(F.desc("t"), "term").collect() if unlikely(r)]
     stems = {t for t in learned if t.endswith("*")}
     covered = lambda t: any(t[:n] + "*" in stems for n in range(1, len(t.rstrip("*"))))
     new = frozenset(t for t in learned if not covered(t) and t not in config.lexicon)
@@ -315,7 +321,7 @@ def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
                         found.add((t[a:b], _LAST.search(t[max(0, a - config.window) : a])[0]))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*sorted(found))] or [pa.array([], pa.string())] * 2, names=["word", "before"])
 
-    clean = texts.join(F.broadcast(some[0]), F.col("_doc") == F.col("_id")).select("text").mapInArrow(lean(near), "word string, before string")
+    clean = texts.filter("toxic = 0").select("text").mapInArrow(lean(near), "word string, before string")
     seen = clean.groupBy("word").agg(F.count_distinct("before").alias("contexts"))
     ordinary = frozenset(r.word for r in seen.filter(F.col("contexts") >= config.frequent).collect())
     crowd = Counter(t for w in ordinary for t in automaton.terms_near(w))

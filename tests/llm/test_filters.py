@@ -99,10 +99,10 @@ def test_content():
     assert top > 0 and least > 0
 
 
-@pytest.mark.parametrize("page, want", [("", ""), ("   ", ""), ("just text", "just text"), ("<p>a<p>b", None), ("<div><b>x</div></b>y", None), ("a < b", None), ("<p", ""), ("<!-- x", ""), ("<script>1", ""), ("&lt;p&gt;", "<p>"), ("<p>" * 5000 + "deep", "deep"), ("</p></div>", "")])
+@pytest.mark.parametrize("page, want", [("", ""), ("   ", ""), ("just text", "just text"), ("<p>a<p>b", "a\nb"), ("<div><b>x</div></b>y", "x\ny"), ("a < b", "a < b"), ("<p", ""), ("<!-- x", ""), ("<script>1", ""), ("&lt;p&gt;", "<p>"), ("<p>" * 5000 + "deep", "deep"), ("</p></div>", "")])
 def test_awkward_html(page, want):
     text = ht.extract(page)[0]
-    assert want is None or text == want
+    assert text == want
 
 
 def test_extraction_of_a_table(spark):
@@ -165,15 +165,16 @@ def test_context():
 
 
 def test_toxicity_of_held_out_documents(spark):
-    config = to.ToxicityConfig(fit_rows=100)
-    d, lab = table(spark, LARGE, "documents"), table(spark, LARGE, "labels")
+    config = to.ToxicityConfig(fit_rows=150)
+    some = DATA.replace("sf0.001", "sf0.1")
+    d, lab = table(spark, some, "documents"), table(spark, some, "labels")
     lexicon_rows = {r._id for k in (0, 1) for r in lab.filter(f"toxic = {k}").selectExpr("doc_id as _id").distinct().orderBy(to.F.xxhash64("_id"), "_id").limit(config.fit_rows).collect()}
     truth = {r.doc_id: r.toxic for r in lab.collect()}
     got = {r.doc_id: r.toxic for r in to.toxicity(d, lab, config).collect()}
     test = [i for i in truth if i not in lexicon_rows]
     hit = [got[i] for i in test if truth[i] == 1]
     false = [got[i] for i in test if truth[i] == 0]
-    assert np.mean(false) <= 0.02 and (not hit or np.mean(hit) >= 0.9)
+    assert len(hit) >= 50 and len(false) >= 500 and np.mean(false) <= 0.02 and np.mean(hit) >= 0.9
 
 
 def test_toxicity_of_awkward_rows(spark):
@@ -201,7 +202,7 @@ def test_quality_of_held_out_documents(spark):
     keep, short = {r.doc_id: r.keep for r in rows}, {r.doc_id for r in rows if r.verdict == "short"}
     truth = {r.doc_id: r.quality for r in lab.collect() if r.doc_id not in fitted and r.doc_id not in short}
     good, bad = [keep[i] for i in truth if truth[i] == 1], [keep[i] for i in truth if truth[i] == 0]
-    assert np.mean(good) >= 0.97 and np.mean(bad) <= 0.35
+    assert np.mean(good) >= 0.97 and len(bad) >= 10 and np.mean(bad) <= 0.1
     assert {r.doc_id for r in ql.keep_quality(d, lab, config).collect()} == {i for i, k in keep.items() if k}
 
 
@@ -210,7 +211,7 @@ def test_quality_of_awkward_rows(spark):
     rows = good + awkward() + [(50, "@@@@ #### 1234 !!!! " * 50), (51, "zxqv wkjh pqrs " * 80)]
     d, lab = docs(spark, rows), labels(spark, [(100 + i, 1, 0) for i in range(20)] + [(None, 1, 0), (999, 1, 0), (100, 1, 0)])
     got = {r.doc_id: r.verdict for r in ql.quality_scores(d, lab).collect()}
-    assert got[100] == "pass" and got[2] == got[3] == got[4] == "empty" and got[8] == "short" and got[50] == "empty" or got[50] == "diverges"
+    assert got[100] == "pass" and got[2] == got[3] == got[4] == "empty" and got[8] == "short" and got[50] == "diverges"
     assert got[51] == "diverges"
     kept = ql.keep_quality(d, lab)
     assert kept.columns == d.columns and {100, 8, 1} <= {r.doc_id for r in kept.collect()}
@@ -218,6 +219,16 @@ def test_quality_of_awkward_rows(spark):
     assert ql.quality_scores(docs(spark, []), lab).collect() == [] and ql.keep_quality(docs(spark, []), lab).collect() == []
 
 
+def test_languages_of_documents_not_trained_on(spark):
+    d = table(spark, LARGE, "documents")
+    held = {r.text: r.lang for r in d.filter("doc_id % 2 = 1 AND n_chars >= 60").collect()}
+    fitted = {r.text for r in d.filter("doc_id % 2 = 0").collect()}
+    texts = [t for t in held if t not in fitted]
+    config = li.LangIdConfig()
+    names, _, ok = li.Classifier(li.train(d.filter("doc_id % 2 = 0"), config), config).classify(pa.array(texts))
+    assert len(texts) > 200 and np.mean(ok) >= 0.9 and np.mean([n == held[t] for n, t, k in zip(names, texts, ok) if k]) >= 0.98
+
+
 def test_languages_of_the_table(spark):
     d = table(spark, LARGE, "documents")
     known = {r.doc_id: (r.lang, r.n_chars) for r in d.collect()}
@@ -259,7 +270,7 @@ def test_languages_of_awkward_rows(spark):
 def test_words():
     texts = ["A b-c's ÜBER", "", "  ", "x_1 2", "日本 語"]
     got = tx.hash_words(texts)
-    want = [["a", "b", "c", "s", "über"], [], [], ["x_1", "2"], ["日本", "語"]]
+    want = [["a", "b", "c", "s", "über"], [], [], ["x_1", "2"], ["日", "本", "語"]]
     seen = {}
     for h, w in zip(got, want):
         assert len(h) == len(w)
@@ -335,3 +346,205 @@ def test_training_texts_are_distinct(spark):
     config = li.LangIdConfig()
     assert li.train(docs(spark, rows + copied), config) == li.train(docs(spark, rows), config)
     assert li.train(docs(spark, rows + copied), config)["en"].count(b"house 39 on") == 8
+
+
+def brute_content(tree):
+    """Content, greatest density sum and threshold of a page by plain recursion."""
+    kids = [[] for _ in tree.tag]
+    for v, p in enumerate(tree.parent):
+        if p >= 0:
+            kids[p].append(v)
+    own = [0] * len(kids)
+    for v, s in tree.texts:
+        own[v] += len("".join(s.split()))
+
+    def sizes(v):
+        c, t, lc, lt = own[v], 0, 0, 0
+        for k in kids[v]:
+            kc, kt, klc, klt = sizes(k)
+            c, t, lc, lt = c + kc, t + kt + 1, lc + klc, lt + klt + (tree.tag[k] == "a")
+        return (c, t, c, t) if tree.tag[v] == "a" else (c, t, lc, lt)
+
+    body = sizes(0)
+    ratio = body[2] / max(1, body[0])
+
+    def density(v):
+        c, t, lc, lt = sizes(v)
+        value = c / max(1, lc) * max(1, t) / max(1, lt)
+        return c / max(1, t) * math.log(value, max(math.e, math.log(c / max(1, c - lc) * lc + ratio * c + math.e))) if value > 0 else 0.0
+
+    every = [density(v) for v in range(len(kids))]
+    total = [sum(every[k] for k in ks) for ks in kids]
+    if not any(every):
+        return set(), 0.0, 0.0
+    below = lambda v: [v] + [x for k in kids[v] for x in below(k)]
+    best = lambda v: max(below(v), key=lambda x: (round(total[x], 9), -x))
+    path, v = [], best(0)
+    while v >= 0:
+        path.append(v)
+        v = tree.parent[v]
+    threshold = min(every[v] for v in path)
+    marked = set()
+
+    def go(v):
+        if every[v] >= threshold - 1e-9:
+            marked.update(below(best(v)))
+            for k in kids[v]:
+                go(k)
+
+    go(0)
+    return marked, max(total), threshold
+
+
+def test_content_against_recursion(spark):
+    seen = 0
+    for r in table(spark, DATA, "pages").collect() + [type("R", (), {"html": PAGE})]:
+        tree = ht.Tree(r.html)
+        marked, top, least = brute_content(tree)
+        text, got_top, got_least = ht.extract(r.html)
+        words = " ".join(s for v, s in tree.texts if v in marked).split()
+        assert "".join(text.split()) == "".join(words)
+        assert math.isclose(top, got_top, abs_tol=1e-6) and math.isclose(least, got_least, abs_tol=1e-6)
+        seen += bool(words)
+    assert seen > 40
+
+
+def test_well_formed_pages_against_the_other_parser():
+    rng = random.Random(3)
+    tags = ["div", "span", "b", "a", "noscript", "h1", "section"]
+
+    def part(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["some words ", "x &amp; y ", "<br>", "<img src='a>b'>", "<!-- <b>no</b> -->"])
+        tag = rng.choice(tags)
+        return f"<{tag} class='k'>" + "".join(part(depth - 1) for _ in range(rng.randrange(4))) + f"</{tag}>"
+
+    for _ in range(60):
+        page = "<html><body>" + "".join(part(5) for _ in range(4)) + "</body></html>"
+        density, total = ht.densities(ht.Tree(page))
+        assert [(round(d, 6), round(s, 6)) for d, s in zip(density, total)] == brute_densities(page)
+
+
+@pytest.mark.parametrize("page", ["<b>x" * 60_000, "<b>x" * 30_000 + "</i>" * 30_000, "<b>x<p>y" * 30_000, "<div>x" * 40_000 + "</p>" * 20_000, '<a "' * 60_000, "<" * 100_000, "<td><b>" * 30_000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    half = time.process_time()
+    ht.extract(page[: len(page) // 4])
+    half = time.process_time() - half
+    whole = time.process_time()
+    ht.extract(page)
+    whole = time.process_time() - whole
+    assert whole < 9 * half + 0.3  # a quadratic parser takes 16 times as long
+
+
+def edits(a, b):
+    """Edit distance where two neighbours that are swapped are one edit."""
+    d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def test_toxicity_against_all_words_and_terms(spark):
+    """Scores of every document by comparing every word with every term."""
+    config = to.ToxicityConfig()
+    d, lab = table(spark, DATA, "documents"), table(spark, LARGE, "labels")
+    extra = [(10_000 + i, t) for i, t in enumerate(["you scum😀 idiot😀😀", "an idoit and a m0ron", "wrothles, \"worthles\" fellow", "not a clown; they said loser", "𝔞idiot 日本scum"])]
+    d = d.select("doc_id", "text", "lang").union(spark.createDataFrame([(i, t, "en") for i, t in extra], "doc_id long, text string, lang string"))
+    lexicon = to.learn(d, lab)
+    limit = lambda t: 0 if t.endswith("*") or t in lexicon.exact else (len(t) >= config.one_edit) + (len(t) >= config.two_edits)
+    letters = {c for t in lexicon.terms for c in t.rstrip("*")}
+    known = {}
+
+    def match(word):
+        if word not in known:
+            w = "".join(to._LEET.get(c, c) if c not in letters else c for c in word)
+            near = [(0, t) for t in lexicon.terms if t.endswith("*") and w.startswith(t[:-1])]
+            near += [(e, t) for t in lexicon.terms if not t.endswith("*") and w[0] == t[0] and abs(len(w) - len(t)) <= 2 and (e := edits(w, t)) <= limit(t)]
+            known[word] = min(near, default=None)
+        return known[word]
+
+    want = {}
+    for r in d.collect():
+        text, at, found = (r.text or "").lower(), 0, []
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end].isalnum():
+                end += 1
+            if end > at and (hit := match(text[at:end])) and not (hit[0] and text[at:end] in lexicon.ordinary):
+                found.append((at, to.weight(text, at, end, hit[0], config), hit[1]))
+            at = end + 1
+        score = sum(w for _, w, t in found if t not in lexicon.learned)
+        learned = [(text.count(" ", 0, a), min(1.0, w)) for a, w, t in found if t in lexicon.learned]
+        score += to.beyond_chance([a for a, _ in learned], [w for _, w in learned], text.count(" ") + 1, config)
+        want[r.doc_id] = (round(score, 5), len(found), sorted({t for *_, t in found}), round(score, 6) >= config.threshold)
+    got = {r.doc_id: (round(r.score, 5), r.n_hits, r.terms, r.toxic) for r in to.toxicity(d, lab).collect()}
+    assert got == want
+    assert sum(n > 0 for _, n, *_ in want.values()) >= 8 and got[10_000][3] and got[10_000][1] == 2
+
+
+def test_quality_against_plain_counts(spark):
+    """References and verdicts by counting characters and words one by one."""
+    import regex
+
+    config = ql.QualityConfig(fit_rows=150)
+    d, lab = table(spark, LARGE, "documents"), table(spark, LARGE, "labels")
+    refs = ql.train(d, lab, config)
+    words_of = lambda t: regex.findall(rf"[{tx.SOLID}]|(?:_|[\p{{L}}\p{{M}}\p{{N}}--[{tx.SOLID}]])+", t.lower(), flags=regex.V1)
+
+    def classes(t):
+        out = [0] * len(ql.CLASSES)
+        for c in t:
+            out[7 if ord(c) > 127 else 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if c in " \t" else 4 if c in "\r\n" else 5 if c in ".,;:?'\"()-" else 6] += 1
+        return np.array(out)
+
+    fitted = [r._id for r in lab.filter("quality = 1").selectExpr("doc_id as _id").distinct().orderBy(ql.F.xxhash64("_id"), "_id").limit(config.fit_rows).collect()]
+    rows = d.collect()
+    chars, counts = {}, {}
+    for r in rows:
+        if r.doc_id in fitted:
+            chars[r.lang] = chars.get(r.lang, 0) + classes(r.text)
+            for w in words_of(r.text):
+                counts.setdefault(r.lang, {}).setdefault(w, 0)
+                counts[r.lang][w] += 1
+    assert list(refs.languages) == sorted(chars)
+    assert all(np.allclose(refs.chars[i], chars[k] / chars[k].sum()) for i, k in enumerate(refs.languages))
+    least = {k: sorted(c.values())[-config.common] for k, c in counts.items()}
+    spelled = {int(tx.hash_words([w])[0][0]): w for c in counts.values() for w in c if any(c.get(w, 0) >= least[k] for k, c in counts.items())}
+    common = [spelled[int(h)] for h in refs.words]
+    for i, k in enumerate(refs.languages):
+        total = sum(counts[k].values())
+        some = refs.shares[i, :-1] > 0
+        assert some.sum() == config.common and all(counts[k][common[j]] >= least[k] and math.isclose(refs.shares[i, j], counts[k][common[j]] / total) for j in np.flatnonzero(some))
+
+    def verdict(r):
+        w, c = words_of(r.text), classes(r.text)
+        n = c.sum()
+        if not w:
+            return "empty"
+        if n < config.min_chars or (len(w) < config.min_words and n < config.min_words * config.long_word):
+            return "short"
+        h = np.array([w.count(x) for x in common])
+        h = np.append(h, len(w) - h.sum()) / len(w)
+        for i in range(len(refs.languages)):
+            if ql.js_distance(c / n, refs.chars[i]) <= config.max_char_distance + config.char_noise / math.sqrt(n) and ql.js_distance(h, refs.shares[i]) <= config.max_word_distance + config.word_noise / math.sqrt(len(w)):
+                return "pass"
+        return "diverges"
+
+    got = {r.doc_id: r.verdict for r in ql.quality_scores(d, lab, config).collect()}
+    assert got == {r.doc_id: verdict(r) for r in rows} and set(got.values()) >= {"pass", "diverges", "short"}
+
+
+def test_quality_of_languages_without_references(spark):
+    good = [(100 + i, "The small house stands on the hill, and the river runs under the old bridge to the sea. " * 3, "en") for i in range(20)]
+    finnish = "Pieni talo seisoo mäellä, ja joki juoksee vanhan sillan alitse kohti merta, jossa laivat odottavat tuulta. " * 4
+    blob = "".join(random.Random(4).choice("ABCDEFabcdef0123456789+/") for _ in range(3000))
+    rows = good + [(1, finnish, "fi"), (2, finnish, None), (3, finnish, "en"), (4, blob, "en"), (5, "語" * 300, "ja"), (6, "", "fi")]
+    d, lab = docs(spark, rows), labels(spark, [(100 + i, 1, 0) for i in range(20)])
+    got = {r.doc_id: (r.verdict, r.keep) for r in ql.quality_scores(d, lab).collect()}
+    assert got[1] == got[5] == ("unjudged", True) and got[2] == got[3] == got[4] == ("diverges", False) and got[6] == ("empty", False)
+    assert {1, 5} <= {r.doc_id for r in ql.keep_quality(d, lab).collect()} and {r.doc_id for r in ql.keep_quality(d.drop("lang").withColumn("lang", ql.F.lit("en")), lab).collect()} >= {100}
