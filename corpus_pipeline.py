@@ -4,7 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 of ``documents``; the last returns doc_id, n_tokens, token_ids and round_trip. A stage's result is written as Parquet to
 the folder the executors share and read again before the next, so a lost executor never costs more than its stage.
 An empty ``documents`` gives an empty result; a row with a NULL doc_id is judged like any other, and stays in the
-near-copy stage.
+near-copy stage. Very long texts are judged, compared and encoded whole. Repeated rows of a doc_id are judged alike and kept
+or dropped together. Of a group of near copies the least doc_id stays, so there are no ties. Columns besides those of
+``documents`` are carried through, whatever their names, to all stages but the last.
 """
 
 from __future__ import annotations
