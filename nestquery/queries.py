@@ -245,6 +245,12 @@ _add("param_limit", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT :n
 # the shapes of the published benchmark
 _same("kitchen_sink", "SELECT c_nationkey AS n, COUNT(*) AS cnt, ROUND(AVG(c_acctbal), 8) AS a FROM customer WHERE c_acctbal > 0 AND c_mktsegment != 'BUILDING' GROUP BY c_nationkey HAVING cnt > 10 ORDER BY cnt DESC, n LIMIT 20")
 FLAGSHIP = "SELECT l_returnflag, COUNT(*) AS cnt, ROUND(AVG(l_quantity), 2) AS avg_qty, MAX(l_extendedprice) AS top FROM lineitem WHERE l_discount BETWEEN 0.02 AND 0.08 GROUP BY l_returnflag HAVING cnt > 10 ORDER BY cnt DESC LIMIT 10"
+# the same shapes on larger tables
+_same("select_star_large", "SELECT * FROM lineitem")
+_add("where_like_large", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE CONCAT(l_returnflag, '-', l_linestatus) LIKE '%n-_'", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag || '-' || l_linestatus ILIKE '%n-_'")
+_same("subquery_from_large", "SELECT flag, n FROM (SELECT l_returnflag AS flag, l_linestatus AS line, COUNT(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag, l_linestatus) WHERE n > 1")
+_add("fn_nested_large", "SELECT l_orderkey AS k, l_linenumber AS n, LPAD(TRIM(COALESCE(NULLIF(l_returnflag, 'N'), 'none')), 6, '*') AS s FROM lineitem", "SELECT l_orderkey AS k, l_linenumber AS n, lpad(trim(coalesce(NULLIF(l_returnflag, 'N'), 'none')), 6, '*') AS s FROM lineitem")
+_same("kitchen_sink_large", "SELECT l_suppkey AS n, COUNT(*) AS cnt, ROUND(AVG(l_quantity), 8) AS a FROM lineitem WHERE l_quantity > 5 AND l_returnflag != 'A' GROUP BY l_suppkey HAVING cnt > 10 ORDER BY cnt DESC, n LIMIT 20")
 _same("flagship", FLAGSHIP)
 
 
