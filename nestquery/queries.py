@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +13,10 @@ from pyspark.sql import functions as F
 
 from nestquery import sinks
 from nestquery.engine import Engine, prepare
+from nestquery.errors import NestQueryError
 from nestquery.plans.compiler import ROOT
-from nestquery.settings import Settings
-from nestquery.sources import from_json, from_json_column
+from nestquery.settings import DuplicateKeys, JsonLimits, Limits, Settings
+from nestquery.sources import from_json, from_json_column, parse_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -286,12 +289,103 @@ def mixed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare("SELECT CAST(v AS STRING) AS s FROM $r WHERE v != 'b' ORDER BY v").run(spark, {ROOT: df})
 
 
-QUERIES: dict[str, Query] = {**CASES, "scan_single_object": scan_single_object, "prepared_reuse": prepared_reuse, "engine_cache": engine_cache, "engine_cached_scan": engine_cached_scan, "sink_json": sink_json, "mixed_types": mixed_types}
+def json_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects that name a key twice, the last or the first value counting."""
+    twice = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.format_string('{"k": %d, "v": %d, "v": %d}', "n_nationkey", "n_regionkey", F.col("n_nationkey") + 100).alias("text"))
+    last, first = (from_json_column(twice, "text", JsonLimits(duplicate_keys=d)) for d in (DuplicateKeys.LAST_WINS, DuplicateKeys.FIRST_WINS))
+    return Engine(spark).register("a", last).register("b", first).query("SELECT a.k AS k, a.v AS last, b.v AS first FROM a JOIN b ON a.k = b.k")
+
+
+def own_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of another form than JSON, read by a codec of the caller's own."""
+    lines = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat_ws("=", "c_name", "c_nationkey").alias("text"))
+    rows = from_json_column(lines, "text", codec=lambda s: {"name": s.split("=")[0], "nation": int(s.split("=")[1])})
+    return prepare("SELECT nation, COUNT(*) AS n FROM $r GROUP BY nation").run(spark, rows)
+
+
+def own_result_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second run of a query takes what the first put into the caller's cache."""
+    class Kept(dict):
+        def put(self, sql: str, result: DataFrame) -> None:
+            self[sql] = result.withColumn("kept", F.lit(True))
+
+    engine = Engine(spark, Settings(result_cache=Kept())).register("supplier", spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    sql = "SELECT s_nationkey AS k, COUNT(*) AS n FROM supplier GROUP BY s_nationkey"
+    engine.query(sql)
+    return engine.query(sql)
+
+
+def host_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters of Python's own types, by name from an object."""
+    params = {"day": datetime.date(1996, 1, 1), "most": Decimal("200000.5"), "some": ["F", "O"], "no": None}
+    sql = "SELECT o_orderkey AS k FROM $r WHERE CAST(o_orderdate AS DATE) >= :day AND o_totalprice < :most AND o_orderstatus IN (:some) AND o_orderstatus != COALESCE(:no, 'P')"
+    return prepare(sql).run(spark, spark.read.parquet(f"{sf_dir}/orders.parquet"), params)
+
+
+def mapped_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result as objects of a class, a missing field by its default, and those as rows again."""
+    got = sinks.to_objects(prepare("SELECT r_regionkey AS key, r_name AS name, r_name AS place.inner FROM $r").run(spark, spark.read.parquet(f"{sf_dir}/region.parquet")), Region)
+    return spark.createDataFrame([(r.key, r.name, r.place.inner, r.note) for r in got], "key int, name string, place string, note string")
+
+
+def sink_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an indented JSON text."""
+    text = sinks.to_json(prepare("SELECT r_regionkey AS k, r_name AS n FROM $r").run(spark, spark.read.parquet(f"{sf_dir}/region.parquet")), pretty=True)
+    return spark.createDataFrame([(line.rstrip(","),) for line in text.split("\n")], "line string")
+
+
+def rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which queries and texts are refused, each before any row is read."""
+    df = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    tight = Settings(limits=Limits(sql_length=60, subquery_depth=1, in_list=2, rows=3, parameters=1, like_wildcards=2))
+    tries: dict[str, tuple[str, Settings]] = {
+        "join_ordering": ("SELECT a.x FROM a JOIN b ON a.x > b.y", Settings()), "same_source_twice": ("SELECT x.a FROM x JOIN x ON x.a = x.a", Settings()), "window_in_where": ("SELECT n_name FROM $r WHERE RANK() OVER (ORDER BY n_name) > 1", Settings()),
+        "rank_without_over": ("SELECT RANK() FROM $r", Settings()), "array_ordering": ("SELECT n_name FROM $r WHERE n_name < ARRAY[1]", Settings()), "unknown_column": ("SELECT nothing FROM $r", Settings(strict_columns=True)), "long_query": ("SELECT n_name, n_name AS a, n_name AS b, n_name AS c, n_name AS d FROM $r", tight),
+        "long_in_list": ("SELECT n_name FROM $r WHERE n_nationkey IN (1, 2, 3)", tight), "many_wildcards": ("SELECT n_name FROM $r WHERE n_name LIKE '%a%b%'", tight), "too_many_rows": ("SELECT n_name FROM $r", tight), "fine": ("SELECT n_name FROM $r WHERE n_nationkey IN (1, 2)", tight),
+    }
+    out = []
+    for name, (sql, settings) in tries.items():
+        try:
+            sinks.rows(prepare(sql, settings).run(spark, df), settings)
+            out.append((name, False))
+        except NestQueryError:
+            out.append((name, True))
+    for name, text in (("repeated_key", '[{"a": 1, "a": 2}]'), ("trailing_comma", "[1,]"), ("deep_json", "[" * 70 + "]" * 70), ("good_json", '[{"a": 1}]')):
+        try:
+            parse_json(text)
+            out.append((name, False))
+        except NestQueryError:
+            out.append((name, True))
+    return spark.createDataFrame(out, "name string, refused boolean")
+
+
+@dataclass(frozen=True)
+class Place:
+    inner: str
+
+
+@dataclass(frozen=True)
+class Region:
+    key: int
+    name: str
+    place: Place
+    note: str = "none"
+
+
+_FURTHER: dict[str, Query] = {"json_duplicates": json_duplicates, "own_codec": own_codec, "own_result_cache": own_result_cache, "host_types": host_types, "mapped_objects": mapped_objects, "sink_pretty": sink_pretty, "rejections": rejections}
+QUERIES: dict[str, Query] = {**CASES, **_FURTHER, "scan_single_object": scan_single_object, "prepared_reuse": prepared_reuse, "engine_cache": engine_cache, "engine_cached_scan": engine_cached_scan, "sink_json": sink_json, "mixed_types": mixed_types}
 ORACLE: dict[str, str] = {k: v.oracle for k, v in CASES.items() if v.oracle} | {
     "scan_single_object": "SELECT 1::BIGINT AS a, 'x' AS c",
     "prepared_reuse": "SELECT o_orderstatus AS s, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY 1 UNION ALL SELECT o_orderstatus, count(*) FROM orders WHERE o_totalprice > 200000 GROUP BY 1",
     "engine_cache": "SELECT c_mktsegment AS s, count(*) AS n FROM customer GROUP BY 1",
     "engine_cached_scan": "SELECT n_regionkey AS r, count(*) AS n FROM nation GROUP BY 1",
     "sink_json": """SELECT '{"k":' || n_nationkey || ',"n":{"name":"' || n_name || '","region":' || coalesce(NULLIF(n_regionkey, 1)::VARCHAR, 'null') || '}}' AS value FROM nation""",
+    "json_duplicates": "SELECT n_nationkey::BIGINT AS k, n_nationkey::BIGINT + 100 AS last, n_regionkey::BIGINT AS first FROM nation",
+    "own_codec": "SELECT c_nationkey::BIGINT AS nation, count(*) AS n FROM customer GROUP BY 1",
+    "own_result_cache": "SELECT s_nationkey AS k, count(*) AS n, TRUE AS kept FROM supplier GROUP BY 1",
+    "host_types": "SELECT o_orderkey AS k FROM orders WHERE o_orderdate::DATE >= DATE '1996-01-01' AND o_totalprice < 200000.5 AND o_orderstatus IN ('F', 'O')",
+    "mapped_objects": "SELECT r_regionkey AS key, r_name AS name, r_name AS place, 'none' AS note FROM region",
+    "sink_pretty": """SELECT unnest(['[', ']']) AS line UNION ALL SELECT unnest(['  {', '    "k": ' || r_regionkey, '    "n": "' || r_name || '"', '  }']) FROM region""",
+    "rejections": "SELECT unnest(['join_ordering', 'same_source_twice', 'window_in_where', 'rank_without_over', 'array_ordering', 'unknown_column', 'long_query', 'long_in_list', 'many_wildcards', 'too_many_rows', 'repeated_key', 'trailing_comma', 'deep_json']) AS name, TRUE AS refused UNION ALL SELECT unnest(['fine', 'good_json']), FALSE",
     "mixed_types": "SELECT * FROM (VALUES ('true'), ('1.5'), ('2'), ('a')) AS t(s)",
 }
