@@ -10,12 +10,13 @@ matrix of rank one, and what lies between its first and last place is encoded wo
 
 Other documents are encoded word by word where they are. Words that a worker met before come from a bounded memory.
 
-Defined results: NULL text has NULL ids, and an empty one no ids. U+2581, SentencePiece's own sign for a space, is read
+Defined results: NULL text has NULL ids, and an empty one no ids; an empty table has no rows. U+2581, SentencePiece's own sign for a space, is read
 as a space. Repeated rows are encoded each; NULL ids are carried through. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import re
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .tables import lean
+from .tables import lean, written
 
 
 @dataclass(frozen=True)
@@ -303,15 +304,34 @@ def encode(docs: DataFrame, config: SentencePieceConfig = SentencePieceConfig())
     return small.unionByName(_encode_giants(texts.filter(F.length("text") > config.giant), config, schema))
 
 
+#: Characters of a chunk's neighbours that its matrix depends on; no piece has more.
+MARGIN = 64
+#: Chunks whose matrices are combined in one task; a string of Spark has fewer chunks than its square.
+GROUP = 512
+
+
 def _encode_giants(giants: DataFrame, config: SentencePieceConfig, schema: str) -> DataFrame:
-    """Documents in chunks. Their key is a hash of the text, so copies are encoded once and NULL or repeated ids don't matter."""
-    size, margin = config.chunk, 64
-    keyed = giants.withColumn("key", F.sha2("text", 256))
-    # a text begins with the space that SentencePiece puts there
-    marked = F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))
-    numbers = F.sequence(F.lit(0), F.floor((F.length("marked") - 1) / size).cast("int"))
-    part = lambda k: F.struct(k.alias("k"), F.substring("marked", F.greatest(k * size + 1 - margin, F.lit(1)), F.least(k * size, F.lit(margin))).alias("before"), F.substring("marked", k * size + 1, F.lit(size)).alias("s"), F.substring("marked", (k + 1) * size + 1, F.lit(margin)).alias("after"))
-    chunks = keyed.select("key", marked.alias("marked")).select("key", F.explode(F.transform(numbers, part)).alias("c")).select("key", "c.*").dropDuplicates(["key", "k"])
+    """Documents in chunks, which are written once; their texts are not moved again. A document's key is a hash of its text, so
+    copies are encoded once and NULL or repeated ids don't matter, and the decoded ids are compared with it. The scan goes
+    up from chunks to groups of them and to the document, and down again."""
+    size = config.chunk
+    names = ["doc_id", "key", "k", "before", "s", "after"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for r, text in enumerate(batch.column("text").to_pylist()):
+                key = tx.digest(text.replace(SPACE, " "))
+                none = pa.nulls(1, pa.string())
+                yield pa.RecordBatch.from_arrays([ids.slice(r, 1), pa.array([key]), pa.nulls(1, pa.int32()), none, none, none], names=names)
+                marked = SPACE + text.replace(" ", SPACE)  # a text begins with the space that SentencePiece puts there
+                for at in range(0, len(marked), size):
+                    parts = marked[max(0, at - MARGIN) : at], marked[at : at + size], marked[at + size : at + size + MARGIN]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, ids.type), pa.array([key]), pa.array([at // size], pa.int32()), *[pa.array([p]) for p in parts]], names=names)
+
+    kind = giants.schema["doc_id"].dataType.simpleString()
+    found = written(giants.mapInArrow(lean(cut), f"doc_id {kind}, key string, k int, before string, s string, after string"), "giant-chunks")
+    chunks = found.filter("k IS NOT NULL").drop("doc_id").dropDuplicates(["key", "k"])
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(config.model, config.memory)
@@ -320,13 +340,33 @@ def _encode_giants(giants: DataFrame, config: SentencePieceConfig, schema: str)
             out = [Chunk(m, r["before"], r["s"], r["after"]) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array([pickle.dumps((c.entries, c.exits, c.matrix())) for c in out], pa.binary())], names=["key", "k", "matrix"])
 
-    def combine(table: pa.Table) -> pa.Table:
+    def parts_of(table: pa.Table) -> tuple[list[dict], list[tuple]]:
         rows = sorted(table.to_pylist(), key=lambda r: r["k"])
-        parts = [pickle.loads(r["matrix"]) for r in rows]
-        at = cuts([p[2] for p in parts])
-        exits = [p[1][i] for p, i in zip(parts, at)]
-        entries = [EDGE, *exits[:-1]]
-        return pa.table({"key": [r["key"] for r in rows], "k": pa.array([r["k"] for r in rows], pa.int32()), "ends": pa.array([pickle.dumps(e) for e in zip(entries, exits)], pa.binary())})
+        return rows, [pickle.loads(r["matrix"]) for r in rows]
+
+    def reduce(table: pa.Table) -> pa.Table:
+        """The matrix of a group of chunks."""
+        rows, parts = parts_of(table.select(["key", "k", "matrix"]))
+        whole = parts[0][0], parts[-1][1], scan([p[2] for p in parts])[-1]
+        return pa.table({"key": [rows[0]["key"]], "k": pa.array([rows[0]["k"] // GROUP], pa.int32()), "matrix": pa.array([pickle.dumps(whole)], pa.binary())})
+
+    def ends_of(rows: list[dict], parts: list[tuple], entry: State, exit: State) -> pa.Table:
+        first = parts[0][2][[parts[0][0].index(entry)]]
+        last = parts[-1][2] if len(parts) > 1 else first
+        last = last[:, [parts[-1][1].index(exit)]]
+        at = cuts([first[:, [parts[0][1].index(exit)]]] if len(parts) == 1 else [first, *[p[2] for p in parts[1:-1]], last])
+        exits = [p[1][i] for p, i in zip(parts[:-1], at)] + [exit]
+        return pa.table({"key": [r["key"] for r in rows], "k": pa.array([r["k"] for r in rows], pa.int32()), "ends": pa.array([pickle.dumps(e) for e in zip([entry, *exits[:-1]], exits)], pa.binary())})
+
+    def top(table: pa.Table) -> pa.Table:
+        """Between which states each group lies."""
+        rows, parts = parts_of(table.select(["key", "k", "matrix"]))
+        return ends_of(rows, parts, EDGE, EDGE)
+
+    def down(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Between which states each chunk of a group lies."""
+        rows, parts = parts_of(left.select(["key", "k", "matrix"]))
+        return ends_of(rows, parts, *pickle.loads(right.column("ends")[0].as_py()))
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(config.model, config.memory)
@@ -335,7 +375,10 @@ def _encode_giants(giants: DataFrame, config: SentencePieceConfig, schema: str)
             ids = [Chunk(m, r["before"], r["s"], r["after"]).ids(*pickle.loads(r["ends"])) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array(ids, pa.list_(pa.int32()))], names=["key", "k", "ids"])
 
-    ends = chunks.mapInArrow(lean(transfer), "key string, k int, matrix binary").groupBy("key").applyInArrow(combine, "key string, k int, ends binary")
+    matrices = written(chunks.mapInArrow(lean(transfer), "key string, k int, matrix binary"), "giant-matrices")
+    group = F.floor(F.col("k") / GROUP).cast("int").alias("group")
+    groups = matrices.groupBy("key", group).applyInArrow(reduce, "key string, k int, matrix binary").groupBy("key").applyInArrow(top, "key string, k int, ends binary").withColumnRenamed("k", "group")
+    ends = matrices.groupBy("key", group).cogroup(groups.groupBy("key", "group")).applyInArrow(down, "key string, k int, ends binary")
     traced = chunks.join(ends, ["key", "k"]).mapInArrow(lean(trace), "key string, k int, ids array<int>")
     joined = traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("token_ids"))
 
@@ -344,10 +387,11 @@ def _encode_giants(giants: DataFrame, config: SentencePieceConfig, schema: str)
         for batch in batches:
             for r in range(batch.num_rows):
                 ids = batch.column("token_ids")[r].as_py()
-                ok = m.decode(ids) == batch.column("text")[r].as_py().replace(SPACE, " ").encode()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(r, 1), pa.array([len(ids)], pa.int32()), batch.column("token_ids").slice(r, 1), pa.array([ok])], names=["doc_id", "n_tokens", "token_ids", "round_trip"])
+                ok = hashlib.sha256(m.decode(ids)).hexdigest() == batch.column("key")[r].as_py()
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(r, 1), pa.array([len(ids)], pa.int32()), batch.column("token_ids").slice(r, 1), pa.array([ok])], names=["key", "n_tokens", "token_ids", "round_trip"])
 
-    return keyed.join(joined, "key").select("doc_id", "text", "token_ids").mapInArrow(lean(check), schema)
+    checked = joined.mapInArrow(lean(check), "key string, n_tokens int, token_ids array<int>, round_trip boolean")
+    return found.filter("k IS NULL").select("doc_id", "key").join(checked, "key").select("doc_id", "n_tokens", "token_ids", "round_trip")
 
 
 def decode(encoded: DataFrame, config: SentencePieceConfig = SentencePieceConfig()) -> DataFrame:
