@@ -7,7 +7,8 @@ the text is rejected.
 
 Defined results: an empty or NULL text has no language and is rejected. With one dictionary there is no second and no
 narrow margin. Without any (no document with a language) every text is rejected. Ties in size are within any margin,
-so rejected. Repeated rows get the same answer each; NULL ids are carried through.
+so rejected. Repeated rows get the same answer each; NULL ids are carried through; all of a very long text counts; an empty
+table has no rows; extra columns are ignored, or kept by ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ class LangIdConfig:
     #: Distinct training texts of each language at most, the first in the order of a hash, of this many characters.
     fit_rows: int = 60
     fit_chars: tuple[int, int] = (200, 5000)
-    #: Bytes of a dictionary at most.
+    #: Bytes of a dictionary at most: the last of the training texts.
     dictionary: int = 64 << 10
     block: int = 4096
     level: int = 6

@@ -1,6 +1,7 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
-A template is a licence notice, as a set of word bigrams. Windows of a template's length in bigrams go over a document
+A template is a licence notice or an identifier, as a set of word bigrams; a list is given here, and ``templates_of`` takes
+another from a table. Windows of a template's length in bigrams go over a document
 at a quarter of that length, so the best window holds at least 7/8 of a copy. ``bands`` bands of ``rows`` min-hashes
 each meet with probability 1 - (1 - J**rows)**bands, over ``guarantee`` for the least Jaccard similarity J that a window
 of a matching copy can have; a template whose window meets in a band is verified against the exact bigrams of the window
@@ -9,7 +10,7 @@ at all, which no match can fail, so the skipped windows lose nothing.
 
 Defined results: NULL and empty texts, and texts of one word, have no match. Repeated rows are scanned each, NULL ids are
 carried through, extra columns are ignored, long texts are scanned whole. Of several windows with one template the one
-of the highest containment is reported, the first of equals.
+of the highest containment is reported, the first of equals (ties). An empty table has no matches.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import text as tx
 from .tables import lean
@@ -94,11 +96,92 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
     "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-    "SPDX-MIT": "SPDX-License-Identifier: MIT",
-    "SPDX-Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "MIT-disclaimer": " ".join((
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT',
+        'WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,',
+        'INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF',
+        'MERCHANTABILITY, FITNESS FOR A PARTICULAR',
+        'PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL',
+        'THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR',
+        'ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER',
+        'IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,',
+        'ARISING FROM, OUT OF OR IN CONNECTION WITH THE',
+        'SOFTWARE OR THE USE OR OTHER DEALINGS IN THE',
+        'SOFTWARE.',
+    )),
+    "BSD-disclaimer": " ".join((
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT',
+        'HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS',
+        'OR IMPLIED WARRANTIES, INCLUDING, BUT NOT',
+        'LIMITED TO, THE IMPLIED WARRANTIES OF',
+        'MERCHANTABILITY AND FITNESS FOR A PARTICULAR',
+        'PURPOSE ARE DISCLAIMED.',
+    )),
+    "BSD-3-clause": " ".join((
+        'Neither the name of the copyright holder nor the',
+        'names of its contributors may be used to endorse',
+        'or promote products derived from this software',
+        'without specific prior written permission.',
+    )),
+    "Zlib": " ".join((
+        "This software is provided 'as-is', without any",
+        'express or implied warranty. In no event will',
+        'the authors be held liable for any damages',
+        'arising from the use of this software.',
+        'Permission is granted to anyone to use this',
+        'software for any purpose, including commercial',
+        'applications, and to alter it and redistribute',
+        'it freely, subject to the following',
+        'restrictions:',
+    )),
+    "GPL-2.0-notice": " ".join((
+        'This program is free software; you can',
+        'redistribute it and/or modify it under the terms',
+        'of the GNU General Public License as published',
+        'by the Free Software Foundation; either version',
+        '2 of the License, or (at your option) any later',
+        'version.',
+    )),
+    "LGPL-notice": " ".join((
+        'This library is free software; you can',
+        'redistribute it and/or modify it under the terms',
+        'of the GNU Lesser General Public License as',
+        'published by the Free Software Foundation;',
+        'either version 2.1 of the License, or (at your',
+        'option) any later version.',
+    )),
+    "AGPL-notice": " ".join((
+        'you can redistribute it and/or modify it under',
+        'the terms of the GNU Affero General Public',
+        'License as published by the Free Software',
+        'Foundation, either version 3 of the License, or',
+        '(at your option) any later version.',
+    )),
+    "EPL-2.0": " ".join((
+        'This program and the accompanying materials are',
+        'made available under the terms of the Eclipse',
+        'Public License 2.0 which is available at',
+        'https://www.eclipse.org/legal/epl-2.0/',
+    )),
+    "BSL-1.0": " ".join((
+        'Distributed under the Boost Software License,',
+        'Version 1.0. (See accompanying file',
+        'LICENSE_1_0.txt or copy at',
+        'https://www.boost.org/LICENSE_1_0.txt)',
+    )),
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC-BY-NC-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-ND-4.0-notice": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
     "All-rights-reserved-line": "All rights reserved",
     "All-rights-reserved": "All rights reserved. No part of this publication may be reproduced",
 }
+#: Identifiers of the SPDX list, as they stand in file headers.
+SPDX = (
+    "0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 BlueOak-1.0.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 "
+    "CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.2 GFDL-1.3-or-later GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only "
+    "LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA ODbL-1.0 OFL-1.1 OSL-3.0 PostgreSQL Python-2.0 UPL-1.0 Unlicense W3C WTFPL Zlib"
+).split()
+TEMPLATES |= {f"SPDX-{x}": f"SPDX-License-Identifier: {x}" for x in SPDX}
 
 
 @dataclass(frozen=True)
@@ -106,8 +189,9 @@ class LicenseConfig:
     templates: dict[str, str] = field(default_factory=lambda: dict(TEMPLATES))
     #: Words of a shingle.
     k: int = 2
-    #: Least share of a template's shingles in a match.
+    #: Least share of a template's shingles in a match; of an identifier all must be there.
     containment: float = 0.8
+    whole: str = "SPDX-"
     bands: int = 40
     rows: int = 2
     guarantee: float = 0.9999
@@ -138,7 +222,10 @@ class Templates:
         self.lengths: dict[int, list[int]] = {}
         for i, s in enumerate(self.sets):
             self.lengths.setdefault(len(s), []).append(i)
-        self.known = {m: np.unique(np.concatenate([self.sets[i] for i in at])) for m, at in self.lengths.items()}
+        self.least = [1.0 if n.startswith(config.whole) else config.containment for n in self.names]
+        self.known = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
+        #: For each length, which of the known shingles are in a template of that length.
+        self.of_length = {m: np.isin(self.known, np.concatenate([self.sets[i] for i in at])) for m, at in self.lengths.items()}
         self.bands = {m: [self._index(at, b) for b in range(config.bands)] for m, at in self.lengths.items()}
 
     def minhash(self, shingles: np.ndarray) -> list[bytes]:
@@ -157,7 +244,7 @@ class Templates:
         for start, _, data, offsets in tx.lower_groups(column):
             w = tx.words(data, offsets)
             k = len(w.hash) - config.k + 1
-            if k <= 0:
+            if k <= 0 or not len(self.known):
                 continue
             g = np.zeros(k, np.uint64)
             for j in range(config.k):
@@ -165,9 +252,11 @@ class Templates:
             g = tx.mix(g)
             row = np.where(w.row[:k] == w.row[config.k - 1 :], w.row[:k], -1)
             best: dict[tuple[int, int], tuple[float, int]] = {}
-            for m, known in self.known.items():
-                at = np.minimum(np.searchsorted(known, g), len(known) - 1)
-                hit = np.flatnonzero((known[at] == g) & (row >= 0))
+            place = np.minimum(np.searchsorted(self.known, g), len(self.known) - 1)
+            every = np.flatnonzero((self.known[place] == g) & (row >= 0))
+            number = place[every]
+            for m, of_length in self.of_length.items():
+                hit = every[of_length[number]]
                 if not len(hit):
                     continue
                 stride = max(1, m // 4)
@@ -189,12 +278,19 @@ class Templates:
                         if held is None:
                             held = np.unique(g[wide][row[wide] == r])
                         share = len(np.intersect1d(held, self.sets[i], assume_unique=True)) / m
-                        if share >= config.containment - 1e-9 and share > best.get((r, i), (0.0, 0))[0]:
+                        if share >= self.least[i] - 1e-9 and share > best.get((r, i), (0.0, 0))[0]:
                             best[(r, i)] = (share, int(a - np.searchsorted(w.row, r)))
             out += [(r + start, self.names[i], s, a) for (r, i), (s, a) in sorted(best.items())]
         return out
 
 
+def templates_of(table: DataFrame) -> dict[str, str]:
+    """Templates of a table (license, text), as it has them: a list that one keeps beside the corpus, so it fits the driver and
+    every task. Rows with a NULL are left out; of a repeated name the least text counts."""
+    rows = table.select("license", "text").dropna().groupBy("license").agg(F.min("text").alias("text")).collect()
+    return {r.license: r.text for r in rows}
+
+
 def license_scan(docs: DataFrame, config: LicenseConfig | None = None) -> DataFrame:
     """doc_id, license, containment, start_word: one row for each document and template that match."""
     config = config or LicenseConfig()

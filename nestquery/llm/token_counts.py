@@ -55,6 +55,7 @@ class TokenCountConfig:
     depth: int = 64
 
 
+MARGIN = 128
 #: A place where a token may begin that reaches further: trie node of what was read since, last token before, tokens fewer.
 Open = tuple[int, int, int]
 _HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -69,6 +70,8 @@ class Transducer:
         with open(config.vocabulary, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.longest = max(map(len, self.ranks))
+        #: Characters of a chunk's neighbours that its map depends on; no token has more bytes.
+        self.margin = max(MARGIN, self.longest)
         self.split = regex.compile(config.pattern).findall
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         #: The vocabulary's trie: (node << 8 | byte) to node; a node's token or -1; whether it leads on.
@@ -220,18 +223,23 @@ class Transducer:
         for k in range(int(-sizes[0]) if len(sizes) else 0):
             live = int(np.searchsorted(sizes, -k))
             key = (state[:live] << np.uint64(8) | data[start[:live] + k]) + np.uint64(1)
-            at = self._slots(key)
-            new = np.flatnonzero(self.slot[at] == 0)
-            if len(new):
-                for x in np.unique(key[new]).tolist():
-                    self.compile(x - 1 >> 8, x - 1 & 255)
-                at = self._slots(key)
+            at = self.slots(key)
             state[:live] = self.to[at].astype(np.uint64)
             count[:live] += self.change[at]
         out = np.empty(len(count), np.int64)
         out[order] = count
         return out
 
+    def slots(self, key: np.ndarray) -> np.ndarray:
+        """The slots of transitions; those that are missing are compiled."""
+        at = self._slots(key)
+        new = np.flatnonzero(self.slot[at] == 0)
+        if len(new):
+            for x in np.unique(key[new]).tolist():
+                self.compile(x - 1 >> 8, x - 1 & 255)
+            at = self._slots(key)
+        return at
+
     def _slots(self, key: np.ndarray) -> np.ndarray:
         at = (key * _HASH >> np.uint64(64 - self.bits)).astype(np.int64)
         off = np.flatnonzero((found := self.slot[at]) != key)
@@ -409,28 +417,55 @@ def traces(t: Transducer, data: bytes, entries: list[State]) -> dict[State, Trac
     out = {e: Trace(t, e) for e in entries if e[1] <= len(data)}
     waiting = sorted(out.values(), key=lambda w: -w.at)
     live: list[Trace] = []
-    for p, byte in enumerate(data):
+    p = 0
+    while p < len(data) and (live or waiting):
         while waiting and waiting[-1].at == p:
             live.append(waiting.pop())
-        if not live:
-            if not waiting:
-                break
-            continue
-        seen: dict[int, Trace] = {}
-        for w in live:
-            state, change = t.step(w.states[-1], byte)
-            count = w.counts[-1] + change
-            o = seen.setdefault(state, w)
-            if o is w:
-                w.states.append(state)
-                w.counts.append(count)
-            else:
-                w.other, w.shift = o, count - o.counts[-1]
-        if len(seen) < len(live) or len(live) > 1:
-            live = [w for state, w in seen.items() if t.states[state]]  # a walk without open places has no way on
+        stop = waiting[-1].at if waiting else len(data)
+        if live:
+            p, live = advance(t, data, live, p, stop)
+        else:
+            p = stop
     return out
 
 
+def advance(t: Transducer, data: bytes, live: list[Trace], p: int, stop: int) -> tuple[int, list[Trace]]:
+    """Walks on from a place until two walks meet, or to ``stop``; which go on from there."""
+    states, counts = [[] for _ in live], [[] for _ in live]
+    if len(live) < 16:
+        now, number = [w.states[-1] for w in live], [w.counts[-1] for w in live]
+        while p < stop:
+            for i, state in enumerate(now):
+                now[i], change = t.step(state, data[p])
+                number[i] += change
+                states[i].append(now[i])
+                counts[i].append(number[i])
+            p += 1
+            if len(live) > 1 and len(set(now)) < len(live):
+                break
+    else:
+        row, sums = np.array([w.states[-1] for w in live], np.uint64), np.array([w.counts[-1] for w in live])
+        rows, totals = [], []
+        while p < stop:
+            key = (row << np.uint64(8) | np.uint64(data[p])) + np.uint64(1)
+            at = t.slots(key)
+            row, sums = t.to[at].astype(np.uint64), sums + t.change[at]
+            rows.append(row)
+            totals.append(sums)
+            p += 1
+            if len(set(row.tolist())) < len(live):
+                break
+        states, counts = np.array(rows, np.int64).T.tolist(), np.array(totals).T.tolist()
+    seen: dict[int, Trace] = {}
+    for w, s, n in zip(live, states, counts):
+        o = seen.setdefault(s[-1], w)
+        w.states += s if o is w else s[:-1]
+        w.counts += n if o is w else n[:-1]
+        if o is not w:
+            w.other, w.shift = o, n[-1] - o.counts[-1]
+    return p, [w for state, w in seen.items() if t.states[state]]  # a walk without open places has no way on
+
+
 def spans(t: Transducer, data: bytes, entries: list[State], exits: list[State]) -> Map:
     """The map of a part of one pre-token."""
     out: Map = {}
@@ -453,17 +488,11 @@ def spans(t: Transducer, data: bytes, entries: list[State], exits: list[State])
     return out
 
 
-#: Characters of a chunk's neighbours that its map depends on; no token has more bytes.
-MARGIN = 128
-
-
 def chunk_map(t: Transducer, before: str, s: str, after: str) -> Map:
-    """The map of a chunk between ``MARGIN`` characters on either side (or as many as there are)."""
-    if t.longest > MARGIN:
-        raise ValueError(f"tokens of this vocabulary have up to {t.longest} bytes")
+    """The map of a chunk between ``margin`` characters on either side (or as many as there are)."""
     t.tidy()
     full = before + s + after
-    begin = np.flatnonzero(begins(full, len(before) < MARGIN))  # then they go back to the text's start
+    begin = np.flatnonzero(begins(full, len(before) < t.margin))  # then they go back to the text's start
     low, high = len(before), len(before) + len(s)
 
     def states(cut: int) -> list[State]:
@@ -471,7 +500,7 @@ def chunk_map(t: Transducer, before: str, s: str, after: str) -> Map:
             return [EDGE]
         k = int(np.searchsorted(begin, cut))
         a, b = int(begin[k - 1]) if k else 0, int(begin[k]) if k < len(begin) else len(full)
-        return across(t, full[max(a, cut - MARGIN) : cut].encode(), full[cut : min(b, cut + MARGIN)].encode())
+        return across(t, full[max(a, cut - t.margin) : cut].encode(), full[cut : min(b, cut + t.margin)].encode())
 
     entries, exits = states(low), states(high)
     inside = begin[(begin >= low) & (begin < high)]
@@ -529,7 +558,7 @@ def token_counts(docs: DataFrame, config: TokenCountConfig = TokenCountConfig())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.nulls(b - a, pa.int32()), none, none, none], names=names)
                 for key, x in zip(keys, texts):
                     for at in range(0, len(x) if key else 0, config.chunk):
-                        parts = x[max(0, at - MARGIN) : at], x[at : at + config.chunk], x[at + config.chunk : at + config.chunk + MARGIN]
+                        parts = x[max(0, at - t.margin) : at], x[at : at + config.chunk], x[at + config.chunk : at + config.chunk + t.margin]
                         yield pa.RecordBatch.from_arrays([pa.nulls(1, ids.type), pa.nulls(1, pa.int64()), pa.array([key]), pa.array([at // config.chunk], pa.int32()), *[pa.array([p]) for p in parts]], names=names)
 
     found = written(docs.select("doc_id", "text").mapInArrow(lean(read), f"doc_id {kind}, n_tokens long, key string, k int, before string, s string, after string"), "token-counts")
