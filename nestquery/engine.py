@@ -48,12 +48,16 @@ def _container(text: str) -> bool:
         return False
 
 
+def _named(values: list[Any]) -> bool:
+    return any(isinstance(v, DataFrame) for v in values) or (bool(values) and all(isinstance(v, str) and _container(v) for v in values))
+
+
 def sources_of(spark: SparkSession, data: Source | Mapping[str, Source], settings: Settings) -> dict[str, DataFrame]:
-    """Named sources. ``Sources`` names its sources, and so does a mapping whose values are all DataFrames or whole JSON arrays
-    and objects as text. Anything else is the root source ``$r``: a DataFrame, JSON text, or parsed JSON."""
+    """Named sources. ``Sources`` names its sources, and so does a mapping with DataFrames, or whose values are all whole JSON
+    arrays and objects as text. Anything else is the root source ``$r``: a DataFrame, JSON text, or parsed JSON."""
     one = lambda x: x if isinstance(x, DataFrame) else from_json(spark, x, settings.json, settings.codec)
     with exact_names(spark):
-        if isinstance(data, Sources) or (isinstance(data, Mapping) and data and all(isinstance(v, DataFrame) or (isinstance(v, str) and _container(v)) for v in data.values())):
+        if isinstance(data, Sources) or (isinstance(data, Mapping) and _named(list(data.values()))):
             return {k: one(v) for k, v in data.items()}
         return {ROOT: one(data)}
 
