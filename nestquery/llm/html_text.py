@@ -18,7 +18,6 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,8 +47,8 @@ class Tree:
         self.tag, self.parent, self.block = ["body"], [-1], [0]
         self.texts: list[tuple[int, str]] = []
         stack = [0]
-        self.open: Counter[str] = Counter()
-        self.scopes: list[tuple[str, Counter[str]]] = [("body", Counter())]
+        self.open: dict[str, int] = {}
+        self.scopes: list[tuple[str, dict[str, int]]] = [("body", {})]
         self.raw = 0  # open elements whose text is none
         at, n = 0, len(page)
         low: str | None = None
@@ -107,12 +106,14 @@ class Tree:
                 at = n if end < 0 else end + 1
                 continue
             stack.append(node)
-            self.open[tag] += 1
+            self.open[tag] = self.open.get(tag, 0) + 1
             if tag in SCOPE:
-                self.scopes.append((tag, Counter()))
+                self.scopes.append((tag, {}))
             else:
-                self.scopes[-1][1][tag] += 1
-            self.raw += tag in RAW
+                inside = self.scopes[-1][1]
+                inside[tag] = inside.get(tag, 0) + 1
+            if tag in RAW:
+                self.raw += 1
 
     def _text(self, stack: list[int], s: str) -> None:
         if not self.raw:
@@ -122,7 +123,7 @@ class Tree:
     def _close(self, stack: list[int], tag: str) -> None:
         """Closes the last open element of a tag, and what is open in it."""
         last = ""
-        while self.open[tag] and last != tag:
+        while self.open.get(tag) and last != tag:
             last = self.tag[stack.pop()]
             self.open[last] -= 1
             if last in SCOPE:
@@ -134,7 +135,7 @@ class Tree:
     def _imply(self, stack: list[int], tag: str) -> None:
         """The same, if it is within the last element of ``SCOPE`` or is that."""
         scope, inside = self.scopes[-1]
-        if inside[tag] or (scope == tag and len(self.scopes) > 1):
+        if inside.get(tag) or (scope == tag and len(self.scopes) > 1):
             self._close(stack, tag)
 
 
@@ -195,7 +196,7 @@ def extract(page: str) -> tuple[str, float, float]:
     for node, s in tree.texts:
         if marked[node]:
             block = tree.block[node]
-            out.append(("\n" if block != last and out else "") + _SPACES.sub(" ", s))
+            out.append(("\n" if block != last and out else "") + (s if s.isalnum() else _SPACES.sub(" ", s)))
             last = block
     text = "\n".join(line.strip() for line in "".join(out).split("\n") if line.strip())
     return text, total[top[0]], threshold

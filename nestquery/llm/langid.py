@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .tables import lean
+from .tables import lean, written
 
 
 @dataclass(frozen=True)
 class LangIdConfig:
     #: Distinct training texts of each language at most, the first in the order of a hash, of this many characters.
     fit_rows: int = 60
+    #: Languages at most that get a dictionary, those with the most training texts.
+    languages: int = 500
     fit_chars: tuple[int, int] = (200, 5000)
     #: Bytes of a dictionary at most: the last of the training texts.
     dictionary: int = 64 << 10
@@ -45,7 +47,9 @@ def train(docs: DataFrame, config: LangIdConfig = LangIdConfig()) -> dict[str, b
     some = docs.filter(F.col("lang").isNotNull() & F.length("text").between(low, high)).select("lang", "text", F.xxhash64("text").alias("h"))
     # copies count once: the first hashes are told from hashes alone, so that no more than their texts are moved
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    hashes = some.select("lang", "h").distinct().withColumn("first", first).filter(F.col("first") <= config.fit_rows).select("lang", "h")
+    hashes = written(some.select("lang", "h").distinct().withColumn("first", first).filter(F.col("first") <= config.fit_rows).select("lang", "h"), "training-hashes")
+    most = hashes.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(config.languages).select("lang")
+    hashes = hashes.join(F.broadcast(most), "lang")  # as many rows as languages and training texts at most
     some = some.join(F.broadcast(hashes), ["lang", "h"]).dropDuplicates(["lang", "text"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     texts: dict[str, list[str]] = {}
