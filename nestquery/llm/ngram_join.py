@@ -4,7 +4,8 @@ A text's set holds its word n-grams; two texts match if the Jaccard similarity o
 
 1. A text's content key is a hash of its set, so copies are one content. The n-grams go to the executors by hash, packed
    in blocks of about 6 bytes each, and come back with a class of the number of texts that have them (8 classes for each
-   doubling; copies in one block count once). Those of one text only can match nothing and stay away.
+   doubling; copies in one block count once). Those of one text only can match nothing and stay away. Of an n-gram that many
+   of a block's texts have one entry with their number is sent, so a common one costs its counter no more than a rare one.
 2. In the order of class and hash a content's *prefix* is its rarest n-grams. ``tau`` of a content's n-grams may be missing
    from a match, so a prefix must keep a signature after any ``tau`` losses. An n-gram of a rare class is a signature
    alone. N-grams of a frequent class are spread over sub-classes, and two of one sub-class are a signature together;
@@ -55,7 +56,9 @@ class JoinConfig:
     #: Contents of a label that are compared in one task; of more, each two blocks are.
     label_group: int = 4096
     #: Bytes of input for a bucket of n-grams at most.
-    bucket_bytes: int = 256 << 20
+    bucket_bytes: int = 128 << 20
+    #: Contents of a block from which on an n-gram's number alone goes to be counted.
+    hot: int = 16
     #: N-grams and texts that a map task packs in a block.
     flush: int = 1_000_000
     flush_rows: int = 60_000
@@ -144,10 +147,21 @@ def _map_sets(config: JoinConfig, parts: int):
         q = (g >> np.uint64(24)) & _MASK40
         rows = [(name % parts, name, None, None, None, None, content.tobytes(), size[first].astype("<u4").tobytes(), pickle.dumps(ids[known]), owner[known].astype("<u2").tobytes())]
         order = np.lexsort((q, bucket))
-        edges = np.searchsorted(bucket[order], np.arange(parts + 1))
+        q, own, bucket = q[order], own[order].astype("<u2"), bucket[order]
+        begin = np.flatnonzero(np.concatenate(([True], (q[1:] != q[:-1]) | (bucket[1:] != bucket[:-1])))[: len(q)])
+        n = np.diff(np.append(begin, len(q)))
+        hot = np.repeat(n >= config.hot, n)
+        edges = np.searchsorted(bucket, np.arange(parts + 1))
         for k in np.flatnonzero(np.diff(edges)):
-            at = order[edges[k] : edges[k + 1]]
-            rows.append((int(k), name, int(k), _pack_sorted(q[at]), own[at].astype("<u2").tobytes(), *[None] * 5))
+            at = slice(edges[k], edges[k + 1])
+            few = ~hot[at]
+            if few.any():
+                rows.append((int(k), name, int(k), _pack_sorted(q[at][few]), own[at][few].tobytes(), *[None] * 5))
+            if not few.all():  # only their number goes to be counted; who has them waits where the block is put together
+                first = (begin >= edges[k]) & (begin < edges[k + 1]) & (n >= config.hot)
+                some, sizes = _pack_sorted(q[begin[first]]), n[first].astype("<u4").tobytes()
+                rows.append((int(k), name, int(k), some, None, sizes, *[None] * 4))
+                rows.append((name % parts, name, int(k), None, own[at][~few].tobytes(), None, some, sizes, None, None))
         yield from _blocks(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,29 +198,37 @@ def _sorted_with(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _count(parts: int):
     """Counts the texts of each n-gram of a bucket; those of several go on to their blocks, with their class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qs, own, names, seen = [], [], [], set()
+        plain, hot, seen = [], [], set()
         source = None
         for batch in batches:
             rows = list(zip(*[c.to_pylist() for c in batch.columns]))
             yield from _blocks([r for r in rows if r[3] is None])
             for r in rows:
-                if r[3] is not None and r[1] not in seen:  # blocks of one name are the same
-                    seen.add(r[1])
+                if r[3] is not None and (r[1], r[4] is None) not in seen:  # blocks of one name are the same
+                    seen.add((r[1], r[4] is None))
                     source = r[2]
-                    i = np.frombuffer(r[4], "<u2")
-                    qs.append(_unpack_sorted(r[3], len(i)))
-                    own.append(i)
-                    names.append(r[1])
-        if not qs:
+                    if r[4] is None:
+                        n = np.frombuffer(r[5], "<u4")
+                        hot.append((r[1], _unpack_sorted(r[3], len(n)), n))
+                    else:
+                        i = np.frombuffer(r[4], "<u2")
+                        plain.append((r[1], _unpack_sorted(r[3], len(i)), i))
+        if not plain and not hot:
             return
-        block = np.repeat(np.arange(len(names), dtype=np.int32), [len(x) for x in qs])
-        q, at = _sorted_with(np.concatenate(qs))
-        i = np.concatenate(own)
-        del qs, own
+        names = [p[0] for p in plain + hot]
+        block = np.repeat(np.arange(len(names), dtype=np.int32), [len(p[1]) for p in plain + hot])
+        q, at = _sorted_with(np.concatenate([p[1] for p in plain + hot]))
+        i = np.concatenate([p[2] for p in plain] or [np.zeros(0, "<u2")])
         edges = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1], [True])))
         n = np.diff(edges)
-        kind = np.repeat(_class(n), n)
-        several = np.repeat(n > 1, n)
+        if hot:  # an entry of several texts stands behind those of one
+            place = np.flatnonzero(at >= len(i))
+            more = np.concatenate([p[2] for p in hot])[at[place] - len(i)].astype(np.int64) - 1
+            n = n + np.bincount(np.searchsorted(edges, place, side="right") - 1, more, len(n)).astype(np.int64)
+        single = len(plain)
+        del plain, hot
+        kind = np.repeat(_class(n), np.diff(edges))
+        several = np.repeat(n > 1, np.diff(edges))
         q, at, kind = q[several], at[several], kind[several]
         order = np.argsort(block[at], kind="stable")
         q, at, kind = q[order], at[order], kind[order]
@@ -214,7 +236,7 @@ def _count(parts: int):
         rows = []
         for k in np.flatnonzero(np.diff(edges)):
             x = slice(edges[k], edges[k + 1])
-            rows.append((names[k] % parts, names[k], source, _pack_sorted(q[x]), i[at[x]].tobytes(), kind[x].tobytes(), *[None] * 4))
+            rows.append((names[k] % parts, names[k], source, _pack_sorted(q[x]), i[at[x]].tobytes() if k < single else None, kind[x].tobytes(), *[None] * 4))
         yield from _blocks(rows)
 
     return run
@@ -301,20 +323,29 @@ def _gather(config: JoinConfig, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         tokens: dict[int, list[tuple]] = {}
+        waiting: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for _, name, source, q, i, kind, content, size, ids, owner in zip(*[c.to_pylist() for c in batch.columns]):
-                if q is None:
+                if q is None and source is not None:
+                    waiting[name, source] = np.frombuffer(i, "<u2").astype(np.int32), np.frombuffer(size, "<u4")
+                elif q is None:
                     keys = np.frombuffer(content, np.int64)
                     texts[name] = keys, np.frombuffer(size, "<u4").astype(np.int64)
                     owner = np.frombuffer(owner, "<u2")
                     some = texts[name][1][owner] > 0
                     yield _content_batch([(k if any_ else None, None, None, None, None, d) for k, any_, d in zip(keys[owner].tolist(), some.tolist(), pickle.loads(ids).tolist())], id_type)
                 else:
-                    i = np.frombuffer(i, "<u2")
-                    tokens.setdefault(name, []).append((source, _unpack_sorted(q, len(i)), i.astype(np.int32), np.frombuffer(kind, np.uint8)))
+                    kind = np.frombuffer(kind, np.uint8)
+                    tokens.setdefault(name, []).append((source, _unpack_sorted(q, len(kind)), None if i is None else np.frombuffer(i, "<u2").astype(np.int32), kind))
         for name in list(tokens):
             rows = []
-            for row in block(*texts[name], tokens.pop(name)):
+            parts = []
+            for source, q, i, kind in tokens.pop(name):
+                if i is None:
+                    i, n = waiting[name, source]
+                    q, kind = np.repeat(q, n), np.repeat(kind, n)
+                parts.append((source, q, i, kind))
+            for row in block(*texts[name], parts):
                 rows.append(row)
                 if len(rows) == 500:
                     yield _content_batch(rows, id_type)
@@ -492,6 +523,13 @@ def _map_signatures(config: JoinConfig, parts: int):
     return run
 
 
+def batches_of(both: np.ndarray, content: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of numbers of contents as pairs of contents."""
+    for lo in range(0, len(both), 100_000):
+        a, b = content[(both[lo : lo + 100_000] >> np.uint64(32)).astype(np.int64)], content[(both[lo : lo + 100_000] & np.uint64(2**32 - 1)).astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
 def _by_signature(config: JoinConfig):
     """Pairs with a common signature that agree in no mark (labels, or the group they are known to be in) and whose sizes
     allow a match."""
@@ -529,13 +567,10 @@ def _by_signature(config: JoinConfig):
             found.append(np.unique((a[ok].astype(np.uint64) << np.uint64(32)) | b[ok].astype(np.uint64)))
             held += len(found[-1])
             if held > 4_000_000:
-                found = [np.unique(np.concatenate(found))]
-                held = 0
+                yield from batches_of(np.unique(np.concatenate(found)), content)
+                found, held = [], 0
         if found:
-            both = np.unique(np.concatenate(found))
-            for lo in range(0, len(both), 100_000):
-                a, b = content[(both[lo : lo + 100_000] >> np.uint64(32)).astype(np.int64)], content[(both[lo : lo + 100_000] & np.uint64(2**32 - 1)).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            yield from batches_of(np.unique(np.concatenate(found)), content)
 
     return run
 
@@ -570,7 +605,7 @@ def _shared(docs: DataFrame, config: JoinConfig, parts: int) -> DataFrame:
 
 def _far(contents: DataFrame, config: JoinConfig, parts: int) -> DataFrame:
     """(a, b) of the matches that agree in none of ``labels``."""
-    few = max(1, parts // 4)  # a bucket repeats what it must know of a content
+    few = max(1, parts // 4)  # a bucket repeats what it must know of a content, and pairs that other buckets have
     rest = contents.mapInArrow(lean(_map_signatures(config, few)), _SIGNED).repartitionById(few, F.col("bucket")).mapInArrow(lean(_by_signature(config)), "a long, b long").distinct()
     one = contents.select("content", "size", "tokens").dropDuplicates(["content"])
     left, right = one.select(F.col("content").alias("a"), F.col("size").alias("sa"), F.col("tokens").alias("x")), one.select(F.col("content").alias("b"), F.col("size").alias("sb"), F.col("tokens").alias("y"))

@@ -89,15 +89,14 @@ def test_join_of_sets_that_differ_in_size(spark):
     words = [f"u{i}" for i in range(90)]
     base = [rng.choice(words) for _ in range(100)]
     rows = [(k, " ".join(base[:n])) for k, n in enumerate([100, 96, 70, 50, 40, 30, 25, 21, 18, 12, 9, 5])] + [(20 + i, t) for i, t in enumerate(family(rng, words, base[:30], 20, 6))]
-    for threshold in (0.15, 0.2, 0.4, 0.8, 1.0):
-        for labels in (1, 2):
-            config = nj.JoinConfig(threshold=threshold, labels=labels, frequent=2)
-            assert found(nj.jaccard_classes(docs(spark, rows), config)) == brute_classes(rows, threshold)
+    for threshold, labels in ((0.15, 2), (0.2, 1), (0.4, 2), (0.8, 1), (1.0, 2)):
+        config = nj.JoinConfig(threshold=threshold, labels=labels, frequent=2)
+        assert found(nj.jaccard_classes(docs(spark, rows), config)) == brute_classes(rows, threshold)
 
 
 def test_join_of_a_label_that_is_split(spark):
     rows = small_texts()
-    for config in (nj.JoinConfig(label_group=7), nj.JoinConfig(label_group=1, bucket_bytes=1000)):
+    for config in (nj.JoinConfig(label_group=7), nj.JoinConfig(label_group=1, bucket_bytes=1000), nj.JoinConfig(hot=2), nj.JoinConfig(hot=5, flush_rows=40)):
         assert found(nj.jaccard_classes(docs(spark, rows), config)) == brute_classes(rows)
 
 
