@@ -10,7 +10,8 @@ at all, which no match can fail, so the skipped windows lose nothing.
 
 Defined results: NULL and empty texts, and texts of one word, have no match. Repeated rows are scanned each, NULL ids are
 carried through, extra columns are ignored, long texts are scanned whole. Of several windows with one template the one
-of the highest containment is reported, the first of equals (ties). An empty table has no matches.
+of the highest containment is reported, the first of equals (ties); of templates so alike that a copy of one matches the
+other, the better one at a place, or both if they are equally good. An empty table has no matches.
 """
 
 from __future__ import annotations
@@ -224,6 +225,13 @@ class Templates:
             self.lengths.setdefault(len(s), []).append(i)
         self.least = [1.0 if n.startswith(config.whole) else config.containment for n in self.names]
         self.known = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
+        #: Templates of which a copy would match this one too, though some of this one isn't in it.
+        self.rivals: list[list[int]] = [[] for _ in self.names]
+        for i, s in enumerate(self.sets):
+            for j, t in enumerate(self.sets):
+                common = len(np.intersect1d(s, t, assume_unique=True)) / len(s)
+                if i != j and self.least[i] <= common < 1:
+                    self.rivals[i].append(j)
         #: For each length, which of the known shingles are in a template of that length.
         self.of_length = {m: np.isin(self.known, np.concatenate([self.sets[i] for i in at])) for m, at in self.lengths.items()}
         self.bands = {m: [self._index(at, b) for b in range(config.bands)] for m, at in self.lengths.items()}
@@ -280,7 +288,10 @@ class Templates:
                         share = len(np.intersect1d(held, self.sets[i], assume_unique=True)) / m
                         if share >= self.least[i] - 1e-9 and share > best.get((r, i), (0.0, 0))[0]:
                             best[(r, i)] = (share, int(a - np.searchsorted(w.row, r)))
-            out += [(r + start, self.names[i], s, a) for (r, i), (s, a) in sorted(best.items())]
+            for (r, i), (s, a) in sorted(best.items()):
+                others = [best[r, j] for j in self.rivals[i] if (r, j) in best]
+                if not any(x > s and abs(b - a) <= 2 * len(self.sets[i]) for x, b in others):
+                    out.append((r + start, self.names[i], s, a))
         return out
 
 
