@@ -548,3 +548,10 @@ def test_quality_of_languages_without_references(spark):
     got = {r.doc_id: (r.verdict, r.keep) for r in ql.quality_scores(d, lab).collect()}
     assert got[1] == got[5] == ("unjudged", True) and got[2] == got[3] == got[4] == ("diverges", False) and got[6] == ("empty", False)
     assert {1, 5} <= {r.doc_id for r in ql.keep_quality(d, lab).collect()} and {r.doc_id for r in ql.keep_quality(d.drop("lang").withColumn("lang", ql.F.lit("en")), lab).collect()} >= {100}
+
+
+def test_languages_with_the_most_training_texts(spark):
+    text = lambda i: f"the house {i} on the hill and the river {i} " * 8
+    rows = [(i, text(i), "en") for i in range(5)] + [(100 + i, text(50 + i), f"l{i}") for i in range(4)] + [(200, text(90), "b"), (201, text(91), "b")]
+    assert set(li.train(docs(spark, rows), li.LangIdConfig(languages=2))) == {"en", "b"}
+    assert len(li.train(docs(spark, rows))) == 6

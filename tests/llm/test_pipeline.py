@@ -60,3 +60,17 @@ def test_every_operator_is_registered():
 
     assert set(QUERIES) | {"pipeline"} <= set(e.queries())
     assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from nestquery.llm.tables import shared_dir
+
+    unset = SimpleNamespace(get=lambda key, other: other)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master)))
+    known = SimpleNamespace(get=lambda key, other: "hdfs://x/shared/")
+    assert shared_dir(SimpleNamespace(conf=known, sparkContext=SimpleNamespace(master="yarn"))) == "hdfs://x/shared"
