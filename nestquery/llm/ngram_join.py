@@ -14,7 +14,9 @@ A text's set holds its word n-grams; two texts match if the Jaccard similarity o
    the larger ones that a match may have, one for a threshold of a half.
 3. Contents with the same signature are candidates. Most matches also agree in one of a few min-hash labels (again one
    n-gram where it is rare, two or three where it is frequent): contents with equal labels are compared together, and
-   signatures only yield the pairs that no label holds. All candidates are verified by exact intersection of hashes.
+   signatures only yield the pairs that no label holds. A component of which many pairs are known links is compared whole, and
+   so are all contents with a signature that many of a component have, so that the pairs of a large cluster are not listed.
+   All candidates are verified by exact intersection of hashes.
 
 What comes back grows with the documents, not with the pairs: of a label's contents only the links' numbers and a forest of
 what they connect. Hashes stand for n-grams (40 bits in a comparison) and for whole sets (64 bits): two n-grams of a pair
@@ -55,6 +57,10 @@ class JoinConfig:
     labels: int = 2
     #: Contents of a label that are compared in one task; of more, each two blocks are.
     label_group: int = 4096
+    #: Pairs for each known link up to which all pairs of a component are compared at once; others meet by signatures.
+    sparse: int = 64
+    #: Contents of a component with the same signature from which on all contents with it are compared together.
+    crowd: int = 32
     #: Bytes of input for a bucket of n-grams at most.
     bucket_bytes: int = 128 << 20
     #: Contents of a block from which on an n-gram's number alone goes to be counted.
@@ -360,17 +366,34 @@ def _content_batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, kinds)], names=[x.split()[0] for x in _CONTENT.split(", ")])
 
 
-def overlaps(sets: list[np.ndarray], split: int = 0, block: int = 1024, columns: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, common n-grams) for i < j with any, by products of incidence matrices; with a split only i < split <= j."""
+def _joined(start: np.ndarray, end: np.ndarray, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) for all j from start[i] to end[i] - 1, in parts of about ``most`` pairs."""
+    n = end - start
+    total = np.cumsum(n)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, side="right")))
+        i = np.repeat(np.arange(lo, hi), n[lo:hi])
+        if len(i):
+            yield i, np.arange(len(i)) - np.repeat(total[lo:hi] - n[lo:hi] - (total[lo - 1] if lo else 0), n[lo:hi]) + start[i]
+        lo = hi
+
+
+def overlaps(sets: list[np.ndarray], split: int = 0, block: int = 1024, columns: int = 8192, thin: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, common n-grams) for i < j with any, by products of incidence matrices; with a split only i < split <= j.
+    N-grams of less than one in ``thin`` sets are joined one by one, as their columns would be all but empty."""
     token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     values, column, count = np.unique(token, return_inverse=True, return_counts=True)
     several = count > 1
-    number = np.cumsum(several) - 1
-    use = several[column]
-    owner, column = owner[use], number[column[use]]
+    dense = several & (count * thin > len(sets))
     by = np.argsort(column, kind="stable")
     owner, column = owner[by], column[by]
-    width = int(several.sum())
+    use = (several & ~dense)[column]
+    thin_owner, thin_column = owner[use], column[use]
+    use = dense[column]
+    owner, column = owner[use], (np.cumsum(dense) - 1)[column[use]]
+    width = int(dense.sum())
+    columns = max(1, min(columns, width))
     end = split or len(sets)
     for lo in range(0, end, block):
         for hi in range(split or lo, len(sets), block):
@@ -385,6 +408,10 @@ def overlaps(sets: list[np.ndarray], split: int = 0, block: int = 1024, columns:
                 m = (o >= hi) & (o < hi + q)
                 right[o[m] - hi, k[m]] = 1
                 total += left @ right.T
+            m, k = (thin_owner >= lo) & (thin_owner < lo + p), (thin_owner >= hi) & (thin_owner < hi + q)
+            o, k, c = thin_owner[m] - lo, thin_owner[k] - hi, thin_column[k]
+            for i, j in _joined(np.searchsorted(c, thin_column[m], side="left"), np.searchsorted(c, thin_column[m], side="right")):
+                total += np.bincount(o[i] * q + k[j], minlength=p * q).reshape(p, q)
             i, j = np.nonzero(total)
             keep = i + lo < j + hi
             i, j = i[keep], j[keep]
@@ -417,24 +444,28 @@ def _edges(node: np.ndarray, root: np.ndarray, links: np.ndarray) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array(links.astype(np.int64))], names=["node", "root", "links"])
 
 
-def _group_edges(config: JoinConfig, at: int, content: np.ndarray, size: np.ndarray, marks: np.ndarray, part: np.ndarray, tokens: list[bytes]) -> pa.RecordBatch | None:
+def _group_edges(config: JoinConfig, at: int, content: np.ndarray, size: np.ndarray, marks: np.ndarray, part: np.ndarray, tokens: list[bytes], pairs: bool) -> Iterator[pa.RecordBatch]:
     """Of the contents of a label (the label's number is ``at``; two blocks of them, if ``part`` has two values): those with
-    a match, the least that is connected with each, and the number of matches that no earlier label has."""
+    a match, the least that is connected with each, and the number of matches that no earlier label has; or these matches."""
     order = np.lexsort((content, part))
     order = order[np.concatenate(([True], content[order][1:] != content[order][:-1]))]  # the same content may come from several blocks
     content, size, marks, part = content[order], size[order], marks[order], part[order]
     if len(order) < 2:
-        return None
+        return
     split = int(np.searchsorted(part, part[-1]))
     sets = [np.sort(_unpack40(tokens[int(k)])) for k in order]
-    pairs = [(np.array([0]), np.array([1]), np.array([len(np.intersect1d(*sets, assume_unique=True))]))] if len(sets) == 2 else overlaps(sets, split)
+    counted = [(np.array([0]), np.array([1]), np.array([len(np.intersect1d(*sets, assume_unique=True))]))] if len(sets) == 2 else overlaps(sets, split)
     links, left, right = np.zeros(len(sets), np.int64), [], []
     root = np.arange(len(sets))
-    for i, j, common in pairs:
+    for i, j, common in counted:
         ok = _matches(common, size[i] + size[j], config.threshold)
         if at:
             ok &= ~(marks[i, :at] == marks[j, :at]).any(1)
         i, j = i[ok], j[ok]
+        if pairs:
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(content[i], content[j])), pa.array(np.maximum(content[i], content[j]))], names=["a", "b"])
+            continue
         links += np.bincount(i, minlength=len(sets)) + np.bincount(j, minlength=len(sets))
         apart = root[i] != root[j]
         left.append(i[apart])
@@ -446,10 +477,11 @@ def _group_edges(config: JoinConfig, at: int, content: np.ndarray, size: np.ndar
     least = np.full(len(sets), np.iinfo(np.int64).max)
     np.minimum.at(least, root, content)
     some = links > 0
-    return _edges(content[some], least[root[some]], links[some])
+    if some.any():
+        yield _edges(content[some], least[root[some]], links[some])
 
 
-def _by_label(config: JoinConfig):
+def _by_label(config: JoinConfig, pairs: bool):
     """Streams the rows of a partition, which are sorted by group; one group at a time is in memory."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -460,9 +492,7 @@ def _by_label(config: JoinConfig):
             crossing = table.column("low")[0].as_py() != table.column("high")[0].as_py()
             if len(table.column("part").unique()) == 1 + crossing:
                 marks = np.array(table.column("labels").to_pylist(), np.int64).reshape(table.num_rows, -1)
-                out = _group_edges(config, table.column("at")[0].as_py(), table.column("content").to_numpy(), table.column("size").to_numpy().astype(np.int64), marks, table.column("part").to_numpy(), table.column("tokens").to_pylist())
-                if out is not None and out.num_rows:
-                    yield out
+                yield from _group_edges(config, table.column("at")[0].as_py(), table.column("content").to_numpy(), table.column("size").to_numpy().astype(np.int64), marks, table.column("part").to_numpy(), table.column("tokens").to_pylist(), pairs)
 
         last = None
         for batch in batches:
@@ -485,13 +515,18 @@ def _by_label(config: JoinConfig):
 def _near(contents: DataFrame, config: JoinConfig, parts: int) -> DataFrame:
     """Edges of all contents that have a match with an equal label. A label of more than ``label_group`` contents is split:
     its contents go to blocks by their hash, and each two blocks are a group of their own."""
-    each = contents.select(F.posexplode("labels").alias("at", "label"), "content", "size", "tokens", "labels")
+    return _compared(contents.select(F.posexplode("labels").alias("at", "label"), "content", "size", "tokens", "labels"), config, parts)
+
+
+def _compared(each: DataFrame, config: JoinConfig, parts: int, pairs: bool = False) -> DataFrame:
+    """Edges of all contents that have a match with an equal ``label`` and agree in none of the first ``at`` labels; or
+    (a, b) of these matches, which several labels may have."""
     hot = each.groupBy("label").count().filter(F.col("count") > config.label_group).select(F.col("label").alias("hot"), F.ceil(F.col("count") / config.label_group).cast("int").alias("blocks"))
     each = each.join(hot, each["label"] == hot["hot"], "left").withColumn("part", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int")))
     others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     each = each.withColumn("other", F.explode(others)).withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
     each = each.select("label", "low", "high", "at", "content", "size", "tokens", "labels", "part")
-    return each.repartition(parts, "label", "low", "high").sortWithinPartitions("label", "low", "high").mapInArrow(lean(_by_label(config)), _EDGE)
+    return each.repartition(parts, "label", "low", "high").sortWithinPartitions("label", "low", "high").mapInArrow(lean(_by_label(config, pairs)), "a long, b long" if pairs else _EDGE)
 
 
 _SIGNED = "bucket int, q binary, i binary, content binary, size binary, marks binary"
@@ -523,16 +558,21 @@ def _map_signatures(config: JoinConfig, parts: int):
     return run
 
 
+def _candidates(a: np.ndarray, b: np.ndarray, crowd: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), crowd))], names=["a", "b", "crowd"])
+
+
 def batches_of(both: np.ndarray, content: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Pairs of numbers of contents as pairs of contents."""
     for lo in range(0, len(both), 100_000):
         a, b = content[(both[lo : lo + 100_000] >> np.uint64(32)).astype(np.int64)], content[(both[lo : lo + 100_000] & np.uint64(2**32 - 1)).astype(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        yield _candidates(np.minimum(a, b), np.maximum(a, b), False)
 
 
 def _by_signature(config: JoinConfig):
-    """Pairs with a common signature that agree in no mark (labels, or the group they are known to be in) and whose sizes
-    allow a match."""
+    """Pairs with a common signature that agree in no mark (labels, and last the group whose pairs are known) and whose sizes allow
+    a match. Where a signature has ``crowd`` contents of one group, its pairs are not listed: it yields (group, content) of all
+    its contents, which are compared together."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qs, owners, contents, sizes, marks, at = [], [], [], [], [], 0
         for batch in batches:
@@ -543,7 +583,7 @@ def _by_signature(config: JoinConfig):
                 sizes.append(np.frombuffer(size, "<u4").astype(np.int64))
                 marks.append(np.frombuffer(mark, np.int64).reshape(len(contents[-1]), -1))
                 at += len(contents[-1])
-        if not qs:
+        if not sum(map(len, qs)):
             return
         content, first, number = np.unique(np.concatenate(contents), return_index=True, return_inverse=True)
         size, mark = np.concatenate(sizes)[first], np.concatenate(marks)[first]
@@ -553,21 +593,40 @@ def _by_signature(config: JoinConfig):
         apart = [np.minimum.reduceat(m, edges) != np.maximum.reduceat(m, edges) for m in mark[own].T]  # else all agree
         keep = np.repeat(np.logical_and.reduce(apart), np.diff(np.append(edges, len(q))))
         q, own = q[keep], own[keep]
+        if not len(q):
+            return
+        group = mark[own, -1]
+        order = np.lexsort((group, q))
+        q, own, group = q[order], own[order], group[order]
+        new = q[1:] != q[:-1]
+        last = np.append(np.flatnonzero(new) + 1, len(q))
+        run = np.cumsum(np.concatenate(([0], new)))[: len(q)]
+        new |= group[1:] != group[:-1]
+        part = np.cumsum(np.concatenate(([0], new)))[: len(q)]
+        after = np.append(np.flatnonzero(new) + 1, len(q))[part]
+        n = np.bincount(part)[part]  # contents of the same group with the same signature
+        begin = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))[: len(q)]
+        most = np.maximum.reduceat(n, begin)
+        crowded = (most >= config.crowd)[run]
+        if crowded.any():
+            leader = np.minimum.reduceat(np.where(n == most[run], group, np.iinfo(np.int64).max), begin)[run]
+            led = np.unique(np.stack([leader[crowded], own[crowded]]), axis=1)
+            for lo in range(0, led.shape[1], 100_000):
+                yield _candidates(led[0, lo : lo + 100_000], content[led[1, lo : lo + 100_000]], True)
+            after = np.where(crowded, last[run], after)
         found, held = [], 0
-        i = np.arange(len(q))
-        for d in range(1, len(q)):
-            i = i[i + d < len(q)]
-            i = i[q[i] == q[i + d]]
-            if not len(i):
-                break
-            a, b = np.minimum(own[i], own[i + d]), np.maximum(own[i], own[i + d])
-            ok = (a != b) & (np.minimum(size[a], size[b]) >= config.threshold * np.maximum(size[a], size[b]) - 1e-9)
+        for i, j in _joined(after, last[run]):  # only pairs of different groups
+            a, b = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
+            ok = np.minimum(size[a], size[b]) >= config.threshold * np.maximum(size[a], size[b]) - 1e-9
             a, b = a[ok], b[ok]
             ok = ~(mark[a] == mark[b]).any(1)
             found.append(np.unique((a[ok].astype(np.uint64) << np.uint64(32)) | b[ok].astype(np.uint64)))
             held += len(found[-1])
             if held > 4_000_000:
-                yield from batches_of(np.unique(np.concatenate(found)), content)
+                found = [np.unique(np.concatenate(found))]
+                held = len(found[0])
+            if held > 2_000_000 and len(found) == 1:
+                yield from batches_of(found[0], content)
                 found, held = [], 0
         if found:
             yield from batches_of(np.unique(np.concatenate(found)), content)
@@ -606,10 +665,23 @@ def _shared(docs: DataFrame, config: JoinConfig, parts: int) -> DataFrame:
 def _far(contents: DataFrame, config: JoinConfig, parts: int) -> DataFrame:
     """(a, b) of the matches that agree in none of ``labels``."""
     few = max(1, parts // 4)  # a bucket repeats what it must know of a content, and pairs that other buckets have
-    rest = contents.mapInArrow(lean(_map_signatures(config, few)), _SIGNED).repartitionById(few, F.col("bucket")).mapInArrow(lean(_by_signature(config)), "a long, b long").distinct()
-    one = contents.select("content", "size", "tokens").dropDuplicates(["content"])
+    found = contents.mapInArrow(lean(_map_signatures(config, few)), _SIGNED).repartitionById(few, F.col("bucket")).mapInArrow(lean(_by_signature(config)), "a long, b long, crowd boolean")
+    found = written(found, "candidates")
+    rest = found.filter("NOT crowd").select("a", "b").distinct()
+    one = contents.select("content", "size", "tokens", "labels").dropDuplicates(["content"])
     left, right = one.select(F.col("content").alias("a"), F.col("size").alias("sa"), F.col("tokens").alias("x")), one.select(F.col("content").alias("b"), F.col("size").alias("sb"), F.col("tokens").alias("y"))
-    return rest.join(left, "a").join(right, "b").select("a", "b", (F.col("sa") + F.col("sb")).alias("sizes"), "x", "y").mapInArrow(lean(_verify(config)), "a long, b long")
+    verified = rest.join(left, "a").join(right, "b").select("a", "b", (F.col("sa") + F.col("sb")).alias("sizes"), "x", "y").mapInArrow(lean(_verify(config)), "a long, b long")
+    crowds = found.filter("crowd").select(F.col("a").alias("label"), F.col("b").alias("content")).distinct().join(one, "content")
+    return verified.unionByName(_compared(crowds.select("label", F.size("labels").alias("at"), "content", "size", "tokens", "labels"), config, parts, pairs=True)).distinct()
+
+
+def _dense(near: DataFrame, known: DataFrame, config: JoinConfig) -> DataFrame:
+    """(node, root, open) of the components in which at least one of ``sparse`` pairs is a known link. Comparing all pairs of
+    such a component costs in proportion to its links, however many texts share a signature; it is open if any is unknown."""
+    linked = known.join(near.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
+    each = linked.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("links").alias("ends")).withColumn("most", F.col("n") * (F.col("n") - 1))
+    dense = each.filter(F.col("ends") * config.sparse >= F.col("most")).select("root", (F.col("ends") < F.col("most")).alias("open"))
+    return written(known.join(dense, "root").select("node", "root", "open"), "dense")
 
 
 def similar_texts(docs: DataFrame, config: JoinConfig = JoinConfig(), links: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -623,10 +695,14 @@ def similar_texts(docs: DataFrame, config: JoinConfig = JoinConfig(), links: boo
     members, contents = table.filter("doc_id IS NOT NULL").select("doc_id", "content").distinct(), table.filter("tokens IS NOT NULL").drop("doc_id")
     near = written(_near(contents, config, parts), "near-edges")
     edges = near.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    marked = contents
-    if not links:
-        known = components(edges)
-        marked = contents.join(known.withColumnRenamed("node", "content"), "content", "left").withColumn("labels", F.array(F.coalesce("root", "content"))).select(*contents.columns)
+    known = components(edges)
+    if links:
+        known = _dense(near, known, config)
+    marked = contents.join(known.withColumnRenamed("node", "content"), "content", "left")
+    if links:
+        rest = marked.filter("open").select(F.col("root").alias("label"), F.lit(config.labels).alias("at"), *["content", "size", "tokens", "labels"])
+        near = near.unionByName(written(_compared(rest, config, parts), "group-edges"))
+    marked = marked.withColumn("labels", F.concat("labels" if links else F.array().cast("array<long>"), F.array(F.coalesce("root", "content")))).select(*contents.columns)
     far = written(_far(marked, config, parts), "far-edges")
     roots = components(edges.unionByName(far))
     if not links:

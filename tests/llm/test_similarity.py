@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from conftest import DATA
 from .helpers import awkward, benchmark, docs
 
@@ -100,6 +101,48 @@ def test_join_of_a_label_that_is_split(spark):
         assert found(nj.jaccard_classes(docs(spark, rows), config)) == brute_classes(rows)
 
 
+def cluster(n, edits=(1, 3, 6, 10, 14), seed=8):
+    """Rows of one text in ever other wording, of which the most edited are near few others, and texts that share a part."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(400)}" for _ in range(90)]
+    rows = []
+    for i in range(n):
+        w = list(base if i % 9 else base[:30] + [f"v{rng.randrange(400)}" for _ in range(60)])
+        for _ in range(rng.choice(edits)):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(400)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_join_of_large_clusters(spark):
+    rows = cluster(260)
+    want = brute_classes(rows)
+    assert len({n for _, _, n in want.values()}) > 20 < max(n for _, _, n in want.values())
+    for config in (nj.JoinConfig(crowd=2, sparse=1, labels=1), nj.JoinConfig(label_group=40)):
+        assert found(nj.jaccard_classes(docs(spark, rows), config)) == want
+
+
+def test_candidates_of_a_crowd():
+    """3000 contents of one component and 20 others with the same 5 signatures: a row for each content, not for each pair."""
+    n, rng = 3020, np.random.default_rng(9)
+    content = np.arange(n, dtype=np.int64)
+    marks = np.stack([rng.integers(0, 1 << 40, n), np.where(content < 3000, 0, content)], axis=1)
+    q = np.repeat(np.arange(5, dtype=np.uint64), n)
+    row = (0, nj._pack40(q), np.tile(content, 5).astype("<u4").tobytes(), content.tobytes(), np.full(n, 50, "<u4").tobytes(), marks.tobytes())
+    batch = pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *[pa.array([x], pa.binary()) for x in row[1:]]], names=[x.split()[0] for x in nj._SIGNED.split(", ")])
+    rows = pa.Table.from_batches(nj._by_signature(nj.JoinConfig())(iter([batch])))
+    assert rows.num_rows == n
+
+
+def test_overlaps_of_rare_and_common_ngrams():
+    rng = np.random.default_rng(10)
+    sets = [np.unique(np.concatenate([rng.integers(0, 40, 20), rng.integers(100, 3000, 30)])).astype(np.uint64) for _ in range(300)]
+    for split in (0, 120):
+        got = {(i, j): n for a, b, c in nj.overlaps(sets, split, block=64, columns=16) for i, j, n in zip(a.tolist(), b.tolist(), c.tolist())}
+        want = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(300) for j in range(i + 1, 300) if not split or i < split <= j}
+        assert got == {k: n for k, n in want.items() if n}
+
+
 def test_join_with_other_ids(spark):
     rows = small_texts()
     want = {f"d{i:04d}": (f"d{c:04d}", n, k) for i, (c, n, k) in brute_classes(rows).items()}
