@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .types import RANK, E, key, schema_name, text, variant_key
+from .types import BIGINT, DOUBLE, RANK, E, key, schema_name, text, token, tokens, variant_key
 
 _ORDERED = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 
@@ -120,18 +120,35 @@ def contains(a: E, needle: E) -> Column:
     if a is None or needle.family == "null" or not needle.scalar:
         return _no()
     element = E(a.col, a.type.elementType)
-    if "variant" not in (element.family, needle.family):
-        if element.family != needle.family:
-            return _no()
-        if element.type == needle.type:
-            return sure(F.array_contains(a.col, needle.col))
+    if "variant" in (element.family, needle.family):
+        return sure(F.array_contains(tokens(a), token(needle)))
+    if element.family != needle.family:
+        return _no()
+    if element.type == needle.type:
+        return sure(F.array_contains(a.col, needle.col))
     one = E(needle.col, T.ArrayType(needle.type))
     return sure(F.exists(a.col, lambda x: _equal(a, one, x, needle.col)))
 
 
-def _each(haystack: E, needles: E) -> Column:
-    """Every needle is in the haystack; a NULL one is not."""
-    return F.forall(needles.col, lambda v: sure(F.exists(haystack.col, lambda x: _equal(haystack, needles, x, v))))
+def _plain(a: E, b: E) -> tuple[Column, Column] | None:
+    """Arrays of one static type whose elements are equal where Spark says so."""
+    kinds = [e.type.elementType for e in (a, b)]
+    if all(isinstance(k, T.IntegralType) for k in kinds):
+        return a.col.cast(T.ArrayType(BIGINT)), b.col.cast(T.ArrayType(BIGINT))
+    if all(isinstance(k, T.NumericType) for k in kinds) and any(isinstance(k, (T.DoubleType, T.FloatType)) for k in kinds):
+        x, y = (F.transform(e.col.cast(T.ArrayType(DOUBLE)), lambda v: v + F.lit(0.0)) for e in (a, b))  # -0.0 is 0.0
+        return x, y
+    return (a.col, b.col) if kinds[0] == kinds[1] and E(a.col, kinds[0]).family not in ("null", "variant") else None
+
+
+def _each(haystack: Column, needles: Column) -> Column:
+    """Every needle is in the haystack, which holds no NULL; a NULL one is not. Both arrays are gone through once."""
+    return sure(F.array_size(F.array_except(needles, haystack)) == 0)
+
+
+def _known(e: E, c: Column) -> Column:
+    """The array without its NULLs."""
+    return c if e.items is not None and all(i.value is not None for i in e.items) else F.array_compact(c)
 
 
 def array_op(op: str, a: E, b: E) -> Column:
@@ -139,11 +156,33 @@ def array_op(op: str, a: E, b: E) -> Column:
     a, b = _array(a), _array(b)
     if a is None or b is None:
         return _no()
-    if op == "@>":
-        return sure(_each(a, b)) & a.col.isNotNull() & b.col.isNotNull()
     if op == "<@":
-        return sure(_each(b, a)) & a.col.isNotNull() & b.col.isNotNull()
+        return array_op("@>", b, a)
+    if op == "!=":
+        return a.col.isNotNull() & b.col.isNotNull() & ~array_op("=", a, b)
+    nested = [not E(e.col, e.type.elementType).scalar for e in (a, b)]
+    plain = None if any(nested) else _plain(a, b)
+    if any(nested) or (plain is None and _same_family(a, b)):
+        return _pairs(op, a, b)
+    if op == "@>":
+        return _each(tokens(a, ""), tokens(b)) if plain is None else _each(_known(a, plain[0]), plain[1])
+    if op == "&&":
+        return sure(F.arrays_overlap(*(plain or (tokens(a), tokens(b)))))
+    if plain is None:
+        return sure(tokens(a, "") == tokens(b))
+    return sure((plain[0] == plain[1]) & F.forall(plain[0], lambda x: x.isNotNull()))
+
+
+def _same_family(a: E, b: E) -> bool:
+    x, y = (E(e.col, e.type.elementType).family for e in (a, b))
+    return x == y and x not in ("null", "variant")
+
+
+def _pairs(op: str, a: E, b: E) -> Column:
+    """For elements that have no set of their own: nested ones, decimals and times of different types. One by one."""
+    inside = lambda haystack, needles, v: sure(F.exists(haystack.col, lambda x: _equal(haystack, needles, x, v)))
+    if op == "@>":
+        return sure(F.forall(b.col, lambda v: inside(a, b, v))) & a.col.isNotNull() & b.col.isNotNull()
     if op == "&&":
-        return sure(F.exists(a.col, lambda v: sure(F.exists(b.col, lambda x: _equal(a, b, v, x)))))
-    equal = sure((F.size(a.col) == F.size(b.col)) & F.forall(F.zip_with(a.col, b.col, lambda x, y: _equal(a, b, x, y)), lambda ok: ok))
-    return equal if op == "=" else a.col.isNotNull() & b.col.isNotNull() & ~equal
+        return sure(F.exists(a.col, lambda v: inside(b, a, v)))
+    return sure((F.size(a.col) == F.size(b.col)) & F.forall(F.zip_with(a.col, b.col, lambda x, y: _equal(a, b, x, y)), lambda ok: ok))

@@ -30,6 +30,8 @@ class E:
     whole: bool = False
     #: The value of a literal, which some functions need when the query is compiled.
     value: object = None
+    #: The elements of an array that the query lists.
+    items: tuple[E, ...] | None = None
 
     @property
     def family(self) -> str:
@@ -150,6 +152,43 @@ def variant_key(e: E) -> Column:
     return F.when(e.col.isNotNull(), F.struct(F.lit(RANK[e.family]).alias("rank"), pick("boolean", "boolean").alias("b"), n.alias("n"), pick("string", "string").alias("s")))
 
 
+def _token(e: E) -> Column:
+    """A text that a scalar of a static type shares with its equals alone, of any family; NULL for NULL and nested values."""
+    if e.family not in RANK or e.family == "null":
+        return F.lit(None).cast("string")
+    n = {"number": lambda: e.col.cast("double"), "date": lambda: _days(e.col), "datetime": lambda: _micros(e.col.cast("timestamp_ntz"))}.get(e.family)
+    s = e.col.cast("string") if n is None else (n() + F.lit(0.0)).cast("string")  # -0.0 is 0.0
+    return F.concat(F.lit(str(RANK[e.family])), s)
+
+
+def _variant_tokens(c: Column) -> Column:
+    """The same of the elements of an array of variants. The schema of each is made once."""
+
+    def one(v: Column) -> Column:
+        name, get = v["name"], lambda kind: F.try_variant_get(v["value"], "$", kind.simpleString())
+        nested = (name == "VOID") | name.startswith("ARRAY") | name.startswith("OBJECT")
+        pick = lambda kind: _token(E(get(kind), kind))
+        return F.when(name == "STRING", pick(STRING)).when(name == "BOOLEAN", pick(BOOLEAN)).when(name == "DATE", pick(DATE)).when(name.startswith("TIMESTAMP"), pick(DATETIME)).when(~nested, F.coalesce(pick(DOUBLE), F.concat(F.lit("9"), F.to_json(v["value"]))))  # binary is no number
+
+    return F.transform(F.transform(c, lambda v: F.struct(schema_name(v).alias("name"), v.alias("value"))), one)
+
+
+def token(e: E) -> Column:
+    return F.get(_variant_tokens(F.array(e.col)), F.lit(0)) if e.family == "variant" else _token(e)
+
+
+def tokens(e: E, missing: str | None = None) -> Column:
+    """The tokens of an array's elements; ``missing`` stands for NULL. Literals are folded into a constant."""
+    filled = lambda c: c if missing is None else F.coalesce(c, F.lit(missing))
+    kind = e.type.elementType
+    if e.items is not None:
+        return F.array(*[filled(token(i)) for i in e.items]).cast("array<string>")
+    if isinstance(kind, T.VariantType):
+        all_of = _variant_tokens(e.col)
+        return all_of if missing is None else F.transform(all_of, filled)
+    return F.transform(e.col, lambda v: filled(_token(E(v, kind))))
+
+
 def holds_variant(kind: T.DataType) -> bool:
     if isinstance(kind, T.ArrayType):
         return holds_variant(kind.elementType)

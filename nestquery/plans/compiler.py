@@ -236,8 +236,10 @@ class _Compiler:
         if isinstance(node, t.Case):
             return self.case(node)
         if isinstance(node, t.Array):
-            items, kind = unify([self.expr(i) for i in node.items])
-            return E(F.array(*[i.col for i in items]).cast(T.ArrayType(kind)), T.ArrayType(kind))
+            own = [self.expr(i) for i in node.items]
+            items, kind = unify(own)
+            each = own if kind == T.VariantType() else [E(i.col, kind, value=o.value) for i, o in zip(items, own)]
+            return E(F.array(*[i.col for i in items]).cast(T.ArrayType(kind)), T.ArrayType(kind), items=tuple(each))
         if isinstance(node, t.Param):
             raise ExecutionError("a parameter has no value")
         raise ExecutionError(f"{type(node).__name__} cannot stand here")

@@ -286,6 +286,39 @@ def test_arrays_of_several_types(spark, where, ids):
     assert sorted(column(spark, f"SELECT id FROM $r WHERE {where}", data=MIXED)) == ids
 
 
+@pytest.mark.parametrize("where", ["tags CONTAINS 'a'", "tags @> ARRAY['a', 1]", "tags <@ ARRAY['x', 5]", "tags && ARRAY[5, 'a']", "tags = ARRAY[1, 'a', TRUE]"])
+def test_elements_of_several_types_are_read_once(spark, where):
+    """Not once for each element that they are compared with, and not in each step of a comparison."""
+    df = spark.range(9).select("id", F.array(F.col("id").cast("variant"), F.lit("a").cast("variant")).alias("tags"))
+    p = plan(query(spark, f"SELECT id FROM $r WHERE {where}", df))
+    assert p.count("SchemaOfVariant.schemaOfVariant") == 1 and p.count("DoubleType") == 1 and "exists" not in p
+
+
+@pytest.mark.parametrize("where, ids", [
+    ("a <@ b", [1, 2, 5]), ("b @> a", [1, 2, 5]), ("a && b", [1, 2, 3, 6]), ("a = b", [1, 5]), ("a != b", [2, 3, 4, 6, 7, 8]), ("a @> ARRAY['1', NULL]", []), ("a @> ARRAY[]", [1, 2, 3, 4, 5, 6, 7, 8]), ("a <@ ARRAY[0, 1, '1', NULL]", [1, 4, 5]), ("b CONTAINS 0.0", [1, 6]),
+])
+def test_sets_of_several_types(spark, where, ids):
+    pairs = ["1, -0.0D, '1' | 1D, 0, '1'", "2, 2, 'x' | 'x', 2, 3", "1, parse_json('null') | parse_json('null'), 1.0BD", "1 | '1'", " | ", "parse_json('[1]'), 0 | parse_json('[1]'), 0", "NULL | NULL", "DATE'2024-01-02' | '2024-01-02', TIMESTAMP_NTZ'2024-01-02 00:00:00'"]
+    array = lambda x: f"CAST(array({', '.join(f'CAST({i} AS VARIANT)' for i in x.strip().split(', ') if i)}) AS array<variant>)"
+    rows = [f"SELECT {k} AS id, {array(a)} AS a, {array(b)} AS b" for k, (a, b) in enumerate((p.split(" | ") if p.strip() != "|" else ("", "") for p in pairs), 1)]
+    df = spark.sql(" UNION ALL ".join(rows))
+    assert sorted(r.id for r in query(spark, f"SELECT id FROM $r WHERE {where}", df).collect()) == ids
+
+
+def test_sets_of_binary(spark):
+    df = spark.sql("SELECT 1 AS id, array(CAST(X'01' AS VARIANT)) AS a, array(CAST(X'01' AS VARIANT)) AS b UNION ALL SELECT 2, array(CAST(X'01' AS VARIANT)), array(CAST(X'02' AS VARIANT))")
+    for where in ("a && b", "a @> b", "a <@ b", "a = b"):
+        assert [r.id for r in query(spark, f"SELECT id FROM $r WHERE {where}", df).collect()] == [1]
+
+
+@pytest.mark.parametrize("where, ids", [
+    ("d @> ARRAY[0.0]", [1, 2]), ("d && n", [1, 2]), ("n <@ d", [1, 3]), ("d = ARRAY[0, 1.5]", [1]), ("n != d", [1, 2, 3]), ("n = n", [1, 3]), ("n <@ n", [1, 3]), ("n @> ARRAY[0]", [1, 2]), ("n <@ ARRAY['0']", [3]), ("n CONTAINS NULL", []),
+])
+def test_sets_of_one_type(spark, where, ids):
+    df = spark.sql("SELECT 1 AS id, array(-0.0D, 1.5D) AS d, array(0) AS n UNION ALL SELECT 2, array(0D, NULL), array(0, NULL) UNION ALL SELECT 3, array(double('NaN')), CAST(array() AS array<int>) UNION ALL SELECT 4, NULL, NULL")
+    assert sorted(r.id for r in query(spark, f"SELECT id FROM $r WHERE {where}", df).collect()) == ids
+
+
 def test_nested_values_as_null(spark):
     assert sorted(column(spark, "SELECT id FROM $r WHERE tags IS NOT NULL", data=MIXED)) == [1, 2, 3, 4, 6, 7]
     loose = query(spark, "SELECT id FROM $r WHERE tags IS NOT NULL", MIXED, settings=Settings(nested_is_null=True))
